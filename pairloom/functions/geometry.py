@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
-
 def area_ratio(w: Column, h: Column, width: Column, height: Column) -> Column:
     """Share of the image a box covers; 0 for a missing or degenerate image."""
     ok = (width > 0) & (height > 0) & w.isNotNull() & h.isNotNull()
-    return F.when(ok, F.greatest(w, ZERO) * F.greatest(h, ZERO) / (width * height)).otherwise(ZERO)
+    return F.when(ok, F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)) / (width * height)).otherwise(F.lit(0.0))
 
 
 def center_x(box: Column) -> Column:
@@ -26,15 +23,15 @@ def iou(a: Column, b: Column) -> Column:
     """Intersection over union; 0 when both boxes are degenerate."""
 
     def overlap(lo: str, extent: str) -> Column:
-        far = F.least(a[lo] + F.greatest(a[extent], ZERO), b[lo] + F.greatest(b[extent], ZERO))
-        return F.greatest(far - F.greatest(a[lo], b[lo]), ZERO)
+        far = F.least(a[lo] + F.greatest(a[extent], F.lit(0.0)), b[lo] + F.greatest(b[extent], F.lit(0.0)))
+        return F.greatest(far - F.greatest(a[lo], b[lo]), F.lit(0.0))
 
     def area(box: Column) -> Column:
-        return F.greatest(box["w"], ZERO) * F.greatest(box["h"], ZERO)
+        return F.greatest(box["w"], F.lit(0.0)) * F.greatest(box["h"], F.lit(0.0))
 
     shared = overlap("x", "w") * overlap("y", "h")
     union = area(a) + area(b) - shared
-    return F.when(union > 0, shared / union).otherwise(ZERO)
+    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
 def norm_dx(a: Column, b: Column) -> Column:
@@ -109,7 +106,7 @@ def match_score(a: Column, b: Column, area_a: Column, area_b: Column) -> Column:
     cx, cy = center_x(a), center_y(a)
     inside = cx.between(b["x"], b["x"] + b["w"]) & cy.between(b["y"], b["y"] + b["h"])
     gap = F.abs(area_b - area_a) / F.greatest(area_a, area_b)
-    similar = F.when((area_a > 0) & (area_b > 0), F.greatest(ZERO, 1.0 - gap)).otherwise(ZERO)
+    similar = F.when((area_a > 0) & (area_b > 0), F.greatest(F.lit(0.0), 1.0 - gap)).otherwise(F.lit(0.0))
     return iou(a, b) * 10.0 + F.when(inside, 1.0).otherwise(0.0) + similar
 
 
