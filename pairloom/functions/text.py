@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ def lookup(value: Column, table: Mapping, default: Column | None = None) -> Colu
     return F.coalesce(F.create_map(*pairs)[value], value if default is None else default)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(text: Column, words: Iterable[str]) -> Column:
     """Does the text contain one of the words as a substring?"""
     hit = F.lit(False)
@@ -59,7 +64,10 @@ def yes_no(value: Column, mode: str = "words", subtype: Column | None = None) ->
     ``dotted``: word set or ``yes.``/``no.`` prefix, then the subtype, else "unknown".
     Prefix rules also take "nothing" for no.
     """
-    t = F.lower(strip(value.cast("string")))
+    return let(F.lower(strip(value.cast("string"))), lambda t: _yes_no(t, mode, subtype))
+
+
+def _yes_no(t: Column, mode: str, subtype: Column | None) -> Column:
     if mode in ("prefix", "prefix_invalid"):
         out = F.when(t.startswith("yes"), "yes").when(t.startswith("no"), "no")
         return F.coalesce(out, F.lit("invalid")) if mode == "prefix_invalid" else out
@@ -119,9 +127,10 @@ def clean(text: Column, mode: str) -> Column:
     if mode == "query":
         return squeeze(F.regexp_replace(F.translate(t, "-", " "), r"[^a-z0-9\s]", " "))
     if mode == "entity":
+        # Each article is dropped at most once, in this order.
         t = squeeze(F.regexp_replace(strip(t), r"[^a-z0-9\s_-]+", " "))
-        for article in ("the ", "a ", "an "):
-            t = F.when(t.startswith(article), strip(F.substring(t, len(article) + 1, 2**31 - 1))).otherwise(t)
+        for article in ("the", "a", "an"):
+            t = strip(F.regexp_replace(t, f"^{article} ", ""))
         return t
     if mode == "object":
         t = squeeze(F.regexp_replace(strip(t), r"[?.!,;:]+$", ""))
@@ -135,7 +144,7 @@ def _singular_tail(t: Column) -> Column:
 
 def comparable_entity(text: Column) -> Column:
     """Entity name in a form in which singular and plural compare equal."""
-    return _singular_tail(squeeze(F.translate(clean(text, "entity"), "_-", "  ")))
+    return let(squeeze(F.translate(clean(text, "entity"), "_-", "  ")), _singular_tail)
 
 
 def relation_key(text: Column, vocabulary: str) -> Column:
@@ -286,7 +295,10 @@ def counted_noun(noun: Column, count: Column) -> Column:
 
 def clean_singular(noun: Column) -> Column:
     """Singular used by the clean minimal pairs."""
-    t = clean(noun, "text")
+    return let(clean(noun, "text"), _clean_singular)
+
+
+def _clean_singular(t: Column) -> Column:
     regular = (
         F.when(t.rlike("^.{2,}ies$"), F.regexp_replace(t, "ies$", "y"))
         .when(t.rlike("(ches|shes|xes)$"), F.regexp_replace(t, "es$", ""))
@@ -296,7 +308,10 @@ def clean_singular(noun: Column) -> Column:
 
 
 def clean_plural(noun: Column, count: Column | None = None) -> Column:
-    s = clean_singular(noun)
+    return let(clean_singular(noun), lambda s: _clean_plural(s, count))
+
+
+def _clean_plural(s: Column, count: Column | None) -> Column:
     regular = (
         F.when(s.rlike("(s|x|ch|sh)$"), F.concat(s, F.lit("es")))
         .when(s.rlike("[^aeiou]y$"), F.regexp_replace(s, "y$", "ies")).otherwise(F.concat(s, F.lit("s")))
@@ -379,27 +394,31 @@ def question_class(question: Column, mode: str = "substring") -> Column:
     )
 
 
-def router_flags(question: Column) -> dict[str, Column]:
-    """Which router labels a question raises."""
-    t = clean(question, "query")
-    words = lambda ws: any_word(t, [w for w in ws if " " not in w]) | any_of(t, [w for w in ws if " " in w])
-    count, color, action = words(fixed.ROUTER_COUNT), words(fixed.ROUTER_COLOR), words(fixed.ROUTER_ACTION)
-    spatial, contact = words(fixed.ROUTER_SPATIAL), any_of(t, fixed.ROUTER_CONTACT)
-    exists = t.rlike(LEFT + r"(?:is|are)\s+there" + RIGHT)
-    acts = action & ~contact & ~spatial
-    cat = exists & ~(count | color | action | spatial | contact)
-    none = ~(contact | spatial | count | color | acts | cat)
-    return {
-        "cat": cat, "attr_count": count, "attr_color": color, "attr_action_state": acts,
-        "rel_spatial": spatial, "rel_contact_missing": contact, "unknown": none,
-    }
-
-
 def router_weights(question: Column) -> Column:
     """ARRAY<STRUCT<label, weight>> in label order: equal shares over the raised labels."""
-    flags = router_flags(question)
-    hits = F.array_compact(F.array(*[F.when(flags[name], F.lit(name)) for name in fixed.ROUTER_LABELS]))
-    return F.transform(hits, lambda x: F.struct(x.alias("label"), (F.lit(1.0) / F.size(hits)).alias("weight")))
+
+    def words(t: Column, group: Sequence[str]) -> Column:
+        return any_word(t, [w for w in group if " " not in w]) | any_of(t, [w for w in group if " " in w])
+
+    def flags(t: Column) -> Column:
+        return F.array(
+            words(t, fixed.ROUTER_COUNT), words(t, fixed.ROUTER_COLOR), words(t, fixed.ROUTER_ACTION), words(t, fixed.ROUTER_SPATIAL),
+            any_of(t, fixed.ROUTER_CONTACT), t.rlike(LEFT + r"(?:is|are)\s+there" + RIGHT),
+        )
+
+    def labels(f: Column) -> Column:
+        count, color, action, spatial, contact, exists = (f[i] for i in range(6))
+        raised = {
+            "cat": exists & ~(count | color | action | spatial | contact), "attr_count": count, "attr_color": color,
+            "attr_action_state": action & ~contact & ~spatial, "rel_spatial": spatial, "rel_contact_missing": contact,
+        }
+        hits = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in raised.items()]))
+        return let(hits, lambda h: F.when(F.size(h) == 0, F.array(F.lit("unknown"))).otherwise(h))
+
+    def shares(hits: Column) -> Column:
+        return F.transform(hits, lambda x: F.struct(x.alias("label"), (F.lit(1.0) / F.size(hits)).alias("weight")))
+
+    return let(clean(question, "query"), lambda t: let(flags(t), lambda f: let(labels(f), shares)))
 
 
 def router_primary(weights: Column) -> Column:

@@ -22,6 +22,8 @@ TABLE_NAMES = (
 )
 # Vector layout of an embedding: 2 layers x 4 heads x 8 dimensions.
 LAYERS, HEADS, DIM = 2, 4, 8
+THINGS = {"ring": "cup", "bolt": "chair", "plate": "plate", "rod": "man", "anvil": "dog", "widget": "car", "gear": "bag", "gizmo": "person"}
+TRAITS = {"blue": "blue", "red": "red", "cold": "wet", "new": "open", "hot": "round", "small": "long", "large": "metallic", "old": "standing"}
 NAME_COLORS = {"blue": "blue", "red": "red", "hot": "orange", "cold": "white", "old": "brown"}
 
 VIEWS = {
@@ -133,11 +135,14 @@ VIEWS = {
         SELECT p.*, b.pred AS base_pred, b.score AS base_score FROM preds p LEFT JOIN base b ON b.sample_id = p.sample_id AND b.subtype = p.subtype
         WHERE p.method <> 'view'""",
     "sg": """
-        SELECT image_id, CAST(annotation_id AS VARCHAR) AS object_id, name, brand, category, x, y, w, h, annotation_id, l_orderkey, l_linenumber, priority,
-               list_distinct([split_part(name, ' ', 1), lower(category)]) AS attributes
+        SELECT image_id, CAST(annotation_id AS VARCHAR) AS object_id, annotation_id, category, x, y, w, h, priority,
+               CASE split_part(name, ' ', 2) WHEN 'ring' THEN 'cup' WHEN 'bolt' THEN 'chair' WHEN 'plate' THEN 'plate' WHEN 'rod' THEN 'man' WHEN 'anvil' THEN 'dog'
+                 WHEN 'widget' THEN 'car' WHEN 'gear' THEN 'bag' ELSE 'person' END AS name,
+               CASE split_part(name, ' ', 1) WHEN 'blue' THEN 'blue' WHEN 'red' THEN 'red' WHEN 'cold' THEN 'wet' WHEN 'new' THEN 'open' WHEN 'hot' THEN 'round'
+                 WHEN 'small' THEN 'long' WHEN 'large' THEN 'metallic' ELSE 'standing' END AS trait, lower(category) AS kind
         FROM ann JOIN images USING (image_id)""",
     "edges": """
-        SELECT image_id, object_id AS subject_id, ['on top of', 'to the left of', 'holding', 'riding', 'of'][CAST(substr(priority, 1, 1) AS INTEGER)] AS relation,
+        SELECT image_id, object_id AS subject_id, ['on top of', 'to the left of', 'holding', 'sitting on', 'of'][CAST(substr(priority, 1, 1) AS INTEGER)] AS relation,
                CASE WHEN annotation_id = min(annotation_id) OVER (PARTITION BY image_id) THEN 'nowhere'
                     ELSE CAST(min(annotation_id) OVER (PARTITION BY image_id) AS VARCHAR) END AS target_id FROM sg""",
     "acts": """
@@ -309,17 +314,18 @@ class Tables:
 
     @cached_property
     def sg(self) -> DataFrame:
-        """Scene-graph objects: one per annotation."""
-        first = F.substring_index("name", " ", 1)
+        """Scene-graph objects: one per annotation, with everyday names and attributes."""
+        trait = text.lookup(F.substring_index("name", " ", 1), TRAITS)
+        thing = text.lookup(F.substring_index("name", " ", -1), THINGS)
         return self.ann.join(self.images, "image_id").select(
-            "image_id", F.col("annotation_id").cast("string").alias("object_id"), "annotation_id", "name", "brand", "category", "box", "priority",
-            F.array_distinct(F.array(first, F.lower("category"))).alias("attributes"), "width", "height",
+            "image_id", F.col("annotation_id").cast("string").alias("object_id"), "annotation_id", thing.alias("name"), "category", "box", "priority",
+            F.array(trait, F.lower("category")).alias("attributes"), "width", "height",
         )
 
     @cached_property
     def edges(self) -> DataFrame:
         """Each object points at the first one of its image; the first one points at nothing that exists."""
-        names = F.array(*map(F.lit, ("on top of", "to the left of", "holding", "riding", "of")))
+        names = F.array(*map(F.lit, ("on top of", "to the left of", "holding", "sitting on", "of")))
         first = self.sg.groupBy("image_id").agg(F.min("annotation_id").cast("string").alias("first_id"))
         return self.sg.join(first, "image_id").select(
             "image_id", F.col("object_id").alias("subject_id"),
