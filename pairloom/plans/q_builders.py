@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import fixed
-from pairloom.operators import builders, facts, profile, validate
+from pairloom.operators import builders, facts, joins, profile, validate
 from pairloom.plans.bind import Tables
 from pairloom.plans.q_sampling import NUM, PRESENCE, presence
 from pairloom.plans.q_text import listed
@@ -117,10 +117,12 @@ def p6(t: Tables) -> DataFrame:
 )
 def a5(t: Tables) -> DataFrame:
     """The three record layouts, flattened: an objects map, a list of relationships, a flat row."""
-    rel = F.struct(F.col("relation").alias("name"), F.col("target_id").alias("object"))
-    own = t.edges.groupBy("image_id", F.col("subject_id").alias("object_id")).agg(F.collect_list(rel).alias("relations"))
-    node = F.struct("object_id", F.struct("name", "relations"))
-    graph = t.sg.join(own, ["image_id", "object_id"], "left").groupBy("image_id").agg(F.map_from_entries(F.collect_list(node)).alias("objects"))
+    named = joins.with_targets(t.edges, t.sg)
+    rel = F.array(F.struct(F.col("relation").alias("name"), F.col("target_id").alias("object")))
+    subject = F.struct(F.col("subject_id").alias("id"), F.struct(F.col("subject_name").alias("name"), rel.alias("relations")))
+    target = F.struct(F.col("target_id").alias("id"), F.struct(F.col("object_name").alias("name"), F.lit(None).cast("array<struct<name:string,object:string>>").alias("relations")))
+    # One record per edge with both of its ends, so no image is gathered into one row.
+    graph = named.select("image_id", F.map_from_entries(F.array(subject, target)).alias("objects"))
     listed_rels = t.documents.select(F.col("doc_id").cast("string").alias("image_id"), F.array(F.struct(F.col("lang").alias("subject"), F.lit("near").alias("predicate"), F.col("source").alias("object"))).alias("relationships"))
     flat = t.benchmark.select(F.col("item_id").cast("string").alias("image_id"), F.lit("a").alias("subject"), F.lit("on").alias("rel"), F.lit("b").alias("obj"))
     shown = records.flatten_relations(graph=graph, listed=listed_rels, flat=flat)
