@@ -44,16 +44,23 @@ def norm_dy(a: Column, b: Column) -> Column:
     return (center_y(b) - center_y(a)) / F.greatest((a["h"] + b["h"]) / 2.0, F.lit(1e-6))
 
 
-def relation_by_size(a: Column, b: Column, dx: float = 0.75, dy: float = 1.0, max_iou: float = 0.1) -> Column:
-    """Offsets measured in mean box sizes. ``dx`` is the least offset along an axis, ``dy`` the largest across it."""
-    ox, oy = norm_dx(a, b), norm_dy(a, b)
+def relation_of_offsets(overlap: Column, ox: Column, oy: Column, dx: float = 0.75, dy: float = 1.0, max_iou: float = 0.1) -> Column:
+    """Relation from the overlap and the offsets in mean box sizes.
+
+    ``dx`` is the least offset along an axis, ``dy`` the largest across it, whichever axis that is.
+    """
     return (
-        F.when(iou(a, b) > max_iou, F.lit(None).cast("string"))
+        F.when(overlap > max_iou, F.lit(None).cast("string"))
         .when((F.abs(ox) >= dx) & (F.abs(oy) <= dy), F.when(ox > 0, "left of").otherwise("right of"))
         .when((F.abs(oy) >= dx) & (F.abs(ox) <= dy), F.when(oy > 0, "above").otherwise("below"))
     )
 
 
+def relation_by_size(a: Column, b: Column, dx: float = 0.75, dy: float = 1.0, max_iou: float = 0.1) -> Column:
+    """:func:`relation_of_offsets` of two boxes."""
+    return relation_of_offsets(iou(a, b), norm_dx(a, b), norm_dy(a, b), dx, dy, max_iou)
+
+
 def _deltas(a: Column, b: Column) -> tuple[Column, Column]:
     return center_x(a) - center_x(b), center_y(a) - center_y(b)
 

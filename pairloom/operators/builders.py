@@ -39,14 +39,6 @@ def unpack(df: DataFrame, *rows: Column, column: str = "r") -> DataFrame:
     return df.select(F.inline(F.array_compact(F.array(*rows))))
 
 
-def some(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add a column and keep the rows where it is not null.
-
-    A generator instead of a filter: the optimizer would copy a long expression into the pushed-down filter.
-    """
-    return df.select("*", F.explode(F.array_compact(F.array(value))).alias(name))
-
-
 # --- per-image questions -------------------------------------------------------------------------
 
 def existence_rows(images: DataFrame, seed: int = 42) -> DataFrame:
@@ -454,7 +446,7 @@ def clean_contact_pairs(objs: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
     )
     subtype = F.when(p.isin("wearing", "holding"), "rel_holding_wearing_clean").otherwise("rel_sitting_riding_clean")
     odd = text.any_of(F.concat_ws(" ", p, o, F.col("w"), o), ("wearing umbrella", "eating hat", "riding shirt", "holding ground"))
-    ready = some(named, counter, "w").filter(~odd).withColumns({"subtype": subtype, "s1": text.clean_singular(s), "o1": text.clean_singular(o)})
+    ready = facts.some(named, counter, "w").filter(~odd).withColumns({"subtype": subtype, "s1": text.clean_singular(s), "o1": text.clean_singular(o)})
     w, s1, o1 = F.col("w"), F.col("s1"), F.col("o1")
     pairs = pair(
         ready, [F.col("subtype"), s, o, p, w], (p, w), {"subject": s, "object": o, "predicate": p}, expert_type=F.lit("rel"), subtype=F.col("subtype"), image_id=F.col("image_id"),
@@ -520,7 +512,7 @@ def contact_pairs(objs: DataFrame, edges: DataFrame) -> DataFrame:
     from pairloom.operators.joins import with_targets
 
     named = with_targets(edges, objs).withColumn("r", text.relation_key(F.col("relation"), "subtype")).filter("object_name is not null and object_name <> subject_name")
-    known = some(named, text.lookup(F.col("r"), fixed.CONTACT_COUNTERS, F.lit(None).cast("string")), "w")
+    known = facts.some(named, text.lookup(F.col("r"), fixed.CONTACT_COUNTERS, F.lit(None).cast("string")), "w")
     return _relation_pairs(known.withColumnsRenamed({"subject_id": "ai", "target_id": "bi", "subject_name": "s", "object_name": "o"}), "rel_contact")
 
 

@@ -16,7 +16,7 @@ from pairloom.operators.ordering import first_per_group, global_rank
 from pairloom.session import pinned
 
 # Objects of one image that are paired within one task; larger images are paired block by block.
-BLOCK = 512
+BLOCK = 2000
 
 
 def objects(images: DataFrame, annotations: DataFrame, min_area: float = 0.01) -> DataFrame:
@@ -64,43 +64,42 @@ def paired(
     """Self join inside each image on ``match(a, b)``, with structs ``a`` and ``b`` of ``columns``.
 
     Unordered pairs have ``a.key < b.key``; ordered pairs every ``a.key <> b.key``. The predicate is part
-    of the join, so pairs that fail it are never materialised. An image with more than ``BLOCK`` objects
-    is cut into blocks and each pair of blocks becomes its own join key, which spreads the image over
-    tasks; every other image joins on its id alone.
+    of the join, so pairs that fail it are never materialised. Usually no image has more than ``BLOCK``
+    objects, and one shuffle by image serves both sides. Larger images are cut into blocks, and each pair of
+    blocks becomes its own join key, which spreads an image over tasks.
     """
-    sizes = objs.groupBy("image_id").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_blocks"))
-    # Only oversized images need a block count: a small table, joined however the optimizer sees fit.
-    large = sizes.filter(F.col("_blocks") > 1)
+    fields = list(dict.fromkeys([key, *columns]))
+    sizes = objs.groupBy("image_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
+    a, b = F.col("a"), F.col("b")
+    order = a[key] != b[key] if ordered else a[key] < b[key]
+    if not sizes.limit(1).count():
+        left = objs.select("image_id", F.struct(*fields).alias("a"))
+        right = objs.select(F.col("image_id").alias("_image"), F.struct(*fields).alias("b"))
+        return left.join(right, (F.col("image_id") == F.col("_image")) & order & match(a, b)).select("image_id", "a", "b")
+
+    blocks = sizes.select("image_id", F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int").alias("_blocks"))
     base = (
-        objs.join(large, "image_id", "left")
+        objs.join(blocks, "image_id", "left")
         .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
         .withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
     )
 
     def side(name: str) -> DataFrame:
         spread = base.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        return spread.select(
-            "image_id",
-            F.least("_block", "_other").alias("_lo"),
-            F.greatest("_block", "_other").alias("_hi"),
-            F.struct(*[F.col(c) for c in dict.fromkeys([key, *columns])], F.col("_block")).alias(name),
-        )
+        return spread.select("image_id", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), F.struct(*fields, "_block").alias(name))
 
     left, right = side("a"), side("b").withColumnsRenamed({"image_id": "_image", "_lo": "_lo2", "_hi": "_hi2"})
-    a, b = F.col("a"), F.col("b")
+    # Two objects of different blocks meet once; two of the same block only where both ends name that block.
     once = (F.col("_lo") == F.col("_hi")) | (a["_block"] != b["_block"])
-    order = a[key] != b[key] if ordered else a[key] < b[key]
     keys = (F.col("image_id") == F.col("_image")) & (F.col("_lo") == F.col("_lo2")) & (F.col("_hi") == F.col("_hi2"))
     return left.join(right, keys & once & order & match(a, b)).select("image_id", "a", "b")
 
 
 def relations(objs: DataFrame, dx: float = 0.75, dy: float = 1.0, max_iou: float = 0.1) -> DataFrame:
     """At most one spatial relation per unordered object pair of an image."""
-    def rule(a: Column, b: Column) -> Column:
-        return geo.relation_by_size(a["box"], b["box"], dx, dy, max_iou)
-
-    pairs = paired(objs, lambda a, b: rule(a, b).isNotNull(), ["annotation_id", "object_id", "category", "box"])
-    return pairs.select(
+    pairs = paired(objs, lambda a, b: F.lit(True), ["annotation_id", "object_id", "category", "box"])
+    # Overlap and offsets become columns, computed once per pair; pairs without a relation end in this same stage.
+    measured = pairs.select(
         "image_id",
         F.col("a.annotation_id").alias("subject_ann"),
         F.col("b.annotation_id").alias("object_ann"),
@@ -108,11 +107,19 @@ def relations(objs: DataFrame, dx: float = 0.75, dy: float = 1.0, max_iou: float
         F.col("b.object_id").alias("object_id"),
         F.col("a.category").alias("subject_category"),
         F.col("b.category").alias("object_category"),
-        rule(F.col("a"), F.col("b")).alias("predicate"),
         geo.norm_dx(F.col("a.box"), F.col("b.box")).alias("dx"),
         geo.norm_dy(F.col("a.box"), F.col("b.box")).alias("dy"),
         geo.iou(F.col("a.box"), F.col("b.box")).alias("iou"),
     )
+    return some(measured, geo.relation_of_offsets(F.col("iou"), F.col("dx"), F.col("dy"), dx, dy, max_iou), "predicate")
+
+
+def some(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column and keep the rows where it is not null.
+
+    A generator instead of a filter: the optimizer would copy a long expression into the pushed-down filter.
+    """
+    return df.select("*", F.explode(F.array_compact(F.array(value))).alias(name))
 
 
 def numbered_relations(rels: DataFrame) -> DataFrame:

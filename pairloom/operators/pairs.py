@@ -73,20 +73,21 @@ def rendered(facts: DataFrame, templates: DataFrame, pair_limit: int | None = No
     indexed = global_rank(facts, ["subtype"], ["image_id", "fact_id"], "fact_rank")
     sizes = {s: sum(1 for t in fixed.TEMPLATES if t[0] == s) for s in fixed.TEMPLATE_SLOTS}
     slot = F.pmod(F.col("fact_rank") - 1, text.lookup(F.col("subtype"), sizes, F.lit(1))).cast("int")
-    joined = indexed.withColumn("pos", slot).join(templates, ["subtype", "pos"])
+    # The plural is used in several slots; a column of its own is computed once.
+    plural = F.when(F.col("subtype") == "cnt", text.plural(F.col("subject_category")))
+    joined = indexed.withColumns({"pos": slot, "_plural": plural}).join(templates, ["subtype", "pos"])
     subject, obj, value, neg = (F.col(c) for c in ("subject_category", "object_category", "positive_value", "negative"))
 
     def answer(branch: Column) -> Column:
-        n = F.when(F.col("subtype") == "cnt", branch.try_cast("int"))
+        counted = F.when(branch == "1", subject).otherwise(F.col("_plural"))
         return text.fill(
-            F.col("r_template"), label=branch, count=branch, color=branch, rel=branch, obj=subject, obj1=subject, obj2=obj,
-            obj_pl=text.plural(subject), obj_count=text.counted_noun(subject, n),
+            F.col("r_template"), label=branch, count=branch, color=branch, rel=branch, obj=subject, obj1=subject, obj2=obj, obj_pl=F.col("_plural"), obj_count=counted
         )
 
     pairs = joined.select(
         F.concat_ws("_", "fact_id", "template_id", F.lit("pair")).alias("pair_id"),
         "fact_id", "image_id", "subtype", "fact_rank", "template_id", "text_source",
-        text.fill(F.col("q_template"), obj=subject, obj1=subject, obj2=obj, obj_pl=text.plural(subject)).alias("question"),
+        text.fill(F.col("q_template"), obj=subject, obj1=subject, obj2=obj, obj_pl=F.col("_plural")).alias("question"),
         answer(value).alias("response_pos"),
         answer(neg).alias("response_neg"),
         value.alias("pos_label"),
@@ -157,8 +158,8 @@ def pair_stages(
     per_label: int = 80,
     per_pattern: int = 15,
 ) -> dict[str, DataFrame]:
-    """filter -> cap -> render -> balance. Facts that pass are written once; every later stage reads them."""
+    """filter -> cap -> render -> balance. Each stage is an output of its own: it is written once and read by the next."""
     judged = pinned(judged_facts(facts, counts, bank))
     kept = pinned(capped(judged.filter("drop_reason is null"), caps).drop("cap_rank", "drop_reason"))
-    unbalanced = rendered(kept, templates)
+    unbalanced = pinned(rendered(kept, templates))
     return {"judged": judged, "kept": kept, "unbalanced": unbalanced, "balanced": balanced(unbalanced, targets, per_label, per_pattern)}

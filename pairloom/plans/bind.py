@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import text, vectors
 from pairloom.operators import banks, facts
 from pairloom.operators.ordering import first_per_group
+from pairloom.session import pinned
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -261,6 +262,11 @@ class Tables:
     def objs(self) -> DataFrame:
         return facts.objects(self.images, self.ann)
 
+    @cached_property
+    def objs_table(self) -> DataFrame:
+        """The objects, written once, for jobs that read them several times."""
+        return pinned(self.objs.repartition("image_id"))
+
     @cached_property
     def cnt(self) -> DataFrame:
         return facts.category_counts(self.objs)
@@ -276,11 +282,16 @@ class Tables:
 
     @cached_property
     def rels(self) -> DataFrame:
-        return facts.numbered_relations(facts.relations(self.objs))
+        return facts.numbered_relations(facts.relations(self.objs_table))
 
     @cached_property
     def facts(self) -> DataFrame:
-        return facts.atomic_facts(self.objs, self.cnt, self.rels)
+        return facts.atomic_facts(self.objs_table, facts.category_counts(self.objs_table), self.rels)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Category counts of every image as a map, from the written objects."""
+        return facts.count_maps(facts.category_counts(self.objs_table))
 
     @cached_property
     def preds(self) -> DataFrame:

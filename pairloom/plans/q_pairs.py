@@ -14,8 +14,7 @@ from pairloom.session import pinned
 
 
 def stages(t: Tables) -> dict[str, DataFrame]:
-    counts = facts.count_maps(t.cnt)
-    return pairs.pair_stages(t.facts, counts, banks.bank_arrays(t.bank), banks.template_bank(t.spark))
+    return pairs.pair_stages(t.facts, t.counts, banks.bank_arrays(t.bank), banks.template_bank(t.spark))
 
 
 @query(
@@ -58,20 +57,20 @@ def balanced_pairs(t: Tables) -> DataFrame:
 
 @query("E1_image_caps", "SELECT image_id, subtype, fact_id FROM kept")
 def image_caps(t: Tables) -> DataFrame:
-    judged = pairs.judged_facts(t.facts, facts.count_maps(t.cnt), banks.bank_arrays(t.bank))
+    judged = pairs.judged_facts(t.facts, t.counts, banks.bank_arrays(t.bank))
     return pairs.capped(judged.filter("drop_reason is null")).select("image_id", "subtype", "fact_id")
 
 
 @query("E4_template_index", "SELECT fact_id, subtype, fact_rank, template_id FROM pairs")
 def template_index(t: Tables) -> DataFrame:
-    judged = pairs.judged_facts(t.facts, facts.count_maps(t.cnt), banks.bank_arrays(t.bank))
+    judged = pairs.judged_facts(t.facts, t.counts, banks.bank_arrays(t.bank))
     kept = pinned(pairs.capped(judged.filter("drop_reason is null")))
     return pairs.rendered(kept, banks.template_bank(t.spark)).select("fact_id", "subtype", "fact_rank", "template_id")
 
 
 @query("B11_drop_reasons", "SELECT subtype, coalesce(drop_reason, '') AS reason, count(*) AS n FROM judged GROUP BY ALL")
 def drop_reasons(t: Tables) -> DataFrame:
-    judged = pairs.judged_facts(t.facts, facts.count_maps(t.cnt), banks.bank_arrays(t.bank))
+    judged = pairs.judged_facts(t.facts, t.counts, banks.bank_arrays(t.bank))
     return judged.groupBy("subtype", F.coalesce("drop_reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
