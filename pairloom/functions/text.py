@@ -39,11 +39,11 @@ def any_word(text: Column, words: Sequence[str]) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
 # --- first present field ---------------------------------------------------------------------
@@ -119,19 +119,17 @@ def clean(text: Column, mode: str) -> Column:
     """
     t = F.lower(F.coalesce(text, F.lit("")))
     if mode == "phrase":
-        return squeeze(F.regexp_replace(squeeze(F.translate(t, "_", " ")), r"[^a-z0-9\-\s]", ""))
+        return squeeze(F.regexp_replace(F.translate(t, "_", " "), r"[^a-z0-9\-\s]+", ""))
     if mode == "text":
-        return squeeze(F.regexp_replace(F.translate(t, "_", " "), r"[^a-z0-9\-\s]", " "))
+        return F.trim(F.regexp_replace(t, r"[^a-z0-9\-]+", " "))
     if mode == "spaces":
         return squeeze(t)
     if mode == "query":
-        return squeeze(F.regexp_replace(F.translate(t, "-", " "), r"[^a-z0-9\s]", " "))
+        return F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
     if mode == "entity":
         # Each article is dropped at most once, in this order.
-        t = squeeze(F.regexp_replace(strip(t), r"[^a-z0-9\s_-]+", " "))
-        for article in ("the", "a", "an"):
-            t = strip(F.regexp_replace(t, f"^{article} ", ""))
-        return t
+        plain = F.trim(F.regexp_replace(t, r"[^a-z0-9_-]+", " "))
+        return F.regexp_replace(plain, r"^(the )?(a )?(an )?", "")
     if mode == "object":
         t = squeeze(F.regexp_replace(strip(t), r"[?.!,;:]+$", ""))
         return squeeze(F.regexp_replace(t, r"^((a|an|the|any)( |$))+", ""))
@@ -156,7 +154,7 @@ def relation_key(text: Column, vocabulary: str) -> Column:
     if vocabulary == "subtype":
         return lookup(clean(text, "spaces"), fixed.SUBTYPE_RELATION_ALIASES)
     if vocabulary == "record":
-        t = squeeze(F.regexp_replace(strip(F.lower(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", " "))
+        t = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
         return lookup(t, fixed.RECORD_RELATION_ALIASES, F.translate(t, " ", "_"))
     raise ValueError(f"unknown relation vocabulary {vocabulary}")
 
@@ -185,8 +183,12 @@ def object_allowed(name: Column, whitelist: Sequence[str]) -> Column:
 
 
 def relation_usable(subject: Column, relation: Column, obj: Column) -> Column:
-    same = comparable_entity(subject) == comparable_entity(obj)
-    return ~relation.isin(*fixed.RECORD_VAGUE_RELATIONS) & ~same & (clean(subject, "entity") != "") & (clean(obj, "entity") != "")
+    """Rule for cleaned entity names: no vague relation, no relation of a thing with itself."""
+
+    def bare(name: Column) -> Column:
+        return let(squeeze(F.translate(name, "_-", "  ")), _singular_tail)
+
+    return ~relation.isin(*fixed.RECORD_VAGUE_RELATIONS) & (subject != "") & (obj != "") & (bare(subject) != bare(obj))
 
 
 def scene_relation_bucket(relation: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import geometry as geo
@@ -54,6 +54,11 @@ def count_maps(counts: DataFrame, name: str = "category") -> DataFrame:
     return counts.groupBy("image_id").agg(F.map_from_entries(entries).alias("counts"))
 
 
+def oversized(objs: DataFrame) -> DataFrame:
+    """``(image_id, _n)`` of the images with more than ``BLOCK`` objects."""
+    return objs.groupBy("image_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
+
+
 def paired(
     objs: DataFrame,
     match: Callable[[Column, Column], Column],
@@ -69,7 +74,7 @@ def paired(
     blocks becomes its own join key, which spreads an image over tasks.
     """
     fields = list(dict.fromkeys([key, *columns]))
-    sizes = objs.groupBy("image_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
+    sizes = oversized(objs)
     a, b = F.col("a"), F.col("b")
     order = a[key] != b[key] if ordered else a[key] < b[key]
     if not sizes.limit(1).count():
@@ -122,11 +127,16 @@ def some(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array_compact(F.array(value))).alias(name))
 
 
-def numbered_relations(rels: DataFrame) -> DataFrame:
+def numbered_relations(objs: DataFrame, **thresholds: float) -> DataFrame:
     """Relations with their 1-based index in the image, in pair order.
 
-    The pair join is the dear part, so its result is written once and only then ranked.
+    Without an oversized image a window by image is bounded by the block size. Otherwise the relations, the dear
+    part, are written once and ranked over ranges.
     """
+    rels = relations(objs, **thresholds)
+    if not oversized(objs).limit(1).count():
+        order = Window.partitionBy("image_id").orderBy("subject_ann", "object_ann")
+        return rels.withColumn("rel_index", F.row_number().over(order).cast("long"))
     return global_rank(pinned(rels), ["image_id"], ["subject_ann", "object_ann"], "rel_index")
 
 

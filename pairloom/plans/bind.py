@@ -282,7 +282,7 @@ class Tables:
 
     @cached_property
     def rels(self) -> DataFrame:
-        return facts.numbered_relations(facts.relations(self.objs_table))
+        return facts.numbered_relations(self.objs_table)
 
     @cached_property
     def facts(self) -> DataFrame:
