@@ -3,7 +3,7 @@
 A plain ``row_number().over(partitionBy(key))`` sends a whole group to one task. The operators here
 keep the exact same results while no task has to take more than a share of the rows:
 
-* ``first_per_group`` is an aggregate, combined before the shuffle.
+* ``first_per_group`` keeps one row per group and input partition before the shuffle.
 * ``top_k`` lets every salt keep its own first ``k`` rows before the group is put together.
 * ``running_sums`` / ``global_rank`` cut the total order (keys, order) into ranges; only the few
   groups that cross a range border need an offset, and their number is bounded by the ranges.
@@ -36,9 +36,11 @@ def _cols(order: Sequence[Column | str]) -> list[Column]:
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of every group by ascending ``order`` (use ``-col`` for descending numbers)."""
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*_cols(order))).alias("_best"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
+    """The first row of every group by ascending ``order`` (use ``-col`` for descending numbers).
+
+    A rank limit of one: every input partition sends at most one row per group, and columns nobody reads are pruned.
+    """
+    return top_k(df, keys, order, 1, "_first").drop("_first")
 
 
 def top_k(

@@ -21,6 +21,7 @@ TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+FACT_TABLES = ("lineitem", "documents")
 # Vector layout of an embedding: 2 layers x 4 heads x 8 dimensions.
 LAYERS, HEADS, DIM = 2, 4, 8
 THINGS = {"ring": "cup", "bolt": "chair", "plate": "plate", "rod": "man", "anvil": "dog", "widget": "car", "gear": "bag", "gizmo": "person"}
@@ -222,6 +223,12 @@ def with_views(body: str) -> str:
     return f"WITH {ctes}\n{stripped}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table stored in fewer splits than there are cores, dealt out to all of them; any other table as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The given tables and the domain tables bound to them, all lazy."""
 
@@ -229,9 +236,11 @@ class Tables:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLE_NAMES:
-            return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        raise AttributeError(name)
+        if name not in TABLE_NAMES:
+            raise AttributeError(name)
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        self.__dict__[name] = spread(table) if name in FACT_TABLES else table
+        return self.__dict__[name]
 
     @cached_property
     def images(self) -> DataFrame:

@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local run) a fresh
-    temporary folder is chosen, once per session.
+    temporary folder is chosen, once per application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="pairloom-")
+        _LOCAL_DIRS[app] = base
     return base.rstrip("/")
 
 

@@ -29,14 +29,15 @@ def incremental_facts(stream: DataFrame, build: Callable[[DataFrame], DataFrame]
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        past = f"{seen}/epoch="
+        mine = f"{seen}/epoch={epoch}"
         fresh = batch
         if epoch:
-            done = spark.read.option("basePath", seen).parquet(*[f"{past}{e}" for e in range(epoch)]).select(key)
+            # Partition pruning leaves out this epoch, should it be run again.
+            done = spark.read.parquet(seen).filter(F.col("epoch") < epoch).select(key)
             fresh = batch.join(done, key, "left_anti")
-        fresh.select(key).distinct().write.mode("overwrite").parquet(f"{past}{epoch}")
+        fresh.select(key).distinct().write.mode("overwrite").parquet(mine)
         # Read the ids back: the facts are of exactly the images this batch has recorded.
-        ids = spark.read.parquet(f"{past}{epoch}")
+        ids = spark.read.parquet(mine)
         build(batch.join(ids, key, "left_semi")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
