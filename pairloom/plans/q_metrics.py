@@ -397,3 +397,44 @@ def d27(t: Tables) -> DataFrame:
 
 
 __all__ = ["seeded_flip", "rounded", "scored", "runs"]
+
+
+@query(
+    "D10_output_length",
+    r"""WITH p AS (SELECT role, label, coalesce(nullif(regexp_extract(lower(answer), '(?:^|[^\p{L}\p{N}_])(yes|no)(?:$|[^\p{L}\p{N}_])', 1), ''), 'invalid') AS pred,
+      CASE WHEN trim(answer, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE len(string_split_regex(trim(answer, chr(32) || chr(9) || chr(10) || chr(13)), '\s+')) END AS w FROM said)
+    SELECT role, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0 END), 6) AS accuracy, round(avg(w), 6) AS avg_output_words FROM p GROUP BY role""",
+)
+def d10_output(t: Tables) -> DataFrame:
+    parsed = t.said.withColumn("pred", text.parse_answer(F.col("answer"), "earliest"))
+    return rounded(metrics.yes_no_metrics(parsed, ["role"], "labeled", output="answer").select("role", "n", "accuracy", "avg_output_words"))
+
+
+@query(
+    "D25_mask_match",
+    """SELECT method, CASE method WHEN 'click' THEN 'matched_energy' WHEN 'error' THEN 'random_mask' WHEN 'purchase' THEN 'g_all_baseline' WHEN 'signup' THEN 'g_type_baseline' ELSE 'mismatched_energy' END AS match, count(*) AS n FROM preds GROUP BY ALL""",
+)
+def d25_masks(t: Tables) -> DataFrame:
+    m, s = F.col("method"), F.col("subtype")
+    kind = text.subtype_type(s)
+    mask = (
+        F.when(m == "click", F.concat(F.lit("mask_s_"), s, F.lit("_energy_top64"))).when(m == "error", "random_mask_top64_seed1").when(m == "purchase", "mask_g_all_norm_top64")
+        .when(m == "signup", F.concat(F.lit("mask_g_"), kind, F.lit("_norm_top64"))).otherwise("mask_s_elsewhere_energy_top64")
+    )
+    return t.preds.groupBy("method", selection.mask_match(mask, s, kind, F.lit("")).alias("match")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "D26_shift_tags",
+    """WITH g AS (SELECT method, subtype, avg(CASE WHEN pred = 'yes' THEN 1.0 ELSE 0 END) - avg(CASE WHEN bp = 'yes' THEN 1.0 ELSE 0 END) AS dy, avg(CASE WHEN pred = label THEN 1.0 ELSE 0 END) - avg(CASE WHEN bp = label THEN 1.0 ELSE 0 END) AS da,
+      count(*) FILTER (WHERE pred <> bp AND pred = label) AS fixed, count(*) FILTER (WHERE pred <> bp AND bp = label) AS broken FROM (SELECT *, coalesce(base_pred, 'invalid') AS bp FROM vars) GROUP BY ALL)
+    SELECT method, subtype, round(dy, 6) + 0.0 AS shift, coalesce(nullif(concat_ws(',', CASE WHEN dy > 0.02 THEN 'yes-shift' END, CASE WHEN dy < -0.02 THEN 'no-shift' END, CASE WHEN da > 0 AND fixed > broken THEN 'precise-correction' END), ''), 'neutral/mixed') AS tags FROM g""",
+)
+def d26_tags(t: Tables) -> DataFrame:
+    keys = ["method", "subtype"]
+    mean = lambda c, v: F.avg(F.when(F.col(c) == v, 1.0).otherwise(0.0))
+    table = metrics.flips(t.vars, keys).join(
+        t.vars.groupBy(*keys).agg((mean("pred", "yes") - mean("base_pred", "yes")).alias("dy"), (mean("pred", F.col("label")) - mean("base_pred", F.col("label"))).alias("da")), keys
+    )
+    tags = selection.shift_tags(F.col("dy"), F.col("da"), F.col("wrong_to_right"), F.col("right_to_wrong"))
+    return table.select(*keys, (F.round("dy", 6) + F.lit(0.0)).alias("shift"), tags.alias("tags"))

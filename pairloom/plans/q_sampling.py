@@ -475,3 +475,12 @@ def f7(t: Tables) -> DataFrame:
 
 
 __all__ = ["case", "fixed", "listed"]
+
+
+@query(
+    "D30_number_words",
+    "SELECT w AS word, count(*) AS n FROM (SELECT ' ' || lower(regexp_replace(obj || ' ' || ['one', 'two', 'six', 'bone'][CAST(kind % 4 + 1 AS INTEGER)], '[^a-z]', ' ', 'g')) || ' ' AS t, unnest(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten']) AS w FROM asked) WHERE contains(t, ' ' || w || ' ') GROUP BY w",
+)
+def d30_numbers(t: Tables) -> DataFrame:
+    more = F.get(F.array(*map(F.lit, ("one", "two", "six", "bone"))), (F.col("kind") % 4).cast("int"))
+    return profile.number_words(t.asked.select("obj", more.alias("extra")), ["obj", "extra"])
