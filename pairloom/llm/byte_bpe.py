@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,23 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that a worker keeps, with their ids, from one group of texts to the next.
-KEPT = 500_000
+#: Chunks that a worker keeps, with their ids, in each of two generations: those used lately and those used before.
+KEPT = 250_000
 #: Bytes of new pieces that one recursive query takes.
-QUERY_BYTES = 6_000_000
-#: A row is a token of piece w at byte position p. 24 bits hold a position; a text of 16 MB without any boundary is beyond them.
+QUERY_BYTES = 2_000_000
+#: A row is token t of piece w at byte position p, with the position and the token that follow it (-1: none), so that a round needs
+#: no sorting. 24 bits hold a position; a text of 16 MB without any boundary is beyond them.
 CONTRACT = """
 WITH RECURSIVE s AS (
-  SELECT 0 AS step, w, p, t FROM start_rows
+  SELECT 0 AS step, w, p, np, t, nt FROM start_rows
   UNION ALL
-  (WITH next_token AS (
-     SELECT step, w, p, t, lead(t) OVER v AS nt, lead(p) OVER v AS np FROM s WINDOW v AS (PARTITION BY w ORDER BY p)),
-   ranked AS (
-     SELECT n.*, m FROM next_token n LEFT JOIN merges ON pair = t::BIGINT * 1048576 + nt),
+  (WITH ranked AS (
+     SELECT s.*, m * 16777216 + p AS place FROM s LEFT JOIN merges ON pair = t::BIGINT * 1048576 + nt AND nt >= 0),
    best AS (
-     SELECT w, min(m * 16777216 + p) AS least, arg_min(np, m * 16777216 + p) AS gone FROM ranked WHERE m IS NOT NULL GROUP BY w)
-   SELECT step + 1, r.w, p, CASE WHEN p = least & 16777215 THEN (least >> 24)::INT ELSE t END
-   FROM ranked r JOIN best USING (w) WHERE p <> gone)
+     SELECT w, min(place) AS least, arg_min(np, place) AS gone FROM ranked WHERE place IS NOT NULL GROUP BY w),
+   pair AS (
+     SELECT b.w, (least & 16777215)::INT AS hit, (least >> 24)::INT AS merged, gone, r.np AS np2, r.nt AS nt2
+     FROM best b JOIN ranked r ON r.w = b.w AND r.p = b.gone)
+   SELECT step + 1, r.w, p, CASE WHEN p = hit THEN np2 ELSE np END, CASE WHEN p = hit THEN merged ELSE t END,
+          CASE WHEN p = hit THEN nt2 WHEN np = hit THEN merged ELSE nt END
+   FROM ranked r JOIN pair ON r.w = pair.w WHERE p <> gone)
 )
 SELECT s.w, p, t FROM s JOIN (SELECT w, max(step) AS last FROM s GROUP BY w) e ON s.w = e.w AND step = last
 """
@@ -65,12 +67,13 @@ class Encoder:
         vocabulary = pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [x.hex() for x in ranks]})
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '512MB'")
+        self.db.execute("SET memory_limit = '400MB'")
         self.db.register("merge_rows", merges)
         self.db.register("vocabulary_rows", vocabulary)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows; CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows")
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.kept: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "Encoder":
@@ -92,7 +95,9 @@ class Encoder:
             n = length[first:last]
             w = np.repeat(np.arange(first, first + len(n), dtype=np.int32) + len(whole), n)
             p = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            self.db.register("start_rows", pa.table({"w": w, "p": p, "t": self.byte_id[np.frombuffer(b"".join(cut[first:last]), np.uint8)]}))
+            t = self.byte_id[np.frombuffer(b"".join(cut[first:last]), np.uint8)]
+            end = np.append(w[1:] != w[:-1], True)
+            self.db.register("start_rows", pa.table({"w": w, "p": p, "np": np.where(end, -1, p + 1).astype(np.int32), "t": t, "nt": np.where(end, -1, np.append(t[1:], -1)).astype(np.int32)}))
             rows.append(self.db.sql(CONTRACT).to_arrow_table())
             first = last
         self.db.register("id_rows", pa.concat_tables(rows))
@@ -113,19 +118,24 @@ class Encoder:
     def texts(self, texts: list[str | None]) -> Iterator[tuple[str, int, bytes]]:
         """(ids joined by commas, their number, decoded bytes) of every text. Texts fall into chunks that repeat often."""
         chunked = [_CUT.split(t) if t else [] for t in texts]
-        seen = Counter(chain.from_iterable(chunked))
-        new = [c for c in seen if c not in self.kept]
+        new = []
+        for c in set(chain.from_iterable(chunked)):
+            if c not in self.kept:
+                if c in self.older:
+                    self.kept[c] = self.older[c]
+                else:
+                    new.append(c)
         if new:
             self._learn(new)
         for x in chunked:
             got = [self.kept[c] for c in x]
             yield ",".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])
-        if len(self.kept) > KEPT:  # what came once is unlikely to come again
-            self.kept = {c: self.kept[c] for c, n in seen.most_common(KEPT // 2)}
+        if len(self.kept) > KEPT:
+            self.kept, self.older = {}, self.kept
 
 
 #: Characters of text that are encoded together.
-GROUP_CHARS = 24_000_000
+GROUP_CHARS = 6_000_000
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
