@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction. DataFrame and SQL functions only.
 
 Seeds are e-mail addresses, IP addresses, card and phone numbers found by their form. The two words before a seed are a lexical
-pattern. A pattern's confidence is the share of known identifiers among all places of the corpus where it stands; patterns of high
+pattern. A pattern's confidence is the share of the documents where it stands in which it leads to a known identifier; patterns of high
 confidence and support accept identifier-like tokens that follow them, these become seeds themselves, and so on until nothing new
 is found.
 """
@@ -26,7 +26,7 @@ PATTERNS = {
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Kinds of a span, in the order in which spans of one start are listed.
 FOUND = "context"
-#: A pattern needs so many different known identifiers and this share of all its places.
+#: A pattern needs so many different known identifiers and this share of its documents.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.6, 3
 #: Characters before a span in which its two words are looked for; a longer pair of words is no lexical pattern.
 REACH = 64
@@ -130,22 +130,22 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern) -> (pattern, places): how often each pair of words stands in the corpus, over whole texts."""
+    """(pattern) -> (pattern, places): in how many documents each pair of words stands, over whole texts."""
     words = F.filter(F.split(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     pairs = F.zip_with(F.col("_w"), F.slice(F.col("_w"), F.lit(2), F.size("_w")), lambda a, b: F.concat_ws(" ", a, b))
-    rows = docs.select(words.alias("_w")).filter(F.size("_w") > 1).select(F.explode(pairs).alias("pattern"))
+    rows = docs.select(words.alias("_w")).filter(F.size("_w") > 1).select(F.explode(F.array_distinct(pairs)).alias("pattern"))
     return rows.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("places"))
 
 
 def discover(docs: DataFrame, spans: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame | None:
     """``spans`` of :func:`marked` (pinned) -> (doc_id, _th, start, end) of identifiers that patterns add, or None where no pattern
     has the support and the confidence."""
-    seeds = spans.select(F.explode("_seeds").alias("s")).select(F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance")).filter("pattern <> ''")
+    seeds = spans.select("doc_id", "_th", F.explode("_seeds").alias("s")).select("doc_id", "_th", F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance")).filter("pattern <> ''")
     near = spans.select("doc_id", "_th", F.explode("_near").alias("n")).select("doc_id", "_th", F.col("n.start").alias("start"), F.col("n.end").alias("end"), F.col("n.left").alias("pattern"), F.lower("n.value").alias("instance")).filter("pattern <> ''")
     near = pinned(near)
     known, places, taken, before = seeds, None, None, -1
     for _ in range(rounds):
-        supported = pinned(known.groupBy("pattern").agg(F.countDistinct("instance").alias("different"), F.count("*").alias("hits")).filter(F.col("different") >= support))
+        supported = pinned(known.groupBy("pattern").agg(F.countDistinct("instance").alias("different"), F.countDistinct(F.struct("doc_id", "_th")).alias("hits")).filter(F.col("different") >= support))
         if not supported.limit(1).count():
             return None if taken is None else taken
         fresh = supported.select("pattern") if places is None else supported.join(places, "pattern", "left_anti").select("pattern")
@@ -160,7 +160,7 @@ def discover(docs: DataFrame, spans: DataFrame, support: int = SUPPORT, confiden
         # an accepted identifier counts wherever it stands, and its other contexts become patterns to score
         hits = near.join(added, "instance", "left_semi")
         taken = pinned(hits.select("doc_id", "_th", "start", "end").distinct())
-        known = seeds.unionByName(hits.select("pattern", "instance"))
+        known = seeds.unionByName(hits.select("doc_id", "_th", "pattern", "instance"))
     return taken
 
 
