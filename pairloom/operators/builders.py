@@ -475,8 +475,9 @@ def selected_pairs(pairs: DataFrame, target_rows: int, seed: int = 42) -> DataFr
 
 # --- subtype minimal pairs --------------------------------------------------------------------------
 
-def strategy_pairs(images: DataFrame, counts: DataFrame, popular: Sequence[str], seed: int = 42) -> DataFrame:
-    """Existence pairs with a random, a popular and a hard negative: ``images(image_id, present, absent)``, ``counts(image_id, counts)``."""
+def strategy_pairs(images: DataFrame, counts: DataFrame, popular: DataFrame, seed: int = 42) -> DataFrame:
+    """Existence pairs with a random, a popular and a hard negative: ``images(image_id, present, absent)``, ``counts(image_id, counts)``,
+    ``popular(category, n)``."""
     chosen = hard_negatives(images, popular, seed).join(images.select("image_id", "present"), "image_id").join(counts, "image_id")
     p = F.col("p")
     ready = chosen.withColumn("p", pick(F.col("present"), seed, "image_id"))

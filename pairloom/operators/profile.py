@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import fixed, text
-from pairloom.operators.ordering import top_k
+from pairloom.operators.ordering import global_rank, top_k
+from pairloom.session import pinned
 
 
 def image_profile(pairs: DataFrame, subtypes: Sequence[str], order: str) -> DataFrame:
@@ -37,7 +38,8 @@ def top_values(df: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFr
 def conditional_modes(df: DataFrame, given: str, value: str) -> DataFrame:
     """Frequency of every value given another column, with its rank (most frequent first, ties by value)."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(given, value).agg(F.count("*").alias("n"))
-    return top_k(counts, [given], [-F.col("n"), F.col(value)], 1000)
+    ordered = pinned(counts.withColumn("_n", -F.col("n")))
+    return global_rank(ordered.filter(F.col(given).isNotNull()), [given], ["_n", value], "rank").drop("_n")
 
 
 def grouped_counts(df: DataFrame, sets: Sequence[Sequence[str]], distinct: str | None = None) -> DataFrame:

@@ -108,12 +108,13 @@ def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) draw by inverting its distribution at ``u`` in [0, 1)."""
-    out, total, term = F.when(F.lit(False), 0), 0.0, 2.718281828459045**-1
-    for k in range(9):
+    out, total, term, k = F.when(F.lit(False), 0), 0.0, 2.718281828459045**-1, 0
+    while 1 - total > 2.0**-32:  # what is left is finer than the draws
         total += term
         out = out.when(u < total, k)
-        term /= k + 1
-    return out.otherwise(9)
+        k += 1
+        term /= k
+    return out.otherwise(k)
 
 
 def bootstrap_interval(df: DataFrame, keys: Sequence[str], value: Column, row_key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:

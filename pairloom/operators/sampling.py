@@ -161,18 +161,18 @@ def shortfall(rows: DataFrame, answer: str, targets: Mapping[str, int]) -> DataF
     return want.join(have, answer, "left").select(answer, F.greatest(F.col("target") - F.coalesce("n", F.lit(0)), F.lit(0)).alias("missing"))
 
 
-def capped_selection(candidates: DataFrame, within: Sequence[str], caps: Mapping[str, int], target: int, seed: int, key: Sequence[str], rounds: int = 4) -> DataFrame:
+def capped_selection(candidates: DataFrame, within: Sequence[str], caps: Mapping[str, int], target: int, seed: int, key: Sequence[str]) -> DataFrame:
     """Rows that respect a cap on every listed column at once, at most ``target`` per ``within``.
 
     Each round cuts column after column to what its cap still allows and keeps the survivors, so no cap is ever
-    exceeded; later rounds offer the rows left over to values with room. Rows with a null in a column are not
+    exceeded; later rounds offer the rows left over to values with room, until a round adds nothing. Rows with a null in a column are not
     capped by it. The caps hold exactly; which rows are taken can differ from a sequential pass.
     """
     pool = pinned(candidates.withColumn("_s", seeded_key(seed, *key)))
     order = ["_s", *key]
     taken: DataFrame | None = None
     size = -1
-    for _ in range(rounds):
+    while True:
         left = pool if taken is None else pool.join(taken.select(*key), list(key), "left_anti")
         for column, cap in caps.items():
             open_rows, named = left.filter(F.col(column).isNull()), left.filter(F.col(column).isNotNull())
@@ -187,8 +187,6 @@ def capped_selection(candidates: DataFrame, within: Sequence[str], caps: Mapping
         if now == size:
             break
         size = now
-    if taken is None:
-        raise ValueError("rounds must be positive")
     return top_k(taken, list(within), order, target, "_r").drop("_r", "_s")
 
 
@@ -214,24 +212,27 @@ def cooccurrence(present: DataFrame) -> DataFrame:
     return ends.filter("a <> b").groupBy("a", "b").agg(F.sum("_m").alias("n"))
 
 
-def hard_negatives(images: DataFrame, popular: Sequence[str], seed: int) -> DataFrame:
+def hard_negatives(images: DataFrame, popular: DataFrame, seed: int) -> DataFrame:
     """Negatives of ``images(image_id, present, absent)`` by three strategies, with how each was found.
 
     ``hard`` is the absent value that occurs most often together with the present ones. It depends on the set of
-    present values only, so it is computed once per distinct set and joined back.
+    present values only, so it is computed once per distinct set and joined back; so is the absent value of the
+    highest count in ``popular(category, n)``, ties to the lower name.
     """
+    images = pinned(images)
     sets = images.select("present", "absent").distinct()
     pairs = cooccurrence(images)
     near = sets.select("present", "absent", F.explode("present").alias("a")).join(pairs, "a").filter(F.array_contains("absent", F.col("b")))
     sums = near.groupBy("present", "b").agg(F.sum("n").alias("score"))
     best = sums.groupBy("present").agg(F.max(F.struct("score", "b")).alias("top"), F.max("score").alias("most"))
     ties = sums.join(best, "present").filter("score = most").groupBy("present").agg(F.sort_array(F.collect_set("b")).alias("hardest"))
-    liked = F.filter(F.array(*map(F.lit, popular)), lambda w: F.array_contains(F.col("absent"), w))
-    joined = images.join(ties, "present", "left")
+    named = sets.select("absent").distinct().select("absent", F.explode("absent").alias("category")).join(popular, "category")
+    liked = named.groupBy("absent").agg(F.min_by("category", F.struct(-F.col("n"), F.col("category"))).alias("liked"))
+    joined = images.join(ties, "present", "left").join(liked, "absent", "left")
     some = pick(F.col("absent"), seed, "image_id")
     return joined.filter(F.size("absent") > 0).select(
-        "image_id", some.alias("random_negative"), F.coalesce(F.get(liked, F.lit(0)), some).alias("popular_negative"),
-        F.when(F.size(liked) > 0, "popular_absent").otherwise("popular_fallback_random").alias("popular_strategy"),
+        "image_id", some.alias("random_negative"), F.coalesce("liked", some).alias("popular_negative"),
+        F.when(F.col("liked").isNotNull(), "popular_absent").otherwise("popular_fallback_random").alias("popular_strategy"),
         F.coalesce(pick(F.col("hardest"), seed, "image_id"), some).alias("hard_negative"),
         F.when(F.col("hardest").isNotNull(), "cooccurrence_hard_absent").otherwise("hard_fallback_random").alias("hard_strategy"),
     )

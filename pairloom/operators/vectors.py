@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as v
-from pairloom.operators.ordering import seeded_flip, seeded_key, top_k
+from pairloom.operators.ordering import global_rank, seeded_flip, seeded_key, top_k
+from pairloom.session import pinned
 
 HEAD = ["layer", "head"]
 
@@ -102,8 +103,11 @@ def _branch_mean(value: Column) -> list[Column]:
     return [F.avg(F.when(F.col("branch") == b, value)).alias(f"disp_{b}") for b in ("pos", "neg")]
 
 
-def ranked_heads(scores: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = ("score",)) -> DataFrame:
-    """The k best heads of every group: ``by`` descending, then layer and head. Scores compare at 9 digits."""
+def ranked_heads(scores: DataFrame, keys: Sequence[str], k: int | None, by: Sequence[str] = ("score",)) -> DataFrame:
+    """The k best heads of every group, all of them with None: ``by`` descending, then layer and head. Scores compare at 9 digits."""
+    if k is None:
+        named = {f"_by{i}": -F.round(c, 9) for i, c in enumerate(by)}
+        return global_rank(pinned(scores.withColumns(named)), keys, [*named, "layer", "head"], "rank").drop(*named)
     return top_k(scores, keys, [*[-F.round(c, 9) for c in by], "layer", "head"], k)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import text, vectors
 from pairloom.operators import banks, facts
-from pairloom.operators.ordering import first_per_group
+from pairloom.operators.ordering import global_rank
 from pairloom.session import pinned
 
 TABLE_NAMES = (
@@ -124,14 +124,12 @@ VIEWS = {
                          <= CASE subtype WHEN 'rel' THEN 15 ELSE 80 END)
         QUALIFY row_number() OVER (PARTITION BY subtype ORDER BY fact_rank) <= CASE subtype WHEN 'col' THEN 200 ELSE 500 END""",
     "preds": """
-        WITH e AS (SELECT *, (day(ts) - 1) // 7 AS week FROM events)
-        SELECT CAST(user_id AS VARCHAR) || '-' || CAST(week AS VARCHAR) AS sample_id, event_type AS method, user_id % 4 AS subtype_no,
+        SELECT CAST(user_id AS VARCHAR) || '-' || CAST(r AS VARCHAR) AS sample_id, event_type AS method, user_id % 4 AS subtype_no,
                ['cat_random', 'attr_color', 'attr_count', 'rel_spatial'][CAST(user_id % 4 + 1 AS INTEGER)] AS subtype,
-               CASE WHEN (user_id + week) % 2 = 1 THEN 'yes' ELSE 'no' END AS label,
-               CASE WHEN min_by(value, event_id) >= 35 THEN 'yes' WHEN min_by(value, event_id) < 3 THEN 'invalid' ELSE 'no' END AS pred,
-               min_by(value, event_id) AS score, CAST(json_extract_string(min_by(props, event_id), '$.k') AS DOUBLE) / 100 AS alpha,
-               min(event_id) AS event_id, min_by(user_id, event_id) AS user_id
-        FROM e GROUP BY user_id, week, event_type""",
+               CASE WHEN (user_id + r) % 2 = 1 THEN 'yes' ELSE 'no' END AS label,
+               CASE WHEN value >= 35 THEN 'yes' WHEN value < 3 THEN 'invalid' ELSE 'no' END AS pred,
+               value AS score, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS alpha, event_id, user_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events)""",
     "base": "SELECT * FROM preds WHERE method = 'view'",
     "vars": """
         SELECT p.*, b.pred AS base_pred, b.score AS base_score FROM preds p LEFT JOIN base b ON b.sample_id = p.sample_id AND b.subtype = p.subtype
@@ -304,17 +302,15 @@ class Tables:
 
     @cached_property
     def preds(self) -> DataFrame:
-        """One row per (sample, method): the lowest event of a user in a week."""
-        week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("long")
-        e = self.events.withColumn("week", week)
-        first = first_per_group(e, ["user_id", "week", "event_type"], ["event_id"])
+        """One row an event: the r-th of a user and type is that method's prediction for the user's r-th sample."""
+        first = global_rank(self.events, ["user_id", "event_type"], ["event_id"], "r")
         value = F.col("value")
         names = F.array(*map(F.lit, ("cat_random", "attr_color", "attr_count", "rel_spatial")))
         return first.select(
-            F.concat_ws("-", "user_id", "week").alias("sample_id"),
+            F.concat_ws("-", "user_id", "r").alias("sample_id"),
             F.col("event_type").alias("method"),
             F.get(names, (F.col("user_id") % 4).cast("int")).alias("subtype"),
-            F.when((F.col("user_id") + F.col("week")) % 2 == 1, "yes").otherwise("no").alias("label"),
+            F.when((F.col("user_id") + F.col("r")) % 2 == 1, "yes").otherwise("no").alias("label"),
             F.when(value >= 35, "yes").when(value < 3, "invalid").otherwise("no").alias("pred"),
             value.alias("score"),
             (F.get_json_object("props", "$.k").cast("double") / 100).alias("alpha"),

@@ -165,8 +165,7 @@ def p8_existence(t: Tables) -> DataFrame:
 
 @query("P9_strategy_pairs")
 def p9(t: Tables) -> DataFrame:
-    popular = [r[0] for r in t.cnt.groupBy("category").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "category").limit(1000).collect()]
-    return builders.strategy_pairs(presence(t), facts.count_maps(t.cnt), popular)
+    return builders.strategy_pairs(presence(t), facts.count_maps(t.cnt), t.cnt.groupBy("category").agg(F.sum("n").alias("n")))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.operators import joins, metrics, rankmetrics, selection
+from pairloom.operators import joins, metrics, profile, rankmetrics, selection
 from pairloom.operators.ordering import seeded_flip
 from pairloom.plans.bind import Tables
 from pairloom.plans.registry import query
@@ -294,11 +294,12 @@ def d28(t: Tables) -> DataFrame:
 
 @query(
     "D28_top_outputs",
-    "SELECT answer, count(*) AS n FROM (SELECT lower(trim(substr(answer, 1, 12))) AS answer FROM said) GROUP BY answer ORDER BY n DESC, answer LIMIT 30",
+    r"""SELECT role, answer, count(*) AS n FROM (SELECT role, regexp_replace(answer, '^[\s\v]+|[\s\v]+$', '', 'g') AS answer FROM said) GROUP BY role, answer
+    QUALIFY row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, answer) <= 30""",
 )
 def top_outputs(t: Tables) -> DataFrame:
-    head = F.lower(F.trim(F.substring("answer", 1, 12))).alias("answer")
-    return t.said.groupBy(head).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "answer").limit(30)
+    whole = F.regexp_replace("answer", r"^\s+|\s+$", "").alias("answer")
+    return profile.top_values(t.said.select("role", whole), ["role"], "answer", 30).select("role", "answer", "n")
 
 
 @query(

@@ -123,7 +123,7 @@ COS_SCORES = """
 )
 def g5(t: Tables) -> DataFrame:
     scores = vec.head_scores(t.acts, protos(t))
-    return rounded(vec.ranked_heads(scores, ["subtype"], 1000, ("score", "sep")).select("subtype", *H, "score", "sep", "disp_pos", "disp_neg", "rank"))
+    return rounded(vec.ranked_heads(scores, ["subtype"], None, ("score", "sep")).select("subtype", *H, "score", "sep", "disp_pos", "disp_neg", "rank"))
 
 
 @query(
