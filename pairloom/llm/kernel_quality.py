@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import fold
@@ -144,22 +144,25 @@ def fit(labelled: DataFrame) -> Model:
     return Model(mean, spread, weights, steps, values)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model of ``labels.quality`` from documents whose crc32(doc_id as text) mod 5 is not 0. Rows with a null id or label, and
-    labels of unknown documents, are passed over."""
+def learn(stats: DataFrame, labels: DataFrame) -> Model:
+    """(doc_id, _stats) -> model of ``labels.quality`` from documents whose crc32(doc_id as text) mod 5 is not 0. Rows with a null id
+    or label, and labels of unknown documents, are passed over. Statistics, not texts, meet the labels."""
     known = labels.filter("quality is not null").select("doc_id", F.col("quality").alias("label"))
-    own = docs.filter(fold(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(known, "doc_id")
-    return fit(pinned(with_statistics(own).select("doc_id", "_stats", "label")))
+    own = stats.filter(fold(F.col("doc_id"), 5) != 0).select("doc_id", "_stats").join(known, "doc_id")
+    return fit(pinned(own.select("doc_id", "_stats", "label")))
 
 
-def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with a column of calibrated scores of its texts; other columns stay."""
-
+def _score(model: Model, stats: Column) -> Column:
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([statistics(t) for t in texts]))) if len(texts) else pd.Series([], dtype=float)
+    def score(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(rows.to_numpy()))) if len(rows) else pd.Series([], dtype=float)
+
+    return score(stats)
 
-    return docs.withColumn(name, score(F.col("text")))
+
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column of calibrated scores of its texts; other columns stay."""
+    return with_statistics(docs, "_stats").withColumn(name, _score(model, F.col("_stats"))).drop("_stats")
 
 
 #: From this score on a document counts as good.
@@ -172,6 +175,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have the score of a text whose statistics are all zero. Repeated rows come back as often as they came; a
     null id is never held out and never learnt from. Without labels every score is 0.5.
     """
-    out = scored(docs.select("doc_id", "text"), learn(docs, labels))
+    stats = pinned(with_statistics(docs.select("doc_id", "text")).select("doc_id", "_stats"))
+    out = stats.withColumn("score", _score(learn(stats, labels), F.col("_stats")))
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
