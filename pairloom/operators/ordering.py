@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.session import pinned
+
 # Spark filters rows of a rank window before the shuffle up to this limit
 # (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
 GROUP_LIMIT = 1000
@@ -60,29 +62,13 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*cols)).cast("long")).filter(F.col(rank) <= k)
 
 
-def split_points(df: DataFrame, cols: Sequence[str], parts: int) -> list[tuple]:
-    """At most ``parts - 1`` border rows that cut ``df`` into ranges of similar size.
+#: Rows of a range: what one task sorts. The number of ranges follows from it, so a task's share does not grow with the data.
+RANGE_ROWS = 2_000_000
 
-    Works on a hash-ordered sample of at most ``32 * parts`` rows, so the driver sees a bounded number.
-    """
-    keyed = df.select(*cols, F.xxhash64(*cols).alias("_h"))
-    sample = keyed.orderBy("_h").limit(32 * parts).select(*cols).orderBy(*cols).collect()
-    step = max(1, len(sample) // parts)
-    borders = sorted({i for i in range(step, len(sample), step)})[: parts - 1]
-    out: list[tuple] = []
-    for i in borders:
-        row = tuple(sample[i])
-        if not out or out[-1] != row:
-            out.append(row)
-    return out
-
-
-def _range_of(key: Column, borders: list[Column], low: int, high: int) -> Column:
-    """Binary decision tree: number of borders that are <= key."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key < borders[mid], _range_of(key, borders, low, mid)).otherwise(_range_of(key, borders, mid + 1, high))
+
+def range_count(rows: int, least: int) -> int:
+    """Ranges for so many rows: one for each RANGE_ROWS, ``least`` at least."""
+    return max(least, -(-rows // RANGE_ROWS))
 
 
 def running_sums(
@@ -94,37 +80,19 @@ def running_sums(
 ) -> DataFrame:
     """Add for each ``name: value`` the sum of value over the rows of the group up to and with this row.
 
-    ``(keys, order)`` must be a total order of ``df`` (columns, ascending, not null). ``df`` is read
-    more than once; pass a scanned table or a :func:`pairloom.session.pinned` result.
+    ``(keys, order)`` must be a total order of ``df`` (columns, ascending, not null). The rows are dealt to ranges of the
+    total order once and written; sums run inside the ranges, and groups that continue in a later range get what the
+    earlier ranges hold.
     """
-    spark = df.sparkSession
-    n = parts or min(256, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    total = [*keys, *order]
-    borders = split_points(df, total, n)
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def literal(name: str, value: object) -> Column:
-        return F.lit(value).cast(types[name])
-
-    def as_struct(row: tuple) -> Column:
-        return F.struct(*[literal(c, v).alias(c) for c, v in zip(total, row)])
-
-    valued = df.withColumns({f"_v_{name}": value for name, value in sums.items()})
-    if not borders:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return valued.withColumns({name: F.sum(f"_v_{name}").over(w) for name in sums}).drop(*[f"_v_{s}" for s in sums])
-
-    ranged = valued.withColumn("_range", _range_of(F.struct(*total), [as_struct(b) for b in borders], 0, len(borders)))
-    # Only groups that contain a border continue in a later range: at most len(borders) of them.
-    crossing = sorted({b[: len(keys)] for b in borders}, key=str)
+    n = parts or range_count(df.count(), max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    values = {f"_v_{name}": value for name, value in sums.items()}
+    ranged = pinned(df.withColumns(values).repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    crossed = ranged
     if keys:
-        key = F.struct(*keys)
-        crosses = F.lit(False)
-        for c in crossing:
-            crosses = crosses | (key == F.struct(*[literal(k, v).alias(k) for k, v in zip(keys, c)]))
-        crossed = ranged.filter(crosses)
-    else:
-        crossed = ranged
+        # The groups at the two ends of a range, two rows a range, are the only ones that can cross a border.
+        ends = ranged.groupBy("_range").agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"))
+        crossing = ends.select(F.explode(F.array("low", "high")).alias("k")).select("k.*").distinct()
+        crossed = ranged.join(F.broadcast(crossing), list(keys), "left_semi")
     per_range = crossed.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{s}").alias(f"_o_{s}") for s in sums])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
@@ -137,7 +105,7 @@ def running_sums(
         on = on & (F.col(k) == F.col(f"_k_{k}"))
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({name: F.sum(f"_v_{name}").over(within) for name in sums})
-    # offsets has at most (borders + 1) rows per crossing group in total: bounded, so broadcasting is safe.
+    # At most three rows a range: the two groups at its ends, and one more for each group that spans it.
     joined = local.join(F.broadcast(offsets), on, "left")
     out = joined.withColumns({s: F.col(s) + F.coalesce(F.col(f"_p_{s}"), F.lit(0)) for s in sums})
     return out.select(*df.columns, *sums)

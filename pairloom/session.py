@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,14 +17,19 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local run) a fresh
-    temporary folder is chosen, once per application.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master, whose executors live in the driver's process, may
+    leave it unset: then a fresh temporary folder is chosen, once per application, and deleted when Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a shared folder on {master}")
         app = spark.sparkContext.applicationId
-        base = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="pairloom-")
-        _LOCAL_DIRS[app] = base
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="pairloom-")
+            atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
+        base = _LOCAL_DIRS[app]
     return base.rstrip("/")
 
 

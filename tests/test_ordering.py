@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordering import first_per_group, global_rank, running_sums, seeded_sample, top_k
+from pairloom.operators.ordering import RANGE_ROWS, first_per_group, global_rank, range_count, running_sums, seeded_sample, top_k
 
 
 def skewed(n=600, seed=1):
@@ -70,3 +70,9 @@ def test_seeded_sample_does_not_depend_on_partitions(spark):
     b = {r[0] for r in seeded_sample(df.repartition(17), 5, 40, "id").collect()}
     assert a == b and len(a) == 40
     assert a != {r[0] for r in seeded_sample(df, 6, 40, "id").collect()}
+
+
+def test_ranges_follow_the_rows():
+    assert range_count(10, 8) == 8
+    assert range_count(1000 * RANGE_ROWS, 8) == 1000
+    assert range_count(10**10, 8) == 5000

@@ -89,7 +89,7 @@ def test_largest_remainder(spark):
 def test_hard_negative_is_the_most_cooccurring_absent_value(spark):
     df = spark.createDataFrame([("1", ["a", "b"]), ("2", ["a", "b"]), ("3", ["a", "c"]), ("4", ["a"])], "image_id string, present array<string>")
     images = df.withColumn("absent", F.array_except(F.array(*map(F.lit, "abcd")), "present"))
-    got = {r["image_id"]: r for r in sampling.hard_negatives(images, ["a", "b", "c", "d"], 1).collect()}
+    got = {r["image_id"]: r for r in sampling.hard_negatives(images, spark.createDataFrame([("a", 4), ("b", 2), ("c", 1), ("d", 1)], "category string, n long"), 1).collect()}
     assert got["4"]["hard_negative"] == "b" and got["4"]["hard_strategy"] == "cooccurrence_hard_absent"
     assert got["4"]["popular_negative"] == "b" and got["1"]["hard_negative"] == "c"
 
@@ -116,3 +116,23 @@ def test_violations(spark):
     assert got == {("2", "missing:question"): 1, ("2", "enum:answer"): 1, ("2", "duplicate:id"): 1}
     with pytest.raises(validate.ValidationError):
         validate.require_none(validate.violations(df, "id", ["question"]), "rows")
+
+
+def test_popular_negative_is_found_behind_a_thousand_others(spark):
+    """An image that holds the 1200 most frequent values gets the next one."""
+    names = [f"v{i:04d}" for i in range(1300)]
+    df = spark.createDataFrame([("1", names[:1200]), ("2", names[:1])], "image_id string, present array<string>")
+    images = df.withColumn("absent", F.array_except(F.array(*map(F.lit, names)), "present"))
+    counts = spark.createDataFrame([(n, 2000 - i) for i, n in enumerate(names)], "category string, n long")
+    got = {r["image_id"]: r for r in sampling.hard_negatives(images, counts, 1).collect()}
+    assert got["1"]["popular_negative"] == "v1200" and got["1"]["popular_strategy"] == "popular_absent" and got["2"]["popular_negative"] == "v0001"
+
+
+def test_capped_selection_ends_only_when_nothing_fits(spark):
+    """A chain in which every round can add one row only."""
+    rows = [(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(24)]
+    df = spark.createDataFrame([(i, "t", a, b) for i, a, b in rows], "id int, type string, a string, b string")
+    taken = {r["id"]: r for r in sampling.capped_selection(df, ["type"], {"a": 1, "b": 1}, 100, 3, ["id"]).collect()}
+    a, b = [r["a"] for r in taken.values()], [r["b"] for r in taken.values()]
+    assert len(set(a)) == len(a) and len(set(b)) == len(b)
+    assert not [i for i, x, y in rows if i not in taken and x not in a and y not in b]

@@ -129,3 +129,17 @@ def test_overlap_of_a_set_with_itself(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 9)], "name string, item int")
     got = {(r["a"], r["b"]): (r["shared"], r["jaccard"]) for r in sets.overlap(df, "name", ["item"]).collect()}
     assert got[("a", "a")] == (2, 1.0) and got[("a", "b")] == (1, pytest.approx(1 / 3)) and got[("a", "c")] == (0, 0.0) and len(got) == 9
+
+
+def test_ranking_keeps_all_heads(spark):
+    heads = spark.createDataFrame([("t", layer, head, float((layer * 37 + head * 11) % 101)) for layer in range(32) for head in range(32)], "subtype string, layer int, head int, score double")
+    ranks = [r["rank"] for r in vectors.ranked_heads(heads, ["subtype"], None).collect()]
+    assert sorted(ranks) == list(range(1, 1025))
+
+
+def test_modes_keep_all_values(spark):
+    from pairloom.operators import profile
+
+    df = spark.createDataFrame([("k", f"v{i}") for i in range(1500)] + [("k", "v7")], "given string, value string")
+    rows = profile.conditional_modes(df, "given", "value").collect()
+    assert len(rows) == 1500 and {r["value"]: r["rank"] for r in rows}["v7"] == 1
