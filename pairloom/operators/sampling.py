@@ -174,6 +174,11 @@ def capped_selection(candidates: DataFrame, within: Sequence[str], caps: Mapping
     size = -1
     while True:
         left = pool if taken is None else pool.join(taken.select(*key), list(key), "left_anti")
+        if taken is not None:  # what is left fits by itself, so the first row in order gets through and each round adds one at least
+            for column, cap in caps.items():
+                full = taken.groupBy(*within, column).agg(F.count("*").alias("_used")).filter(F.col("_used") >= cap)
+                left = left.join(full.drop("_used"), [*within, column], "left_anti").select(*pool.columns)
+            left = pinned(left)
         for column, cap in caps.items():
             open_rows, named = left.filter(F.col(column).isNull()), left.filter(F.col(column).isNotNull())
             ranked = top_k(named, [*within, column], order, cap, "_r")
