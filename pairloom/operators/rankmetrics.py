@@ -125,9 +125,7 @@ def bootstrap_interval(df: DataFrame, keys: Sequence[str], value: Column, row_ke
     """
     rows = df.select(*keys, F.col(row_key).cast("string").alias("_key"), value.cast("double").alias("_value"))
     drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    # xxhash64 keeps the draw in generated code; it is only a source of uniform bits here.
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_key", "_b"), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    w = poisson_weight(u)
+    w = poisson_weight(seeded_unit(seed, "_key", "_b"))
     sums = drawn.groupBy(*keys, "_b").agg(F.sum(w * F.col("_value")).alias("s"), F.sum(w).alias("w"))
     estimates = sums.filter("w > 0").select(*keys, (F.col("s") / F.col("w")).alias("estimate"), "_b")
     order = Window.partitionBy(*keys).orderBy("estimate", "_b")

@@ -178,7 +178,27 @@ def d20(t: Tables) -> DataFrame:
     return rounded(rankmetrics.best_threshold(rankmetrics.score_steps(scored(t), keys), keys))
 
 
-@query("D21_bootstrap_interval")
+def poisson_sql(u: str) -> str:
+    """The Poisson(1) draw at ``u``: how many of its cumulative probabilities ``u`` reaches."""
+    total, term, k, cuts = 0.0, 2.718281828459045**-1, 0, []
+    while 1 - total > 2.0**-32:
+        total += term
+        cuts.append(repr(total))
+        k += 1
+        term /= k
+    return f"len(list_filter([{', '.join(cuts)}]::DOUBLE[], lambda c: c <= {u}))"
+
+
+@query(
+    "D21_bootstrap_interval",
+    f"""WITH r AS (SELECT method, sample_id, CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0 END AS win FROM preds),
+    u AS (SELECT method, b, win, CAST('0x' || substr(md5('42|' || sample_id || '|' || b), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM r, range(200) x(b)),
+    w AS (SELECT method, b, win, {poisson_sql('u')} AS w FROM u),
+    e AS (SELECT method, b, sum(w * win) / sum(w) AS estimate FROM w GROUP BY method, b HAVING sum(w) > 0),
+    o AS (SELECT method, estimate, row_number() OVER (PARTITION BY method ORDER BY estimate, b) AS rk, count(*) OVER (PARTITION BY method) AS n FROM e)
+    SELECT method, round(m.mean, 6) AS mean, round(max(estimate) FILTER (WHERE rk = floor((n - 1) * 0.025) + 1), 6) AS lower_95, round(max(estimate) FILTER (WHERE rk = floor((n - 1) * 0.975) + 1), 6) AS upper_95
+    FROM o JOIN (SELECT method, avg(win) AS mean FROM r GROUP BY method) m USING (method) GROUP BY method, m.mean""",
+)
 def d21(t: Tables) -> DataFrame:
     win = F.when(F.col("pred") == F.col("label"), 1.0).otherwise(0.0)
     return rounded(rankmetrics.bootstrap_interval(t.preds, ["method"], win, "sample_id", replicates=200))

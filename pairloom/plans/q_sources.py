@@ -202,7 +202,10 @@ def a13_first(t: Tables) -> DataFrame:
     return sinks.first_rows_hash(t.documents, ["doc_id", "lang", "source"], ["doc_id"])
 
 
-@query("A13_manifest")
+@query(
+    "A13_manifest",
+    f"SELECT count(*) AS rows, count(DISTINCT lang) AS groups, CAST(sum(CAST(CAST('0x' || substr({SIG}, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest, 'doc_id,lang,source' AS columns FROM documents",
+)
 def a13_manifest(t: Tables) -> DataFrame:
     return sinks.manifest(t.documents, ["doc_id", "lang", "source"], "lang")
 
