@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a worker keeps, with their ids, in each of two generations: those used lately and those used before.
-KEPT = 250_000
+KEPT = 120_000
 #: Bytes of new pieces that one recursive query takes.
-QUERY_BYTES = 2_000_000
+QUERY_BYTES = 500_000
 #: A row is token t of piece w at byte position p, with the position and the token that follow it (-1: none), so that a round needs
 #: no sorting. 24 bits hold a position; a text of 16 MB without any boundary is beyond them.
 CONTRACT = """
@@ -67,7 +67,7 @@ class Encoder:
         vocabulary = pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [x.hex() for x in ranks]})
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '400MB'")
+        self.db.execute("SET memory_limit = '200MB'")
         self.db.register("merge_rows", merges)
         self.db.register("vocabulary_rows", vocabulary)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows; CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows")
@@ -135,7 +135,7 @@ class Encoder:
 
 
 #: Characters of text that are encoded together.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 2_000_000
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
@@ -147,10 +147,12 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
 
     def rows(group: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
         out = []
         for doc_id, (own, n, back) in zip(group["doc_id"], Encoder.of(path, pattern).texts(group["text"].tolist())):
             row = [None if pd.isna(doc_id) else int(doc_id), n, hashlib.sha256(own.encode()).hexdigest(), hashlib.sha256(back).hexdigest()]
-            out.append(row + [[int(x) for x in own.split(",")] if own else [], back.decode("utf-8", "replace")] if ids else row)
+            out.append(row + [np.fromstring(own, np.int32, sep=",") if own else np.empty(0, np.int32), back.decode("utf-8", "replace")] if ids else row)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
         return frame.astype({"doc_id": "Int64"})
 
