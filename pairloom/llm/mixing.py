@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import word_count
+from pairloom.operators.ordering import seeded_key
 from pairloom.session import pinned
 
 MAX_EPOCHS = 3
 _WIDE = "decimal(38,0)"
-#: Two passes over so many hash cells cut a source into 2 ** 24 slices; a slice holds a document or two.
+#: Two passes over so many hash cells (three hexadecimal digits each) cut a source into 2 ** 24 slices; a slice holds a document or two.
 CELLS = 4096
 
 
@@ -55,8 +56,8 @@ def _crossing(cells: DataFrame, cell: str) -> DataFrame:
 
 
 def _cells(seed: int, size: str) -> dict[str, Column]:
-    h = F.xxhash64(F.lit(seed), "doc_id", size)
-    return {"_c1": F.shiftrightunsigned(h, 52), "_c2": F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(CELLS - 1).cast("long"))}
+    h = seeded_key(seed, "doc_id", size)
+    return {f"_c{i}": F.conv(F.substring(h, 3 * i - 2, 3), 16, 10).cast("int") for i in (1, 2)}
 
 
 def stops(sized: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
@@ -107,3 +108,35 @@ def mixed_rows(docs: DataFrame, seed: int = 42) -> DataFrame:
     counts = pinned(sized.select("doc_id", "source", F.col("_size").alias("size")))
     taken = _with_copies(sized, "_size", stops(counts, targets_of(counts), seed), seed).filter("_copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+
+
+#: The same in SQL: sources in the order of cap over weight are clamped until one holds its share.
+SQL = r"""
+WITH d AS (
+  SELECT *, CAST('0x' || substr(h, 1, 3) AS INT) AS c1, CAST('0x' || substr(h, 4, 3) AS INT) AS c2
+  FROM (SELECT *, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size) AS h
+        FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents))),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+f AS (
+  SELECT *, sum(3 * source_size) OVER w - 3 * source_size AS caps_before, sum(weight) OVER w - weight AS weights_before, sum(source_size) OVER () AS budget, sum(weight) OVER () AS weights
+  FROM s WINDOW w AS (ORDER BY source_size / CAST(weight AS DOUBLE), source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+c AS (
+  SELECT *, bool_and(weight * (budget - caps_before) > 3 * source_size * (weights - weights_before))
+    OVER (ORDER BY source_size / CAST(weight AS DOUBLE), source NULLS LAST ROWS UNBOUNDED PRECEDING) AS clamped FROM f),
+t AS (
+  SELECT source, source_size, CASE WHEN clamped THEN CAST(3 * source_size AS DOUBLE)
+    ELSE CAST(weight * (budget - coalesce(sum(3 * source_size) FILTER (WHERE clamped) OVER (), 0)) AS DOUBLE) / CAST(sum(weight) FILTER (WHERE NOT clamped) OVER () AS DOUBLE) END AS target FROM c),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+x1 AS (
+  SELECT source, c1 AS stop1, want - upto + words AS want
+  FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY c1) AS upto
+        FROM (SELECT d.source, c1, any_value(target - whole * source_size) AS want, sum(size) AS words FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source GROUP BY d.source, c1))
+  WHERE upto > want AND upto - words <= want),
+x2 AS (
+  SELECT source, c2 + CASE WHEN (want - upto + words) * 2 >= words THEN 1 ELSE 0 END AS stop2
+  FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY c2) AS upto
+        FROM (SELECT d.source, c2, want, sum(size) AS words FROM d JOIN x1 ON d.source IS NOT DISTINCT FROM x1.source AND c1 = stop1 GROUP BY ALL))
+  WHERE upto > want AND upto - words <= want)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN coalesce(c1 < stop1 OR c1 = stop1 AND c2 < stop2, false) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN x1 ON d.source IS NOT DISTINCT FROM x1.source LEFT JOIN x2 ON d.source IS NOT DISTINCT FROM x2.source
+"""

@@ -66,4 +66,4 @@ pairs AS (
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
 """
-ORACLES: dict[str, str] = {"op2_norm_topk": TOP_K_SQL, "op5_token_rollup": token_rollup.SQL}
+ORACLES: dict[str, str] = {"op2_norm_topk": TOP_K_SQL, "op4_mixing": mixing.SQL, "op5_token_rollup": token_rollup.SQL}

@@ -255,3 +255,19 @@ def test_personal_data_on_odd_rows(odd_docs, no_docs):
     assert pii_bootstrap.find(odd_docs).count() == 12 and pii_bootstrap.find(no_docs).count() == 0
     rows = {r["doc_id"]: r for r in pii_bootstrap.redacted(odd_docs).collect()}
     assert rows[2]["text"] is None and rows[6]["text"].endswith("mail [EMAIL]") and rows[6]["n_chars"] == len(rows[6]["text"]) and rows[1]["label"] == 1
+
+
+def test_mixing_agrees_with_sql(spark, sf_dir, odd_docs):
+    import duckdb
+    rows = [tuple(r)[:5] for r in odd_docs.collect()]
+
+    for docs, create in (
+        (spark.read.parquet(f"{sf_dir}/documents.parquet"), f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'"),
+        (odd_docs, "CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)"),
+    ):
+        con = duckdb.connect()
+        con.execute(create)
+        if docs is odd_docs:
+            con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+        want = Counter(con.execute(mixing.SQL).fetchall())
+        assert Counter(map(tuple, mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect())) == want
