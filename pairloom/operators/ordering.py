@@ -25,7 +25,7 @@ GROUP_LIMIT = 1000
 
 def seeded_key(seed: int | str, *cols: Column | str) -> Column:
     """Stable pseudo-random sort key of a row: the same under any partitioning and retry."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string") for c in cols]))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]))
 
 
 def seeded_unit(seed: int | str, *cols: Column | str) -> Column:
