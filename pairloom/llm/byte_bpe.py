@@ -13,15 +13,14 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a worker keeps, with their ids, in each of two generations: those used lately and those used before.
-KEPT = 120_000
+KEPT = 100_000
 #: Bytes of new pieces that one recursive query takes.
-QUERY_BYTES = 500_000
+QUERY_BYTES = 300_000
 #: A row is token t of piece w at byte position p, with the position and the token that follow it (-1: none), so that a round needs
 #: no sorting. 24 bits hold a position; a text of 16 MB without any boundary is beyond them.
 CONTRACT = """
@@ -135,7 +134,9 @@ class Encoder:
 
 
 #: Characters of text that are encoded together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_500_000
+#: Rows taken out of an Arrow batch at once.
+SLICE = 100
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
@@ -146,25 +147,35 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
 
-    def rows(group: pd.DataFrame) -> pd.DataFrame:
+    def rows(doc_ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
         import numpy as np
 
-        out = []
-        for doc_id, (own, n, back) in zip(group["doc_id"], Encoder.of(path, pattern).texts(group["text"].tolist())):
-            row = [None if pd.isna(doc_id) else int(doc_id), n, hashlib.sha256(own.encode()).hexdigest(), hashlib.sha256(back).hexdigest()]
-            out.append(row + [np.fromstring(own, np.int32, sep=",") if own else np.empty(0, np.int32), back.decode("utf-8", "replace")] if ids else row)
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-        return frame.astype({"doc_id": "Int64"})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, chars = [], 0
-        for pdf in batches:
-            held.append(pdf)
-            chars += int(pdf["text"].str.len().sum())
-            if chars >= GROUP_CHARS:
-                yield rows(pd.concat(held))
-                held, chars = [], 0
-        if held:
-            yield rows(pd.concat(held))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+        counts, id_hashes, hashes, flat, decoded = [], [], [], [], []
+        for own, n, back in Encoder.of(path, pattern).texts(texts):
+            counts.append(n)
+            id_hashes.append(hashlib.sha256(own.encode()).hexdigest())
+            hashes.append(hashlib.sha256(back).hexdigest())
+            if ids:
+                flat.append(np.fromstring(own, np.int32, sep=",") if own else np.empty(0, np.int32))
+                decoded.append(back.decode("utf-8", "replace"))
+        columns = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(id_hashes, pa.string()), "decoded_sha256": pa.array(hashes, pa.string())}
+        if ids:
+            columns |= {"ids": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(np.concatenate(flat))), "decoded": pa.array(decoded, pa.string())}
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc_ids, texts, chars = [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                doc_ids += part.column(0).to_pylist()
+                new = part.column(1).to_pylist()
+                texts += new
+                chars += sum(len(t) for t in new if t)
+                if chars >= GROUP_CHARS:
+                    yield rows(doc_ids, texts)
+                    doc_ids, texts, chars = [], [], 0
+        if doc_ids:
+            yield rows(doc_ids, texts)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
