@@ -22,6 +22,8 @@ def judged_facts(facts: DataFrame, counts: DataFrame, bank: DataFrame, min_area:
     ``counts(image_id, counts MAP)``, ``bank(category, candidates ARRAY)``. Joins are on image and category
     only; no fact is compared with another one.
     """
+    # The bank is written first: Spark then knows its size, and broadcasts it while it is small.
+    bank = pinned(bank)
     known = (
         facts.join(counts, "image_id", "left")
         .join(bank.select(F.col("category").alias("subject_category"), "candidates"), "subject_category", "left")
@@ -75,7 +77,7 @@ def rendered(facts: DataFrame, templates: DataFrame, pair_limit: int | None = No
     slot = F.pmod(F.col("fact_rank") - 1, text.lookup(F.col("subtype"), sizes, F.lit(1))).cast("int")
     # The plural is used in several slots; a column of its own is computed once.
     plural = F.when(F.col("subtype") == "cnt", text.plural(F.col("subject_category")))
-    joined = indexed.withColumns({"pos": slot, "_plural": plural}).join(templates, ["subtype", "pos"])
+    joined = indexed.withColumns({"pos": slot, "_plural": plural}).join(pinned(templates), ["subtype", "pos"])
     subject, obj, value, neg = (F.col(c) for c in ("subject_category", "object_category", "positive_value", "negative"))
 
     def answer(branch: Column) -> Column:

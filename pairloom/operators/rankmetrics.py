@@ -71,8 +71,11 @@ def best_threshold(steps: DataFrame, keys: Sequence[str], score: str = "score")
         F.first(gain(F.col("tp"), F.col("tm"))).alias("none"),
     )
     on = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in keys]
-    joined = cuts.alias("c").join(steps.alias("s"), [*on, F.col(f"s.{score}") < F.col("c.cut.at")], "left")
-    previous = joined.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], "c.cut", "c.top", "c.low", "c.none").agg(F.max(f"s.{score}").alias("previous"))
+    # One row a group meets its steps: an inner join may build the groups' side and split a group that owns most steps.
+    cuts = pinned(cuts)
+    below = steps.alias("s").join(cuts.alias("c"), [*on, F.col(f"s.{score}") < F.col("c.cut.at")])
+    found = below.groupBy(*[F.col(f"c.{k}").alias(f"_{k}") for k in keys]).agg(F.max(f"s.{score}").alias("previous"))
+    previous = cuts.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
     middle = F.when(F.col("previous").isNull(), F.col("low") - 1e-6).otherwise((F.col("previous") + F.col("cut.at")) / 2.0)
     high = F.col("none") > F.col("cut.gain")
     return previous.select(

@@ -26,7 +26,8 @@ def directions(t: Tables) -> DataFrame:
 
 
 def protos(t: Tables) -> DataFrame:
-    return vec.prototypes(t.acts)
+    """Written once: Spark then knows their size and broadcasts them to the activations only while they are small."""
+    return pinned(vec.prototypes(t.acts))
 
 
 R6 = "round(v, 6) + 0.0 AS v"

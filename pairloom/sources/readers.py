@@ -21,25 +21,29 @@ def schema_of(ddl: str | T.StructType) -> T.StructType:
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = True) -> DataFrame:
     """One object per line, blank lines skipped.
 
-    ``strict`` fails on a line that is not an object of this schema; otherwise such lines are dropped and can be
-    listed with :func:`bad_lines`.
+    Lines are read once. ``strict`` makes the action that meets a line which is not an object of this schema fail with
+    its file and begin; otherwise such lines are dropped and can be listed with :func:`bad_lines`.
     """
     s = schema_of(schema)
     if strict:
-        found = bad_lines(spark, path, s).limit(3).collect()
-        if found:
-            raise ValidationError("not a JSON object: " + "; ".join(f"{r['file']}: {r['line'][:80]}" for r in found))
-        return spark.read.schema(s).option("mode", "FAILFAST").json(path)
+        lines, bad, parsed = _judged_lines(spark, path, s)
+        refused = F.raise_error(F.concat_ws(": ", F.lit("not a JSON object"), "file", F.left("line", F.lit(80))))
+        return lines.select(F.when(bad, refused).otherwise(parsed).alias("o")).select(*[F.col("o")[f.name].alias(f.name) for f in s.fields])
     return spark.read.schema(s).option("mode", "DROPMALFORMED").json(path)
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """(file, line) of the lines a strict read would refuse."""
-    s = schema_of(schema)
+    lines, bad, _ = _judged_lines(spark, path, schema_of(schema))
+    return lines.filter(bad).select("file", "line")
+
+
+def _judged_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, Column, Column]:
+    """Lines with their file, whether a line is no object of the schema, and the object."""
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("line")).filter("line <> ''")
-    wide = T.StructType([*s.fields, T.StructField("_corrupt", T.StringType())])
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return lines.filter(~F.col("line").startswith("{") | parsed["_corrupt"].isNotNull()).select("file", "line")
+    return lines, ~F.col("line").startswith("{") | parsed["_corrupt"].isNotNull(), parsed
 
 
 def _document_rows(doc: Column) -> Column:
@@ -119,10 +123,13 @@ def read_scene_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return objects, edges
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType, sep: str | None = None) -> DataFrame:
-    """CSV, or TSV when the path says so. The schema is given: nothing is inferred by reading twice."""
+def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType, sep: str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV, or TSV when the path says so. The schema is given: nothing is inferred by reading twice.
+
+    Files are split between tasks; ``multi_line`` allows line breaks inside quotes, and then every file is one task.
+    """
     sep = sep or ("\t" if path.rstrip("/").endswith(".tsv") else ",")
-    return spark.read.schema(schema_of(schema)).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(schema_of(schema)).option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
 def read_category_rows(spark: SparkSession, path: str, categories: Sequence[str], columns: Sequence[str], raw: Sequence[str] = ()) -> DataFrame:

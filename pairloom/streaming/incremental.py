@@ -16,7 +16,7 @@ from pairloom.sources.sinks import missing_rows
 CONFUSION = ("n", "tp", "tn", "fp", "fn", "invalid")
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 

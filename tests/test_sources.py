@@ -16,8 +16,8 @@ def write_lines(spark, *lines):
 
 def test_strict_and_lenient_lines(spark):
     path = write_lines(spark, '{"a": 1}', "", "[1]", '{"a": 2}')
-    with pytest.raises(ValidationError, match=r"\[1\]"):
-        readers.read_jsonl(spark, path, "a int")
+    with pytest.raises(Exception, match=r"not a JSON object: .*: \[1\]"):
+        readers.read_jsonl(spark, path, "a int").collect()
     assert readers.bad_lines(spark, path, "a int").count() == 1
     good = write_lines(spark, '{"a": 1}', "", '{"a": 2}')
     assert sorted(r["a"] for r in readers.read_jsonl(spark, good, "a int").collect()) == [1, 2]
@@ -91,7 +91,7 @@ def test_streams_equal_the_batch_and_do_not_repeat(spark):
     rows = spark.createDataFrame([(f"i{k % 4}", k) for k in range(12)], "image_id string, v int")
     for part in ("image_id < 'i2'", "image_id >= 'i2'", "image_id = 'i0'"):
         rows.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    run = lambda: incremental.incremental_facts(incremental.file_stream(spark, f"{base}/in", rows.schema), lambda b: b.groupBy("image_id").agg(F.sum("v").alias("s")), f"{base}/out", f"{base}/seen", f"{base}/state")
+    run = lambda: incremental.incremental_facts(incremental.file_stream(spark, f"{base}/in", rows.schema, files_per_trigger=1), lambda b: b.groupBy("image_id").agg(F.sum("v").alias("s")), f"{base}/out", f"{base}/seen", f"{base}/state")
     run()
     run()
     got = sorted((r["image_id"], r["s"]) for r in spark.read.parquet(f"{base}/out").collect())
