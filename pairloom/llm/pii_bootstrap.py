@@ -143,18 +143,22 @@ def discover(docs: DataFrame, spans: DataFrame, support: int = SUPPORT, confiden
     seeds = spans.select("doc_id", "_th", F.explode("_seeds").alias("s")).select("doc_id", "_th", F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance")).filter("pattern <> ''")
     near = spans.select("doc_id", "_th", F.explode("_near").alias("n")).select("doc_id", "_th", F.col("n.start").alias("start"), F.col("n.end").alias("end"), F.col("n.left").alias("pattern"), F.lower("n.value").alias("instance")).filter("pattern <> ''")
     near = pinned(near)
-    known, places, taken, before = seeds, None, None, -1
+    bearing = docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike("[0-9@]"))
+    known, taken, before = seeds, None, -1
+
+    def confident(patterns: DataFrame, rows: DataFrame) -> DataFrame:
+        counted = patterns.join(_places(rows, patterns.select("pattern")), "pattern")
+        return pinned(counted.filter(F.col("hits") >= F.lit(confidence) * F.col("places")).select("pattern", "hits"))
+
     for _ in range(rounds):
-        supported = pinned(known.groupBy("pattern").agg(F.countDistinct("instance").alias("different"), F.countDistinct(F.struct("doc_id", "_th")).alias("hits")).filter(F.col("different") >= support))
-        if not supported.limit(1).count():
-            return None if taken is None else taken
-        fresh = supported.select("pattern") if places is None else supported.join(places, "pattern", "left_anti").select("pattern")
-        counted = pinned(_places(docs, fresh))
-        places = counted if places is None else places.unionByName(counted)
-        sure = pinned(supported.join(places, "pattern").filter(F.col("hits") >= F.lit(confidence) * F.col("places")).select("pattern"))
+        supported = known.groupBy("pattern").agg(F.countDistinct("instance").alias("different"), F.countDistinct(F.struct("doc_id", "_th")).alias("hits"))
+        # identifiers stand in texts with a digit or @, so these alone bound the confidence from above: who fails there fails everywhere
+        sure = confident(pinned(supported.filter(F.col("different") >= support)), bearing)
+        if sure.limit(1).count():
+            sure = confident(sure, docs)
         added = pinned(near.join(sure, "pattern", "left_semi").select("instance").distinct())
         size = added.count()
-        if size == before or not size:
+        if size == before or not size:  # nothing new
             break
         before = size
         # an accepted identifier counts wherever it stands, and its other contexts become patterns to score
