@@ -56,11 +56,6 @@ def relation_of_offsets(overlap: Column, ox: Column, oy: Column, dx: float = 0.7
     )
 
 
-def relation_by_size(a: Column, b: Column, dx: float = 0.75, dy: float = 1.0, max_iou: float = 0.1) -> Column:
-    """:func:`relation_of_offsets` of two boxes."""
-    return relation_of_offsets(iou(a, b), norm_dx(a, b), norm_dy(a, b), dx, dy, max_iou)
-
-
 def _deltas(a: Column, b: Column) -> tuple[Column, Column]:
     return center_x(a) - center_x(b), center_y(a) - center_y(b)
 

@@ -245,11 +245,6 @@ def relation_axis(value: Column) -> Column:
     )
 
 
-def relation_axis_of_text(text: Column) -> Column:
-    t = clean(text, "query")
-    return F.when(any_of(t, fixed.ROUTER_CONTACT), "rel_contact_missing").when(any_word(t, fixed.ROUTER_SPATIAL), "rel_spatial")
-
-
 def subtype_type(subtype: Column) -> Column:
     """attr_* -> attr, rel_* -> rel, else the part before the first underscore."""
     return F.when(subtype.startswith("attr_"), "attr").when(subtype.startswith("rel_"), "rel").otherwise(F.substring_index(subtype, "_", 1))
@@ -270,11 +265,6 @@ def dataset_of_path(path: Column) -> Column:
     return F.when(t.contains("gqa"), "GQA").when(t.contains("coco"), "MSCOCO").otherwise("unknown")
 
 
-def setting_of_path(path: Column) -> Column:
-    t = F.lower(path)
-    return F.when(t.contains("random"), "random").when(t.contains("popular"), "popular").when(t.contains("adversarial"), "adversarial").otherwise("unknown")
-
-
 # --- nouns -----------------------------------------------------------------------------------
 
 def article(noun: Column) -> Column:

@@ -130,11 +130,3 @@ def first_admissible(candidates: Column, visible: Column, own: Column) -> Column
     other = F.filter(candidates, lambda c: c != own)
     unseen = F.filter(other, lambda c: ~F.array_contains(visible, c))
     return F.coalesce(F.get(unseen, F.lit(0)), F.get(other, F.lit(0)))
-
-
-def literal_pairs(table: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-
-
-def ordered_vocabulary(names: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, names))

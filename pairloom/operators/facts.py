@@ -140,12 +140,6 @@ def numbered_relations(objs: DataFrame, **thresholds: float) -> DataFrame:
     return global_rank(pinned(rels), ["image_id"], ["subject_ann", "object_ann"], "rel_index")
 
 
-FACT_COLUMNS = (
-    "fact_id", "image_id", "subtype", "subject_id", "subject_category", "object_id", "object_category",
-    "positive_value", "positive_int", "annotation_id", "area_ratio",
-)
-
-
 def atomic_facts(objs: DataFrame, counts: DataFrame, rels: DataFrame) -> DataFrame:
     """cat and col facts per object, cnt facts per category, rel facts per numbered relation."""
     none = F.lit(None)

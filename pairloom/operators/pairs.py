@@ -12,7 +12,6 @@ from pairloom.operators.banks import first_admissible
 from pairloom.operators.ordering import global_rank, top_k
 from pairloom.session import pinned
 
-SUBTYPES = ("cat", "cnt", "col", "rel")
 DEFAULT_CAPS = {"cat": 4, "cnt": 4, "col": 4, "rel": 6}
 
 

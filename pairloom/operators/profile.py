@@ -118,7 +118,3 @@ def scene_sentence(counts: Column, limit: int = 8) -> Column:
         ),
     )
     return F.when(F.size(said) > 0, F.concat(F.array_join(said, ". "), F.lit("."))).otherwise("The image contains visible objects.")
-
-
-def label_shares(df: DataFrame, keys: Sequence[str], label: str, labels: Mapping[str, str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(F.col(label) == v).alias(k) for k, v in labels.items()])

@@ -140,7 +140,3 @@ def bootstrap_interval(df: DataFrame, keys: Sequence[str], value: Column, row_ke
 
     ends = ranked.groupBy(*keys).agg(pick(0.025).alias("lower_95"), pick(0.975).alias("upper_95"))
     return rows.groupBy(*keys).agg(F.avg("_value").alias("mean")).join(ends, list(keys))
-
-
-def seeded_uniform(seed: int, *cols: str) -> Column:
-    return seeded_unit(seed, *cols)

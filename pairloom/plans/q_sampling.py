@@ -80,6 +80,19 @@ def d8(t: Tables) -> DataFrame:
     return table.select("split", F.coalesce("subtype", F.lit("")).alias("subtype"), "n", "distinct_n")
 
 
+@query(
+    "D8_template_counts",
+    f"""WITH {GROUP_SPLIT} SELECT split, CASE annotation_id % 3 WHEN 0 THEN category WHEN 1 THEN lower(category) ELSE '__missing_template__' END AS template, count(*) AS n
+    FROM objs JOIN sp USING (image_id) GROUP BY ALL""",
+)
+def d8_templates(t: Tables) -> DataFrame:
+    """Rows name their template themselves, in their metadata or not at all."""
+    third, none = F.col("annotation_id") % 3, F.lit("")
+    named = profile.template_of(F.when(third == 0, F.col("category")).otherwise(none), F.when(third == 1, F.lower("category")), none)
+    rows = t.objs.select("image_id", named.alias("template")).join(splits(t).select("image_id", "split"), "image_id")
+    return rows.groupBy("split", "template").agg(F.count("*").alias("n"))
+
+
 @query(
     "F3_leakage",
     "SELECT unnest(['overlap_test_train', 'overlap_test_val', 'overlap_train_val', 'missing_ids', 'duplicate_ids']) AS check, unnest([0, 0, 0, (SELECT count(*) FROM objs WHERE l_linenumber = 7), 0]) AS n",
@@ -143,6 +156,18 @@ def e12(t: Tables) -> DataFrame:
     return sampling.yes_no_balanced(rows, "image_id", "answer", {"yes": 1500, "no": 700}, 4, "id")
 
 
+@query(
+    "E12_shortfall",
+    """WITH n AS (SELECT CASE WHEN category < 'N' THEN 'yes' ELSE 'no' END AS answer, count(DISTINCT image_id) AS n FROM ann GROUP BY 1),
+    w AS (SELECT * FROM (VALUES ('yes', 15000), ('no', 700), ('unsure', 5)) t(answer, target))
+    SELECT answer, greatest(target - least(coalesce(n, 0), target), 0) AS missing FROM w LEFT JOIN n USING (answer)""",
+)
+def e12_shortfall(t: Tables) -> DataFrame:
+    targets = {"yes": 15000, "no": 700, "unsure": 5}
+    rows = t.ann.select("image_id", F.col("annotation_id").alias("id"), F.when(F.col("category") < "N", "yes").otherwise("no").alias("answer"))
+    return sampling.shortfall(sampling.yes_no_balanced(rows, "image_id", "answer", targets, 4, "id"), "answer", targets)
+
+
 @query(
     "E14_deduplicate",
     """WITH s AS (SELECT o_orderkey, CAST(o_custkey % 200 AS VARCHAR) AS row_id, o_orderpriority, o_orderstatus FROM orders),

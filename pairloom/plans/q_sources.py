@@ -129,6 +129,15 @@ def a8(t: Tables) -> DataFrame:
     return rounded(got.select("run", "benchmark", "expert", "alpha", "accuracy_baseline", "accuracy_steered", "delta_accuracy", "yes_rate_steered", "num_samples"))
 
 
+@query("A8_prediction_lines", "SELECT sample_id, subtype, label, pred, score, 'shard=' || method AS shard, 1 AS from_lines FROM preds")
+def a8_lines(t: Tables) -> DataFrame:
+    """Raw shards of prediction lines, with the shard and file of every line."""
+    path = fresh_path(t.spark, "a8")
+    t.preds.select("sample_id", "subtype", "label", "pred", "score", F.col("method").alias("shard")).write.partitionBy("shard").json(path)
+    got = readers.read_predictions(t.spark, path, "sample_id string, subtype string, label string, pred string, score double", "*.json")
+    return got.select("sample_id", "subtype", "label", "pred", "score", "shard", F.col("file").endswith(".json").cast("int").alias("from_lines"))
+
+
 @query(
     "A8_run_tables",
     f"WITH {RUNS_SQL} SELECT method AS run, subtype AS benchmark, round(acc, 6) AS accuracy_steered, round(acc - 0.25, 6) AS delta_accuracy, CAST(n AS DOUBLE) AS num_samples FROM m",
