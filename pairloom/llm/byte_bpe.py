@@ -139,28 +139,31 @@ GROUP_CHARS = 1_500_000
 SLICE = 100
 
 
-def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` also ids (array of int) and decoded (text).
+def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, decoded: bool = True) -> DataFrame:
+    """(doc_id, text, ...) -> doc_id, n_tokens, ids_sha256, decoded_sha256, and where asked for ids (array of int) and decoded (text).
 
     Null texts count as empty: no ids, hashes of nothing. Texts are encoded whole, without special tokens. An empty table gives
     an empty one.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 
     def rows(doc_ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
         import numpy as np
 
-        counts, id_hashes, hashes, flat, decoded = [], [], [], [], []
+        counts, id_hashes, hashes, flat, backs = [], [], [], [], []
         for own, n, back in Encoder.of(path, pattern).texts(texts):
             counts.append(n)
             id_hashes.append(hashlib.sha256(own.encode()).hexdigest())
             hashes.append(hashlib.sha256(back).hexdigest())
             if ids:
                 flat.append(np.fromstring(own, np.int32, sep=",") if own else np.empty(0, np.int32))
-                decoded.append(back.decode("utf-8", "replace"))
+            if decoded:
+                backs.append(back.decode("utf-8", "replace"))
         columns = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(id_hashes, pa.string()), "decoded_sha256": pa.array(hashes, pa.string())}
         if ids:
-            columns |= {"ids": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(np.concatenate(flat))), "decoded": pa.array(decoded, pa.string())}
+            columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(np.concatenate(flat)))
+        if decoded:
+            columns["decoded"] = pa.array(backs, pa.string())
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, ids=False)
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, ids=False, decoded=False)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
