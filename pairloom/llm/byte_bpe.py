@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a worker keeps, with their ids, in each of two generations: those used lately and those used before.
-KEPT = 100_000
+KEPT = 120_000
 #: Bytes of new pieces that one recursive query takes.
-QUERY_BYTES = 300_000
+QUERY_BYTES = 500_000
 #: A row is token t of piece w at byte position p, with the position and the token that follow it (-1: none), so that a round needs
 #: no sorting. 24 bits hold a position; a text of 16 MB without any boundary is beyond them.
 CONTRACT = """
@@ -134,7 +134,7 @@ class Encoder:
 
 
 #: Characters of text that are encoded together.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 2_000_000
 #: Rows taken out of an Arrow batch at once.
 SLICE = 100
 
