@@ -11,14 +11,14 @@ pivots exceeds the radius are discarded, and the rest are verified by their Hamm
 * ``sampled_families``: seeded sets of bits for wider radii, where no small exact cover exists; each set finds a pair that differs
   in a share q of its bits with probability (1 - q) ** size.
 
-A key shared by more than ``HOT`` different fingerprints is dealt out again on the bits that it leaves open, by the same rule,
-until a bucket is small (after three levels it holds 256 fingerprints at most); no pair is lost. A bucket returns spanning links
-of its linked members, not its pairs.
+A key shared by more than ``HOT`` different fingerprints: with exact families it is dealt out again on the bits that it leaves open,
+by the same rule, until a bucket is small (after three levels it holds 256 fingerprints at most); no pair is lost. A bucket returns spanning links
+of its linked members, not its pairs; ``verified_components`` asks for the pairs as well where a link does not hold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -50,27 +50,42 @@ def _mix(h: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
-    """``lanes`` words of 64 bits; a bit is 1 where it is set in over half the hashes of the shingles."""
+def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, in order and in chunks; nothing for a wordless one."""
     words = [w for w in (text or "").translate(_LOWER).translate(_SPACE).split(" ") if w]
     if not words:
-        return [0] * lanes
+        return
     flat = " ".join(words).encode("utf-8", "surrogatepass")
     spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts, ends = np.append(0, spaces + 1), np.append(spaces, len(flat))
     k = min(shingle, len(words))
     begin, end = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(begin), _CHUNK):
-        h = np.array([digest(flat[a:b], 42) for a, b in zip(begin[at : at + _CHUNK], end[at : at + _CHUNK])], np.uint64)
+        yield np.array([digest(flat[a:b], 42) for a, b in zip(begin[at : at + _CHUNK], end[at : at + _CHUNK])], np.uint64)
+
+
+def _majority(hashes: Iterable[np.ndarray], lanes: int) -> list[int]:
+    ones, n = np.zeros((lanes, 64), np.int64), 0
+    for h in hashes:
+        n += len(h)
         for lane in range(lanes):
             bits = np.unpackbits(_mix(h, lane).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             ones[lane] += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits(ones * 2 > len(begin), axis=1)
+    packed = np.packbits(ones * 2 > n, axis=1)
     return [int.from_bytes(row.tobytes(), "big") for row in packed]
 
 
+def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
+    """``lanes`` words of 64 bits; a bit is 1 where it is set in over half the hashes of the shingles."""
+    return _majority(_hashes(text, shingle), lanes)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted different hashes of the shingles of a text."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashes(text, shingle)]))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame:
     """(doc_id, text) -> (doc_id, words): the fingerprint as ``lanes`` signed longs. Null and wordless texts have zeros."""
 
@@ -81,6 +96,23 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame
     return docs.select("doc_id", words_of(F.col("text")).alias("words"))
 
 
+def set_fingerprints(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """(doc_id, text) -> (doc_id, node, words): a hash of the set of shingles, and the fingerprint of that set, in which a repeated
+    shingle counts once, as it does in the Jaccard similarity."""
+
+    @F.pandas_udf("array<bigint>")
+    def of_set(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(t, shingle) for t in texts)
+        return pd.Series([np.array([xxhash.xxh64_intdigest(s.tobytes(), 42), *_majority(_chunks(s), lanes)], np.uint64).view(np.int64) for s in sets])
+
+    found = docs.select("doc_id", of_set(F.col("text")).alias("found"))
+    return found.select("doc_id", F.col("found")[0].alias("node"), F.slice("found", 2, lanes).alias("words"))
+
+
+def _chunks(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    return (hashes[at : at + _CHUNK] for at in range(0, len(hashes), _CHUNK))
+
+
 class Families:
     """Sets of bits (one a family group of pivots), and the pivots that see them."""
 
@@ -165,38 +197,58 @@ def _spanning(fps: np.ndarray, families: Families) -> list[tuple[int, int]]:
     return links
 
 
+def _across(fps: np.ndarray, root: np.ndarray, families: Families) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, later members of other roots within the radius) of one bucket: every such pair, not only spanning ones."""
+    for i in range(len(fps) - 1):
+        near = np.flatnonzero((root[i + 1 :] != root[i]) & (np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1) <= families.radius))
+        if len(near):
+            yield i, near + i + 1
+
+
 def _links_of_buckets(families: Families) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows sorted by key -> links. Buckets of two are compared all at once, larger ones one by one."""
+    """Rows sorted by key -> spanning links, or all pairs of different roots if the rows have roots. Buckets of two are compared all
+    at once, larger ones one by one."""
 
-    def linked(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+    def linked(key: np.ndarray, node: np.ndarray, fps: np.ndarray, root: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(cut, len(key)))
         two = cut[size == 2]
         near = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= families.radius
-        u, v = [node[two[near]]], [node[two[near] + 1]]
+        if root is not None:
+            near &= root[two] != root[two + 1]
+        u, v, held = [node[two[near]]], [node[two[near] + 1]], 0
         for at, n in zip(cut[size > 2], size[size > 2]):
-            pairs = _spanning(fps[at : at + n], families)
-            if pairs:
-                a, b = np.array(pairs).T + at
-                u.append(node[a])
-                v.append(node[b])
-        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+            if root is None:
+                pairs = _spanning(fps[at : at + n], families)
+                if pairs:
+                    a, b = np.array(pairs).T + at
+                    u.append(node[a])
+                    v.append(node[b])
+                continue
+            for i, others in _across(fps[at : at + n], root[at : at + n], families):
+                u.append(np.full(len(others), node[at + i]))
+                v.append(node[at + others])
+                held += len(others)
+                if held > _CHUNK:
+                    yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+                    u, v, held = [node[:0]], [node[:0]], 0
+        yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
-            key, node = pdf["key"].to_numpy(), pdf["node"].to_numpy()
             fps = np.stack(pdf["words"].to_numpy()).view(np.uint64) if len(pdf) else np.empty((0, families.lanes), np.uint64)
+            rows = [pdf["key"].to_numpy(), pdf["node"].to_numpy(), fps] + ([pdf["root"].to_numpy()] if "root" in pdf else [])
             if rest is not None:
-                key, node, fps = np.append(rest[0], key), np.append(rest[1], node), np.concatenate([rest[2], fps])
-            if not len(key):
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            if not len(rows[0]):
                 continue
-            last = np.searchsorted(key, key[-1])
+            last = np.searchsorted(rows[0], rows[0][-1])
             if last:
-                yield linked(key[:last], node[:last], fps[:last])
-            rest = key[last:], node[last:], fps[last:]
+                yield from linked(*[x[:last] for x in rows])
+            rest = [x[last:] for x in rows]
         if rest is not None:
-            yield linked(*rest)
+            yield from linked(*rest)
 
     return run
 
@@ -206,13 +258,15 @@ def _keyed(nodes: DataFrame, families: Families) -> DataFrame:
     def keys(words: pd.Series) -> pd.Series:
         return pd.Series(list(families.keys(np.stack(words.to_numpy()).view(np.uint64)))) if len(words) else pd.Series([], dtype=object)
 
-    return nodes.select("node", "words", F.explode(keys("words")).alias("key"))
+    return nodes.select(*nodes.columns, F.explode(keys("words")).alias("key"))
 
 
 def links(nodes: DataFrame, levels: list[Families], hot: int = HOT) -> DataFrame:
-    """(node long, words) with different words -> (u, v): spanning links within the radius. ``levels``: families by level; a bucket
-    over ``hot`` goes to the next level."""
+    """(node long, words) with different nodes -> (u, v): spanning links within the radius; with a column root, all pairs of different
+    roots within it. ``levels``: families by level; a bucket over ``hot`` goes to the next level, which has to find every pair that
+    it holds."""
     found = None
+    columns = nodes.columns
     for level, families in enumerate(levels):
         keyed = _keyed(nodes, families)
         if level + 1 < len(levels):
@@ -223,11 +277,11 @@ def links(nodes: DataFrame, levels: list[Families], hot: int = HOT) -> DataFrame
         else:
             again, small = False, keyed
         n = parallelism(nodes.sparkSession)
-        out = small.repartition(n, "key").sortWithinPartitions("key").select("key", "node", "words").mapInPandas(_links_of_buckets(families), "u long, v long")
+        out = small.repartition(n, "key").sortWithinPartitions("key", "node").select("key", *columns).mapInPandas(_links_of_buckets(families), "u long, v long")
         found = out if found is None else found.unionAll(out)
         if not again:
             break
-        nodes = keyed.join(crowded, "key", "left_semi").select("node", "words").distinct()
+        nodes = keyed.join(crowded, "key", "left_semi").select(*columns).distinct()
     return found
 
 
@@ -269,13 +323,60 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", hex_of(F.col("words")).alias("fingerprint"), "component_id")
 
 
-#: Wide search: 256 bits of 5-word shingles. Texts with a similarity of 0.8 differ in about 39 of 256 bits.
-WIDE = {"shingle": 5, "lanes": 4, "size": 20, "count": 48, "radius": 39}
+#: Wide search: 256 bits of 5-word shingles. Texts with a similarity of 0.8 differ in about 39 of 256 bits; the radius and the sets
+#: find them as candidates with a probability of 0.998, and the shingles themselves decide.
+WIDE = {"shingle": 5, "lanes": 4, "size": 14, "count": 96, "radius": 60}
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) -> (u, v, similar): whether the Jaccard similarity of the shingles is 0.8 or more, in whole numbers."""
+    a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv")
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", (both * 9 >= (F.size("set_u") + F.size("set_v")) * 4).alias("similar"))
 
 
-def keep_one(docs: DataFrame, shingle: int = WIDE["shingle"], lanes: int = WIDE["lanes"], size: int = WIDE["size"], count: int = WIDE["count"], radius: int = WIDE["radius"]) -> DataFrame:
-    """Rows of ``docs`` less all but the first document (by id) of each group of near copies (5-word shingles, similarity of 0.8
-    or more as estimated by 256 bits). Rows that repeat an id stay or go together; rows without an id form no group and stay."""
-    grouped = near_components(fingerprints(docs.filter("doc_id is not null"), shingle, lanes), sampled_families(lanes, size, count, radius) + sampled_families(lanes, size * 2, count, radius, 12))
-    gone = pinned(grouped.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+def _sets(docs: DataFrame, least: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text), (doc_id, node) -> (node, set of shingle hashes). A repeated id may have several texts; each goes by its node."""
+
+    @F.pandas_udf("array<bigint>")
+    def set_of(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(t, shingle) for t in texts)
+        return pd.Series([np.append(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)), s).view(np.int64) for s in sets])
+
+    found = docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", set_of(F.col("text")).alias("found"))
+    sets = found.select("doc_id", F.col("found")[0].alias("node"), F.slice("found", 2, F.size("found")).alias("set"))
+    return sets.join(least, ["doc_id", "node"], "left_semi").select("node", "set").dropDuplicates(["node"])
+
+
+def verified_components(docs: DataFrame, families: Families, shingle: int, hot: int = HOT) -> DataFrame:
+    """(doc_id, text) -> (doc_id, node, root): documents linked, directly or over others, by a similarity of 0.8 or more.
+
+    Documents of equal sets of shingles are one node. Spanning links of the candidates are verified first. As one that fails may
+    have stood for others that hold, all candidates between what is then still apart are verified after that.
+    """
+    prints = pinned(set_fingerprints(docs.select("doc_id", "text"), shingle, families.lanes))
+    nodes = pinned(prints.groupBy("node").agg(F.first("words").alias("words")))
+    first = pinned(links(nodes, [families], hot).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ends = pinned(first.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    one = pinned(prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    sets = pinned(_sets(docs.select("doc_id", "text"), one, shingle))
+    judged = pinned(_similar(first, sets))
+    held = judged.filter("similar").select("u", "v")
+    roots = pinned(components(held))
+    if judged.filter("not similar").limit(1).count():
+        apart = nodes.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = links(pinned(apart), [families], hot).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        more = pinned(_similar(more.join(judged, ["u", "v"], "left_anti"), sets)).filter("similar").select("u", "v")
+        if more.limit(1).count():
+            roots = pinned(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more)))
+    return prints.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = WIDE["shingle"], lanes: int = WIDE["lanes"], size: int = WIDE["size"], count: int = WIDE["count"], radius: int = WIDE["radius"], hot: int = HOT) -> DataFrame:
+    """Rows of ``docs`` less all but the first document (by id) of each group of near copies (Jaccard similarity of the sets of 5-word
+    shingles of 0.8 or more, directly or over others; wordless texts are alike). Rows that repeat an id stay or go together; rows
+    without an id form no group and stay."""
+    grouped = pinned(verified_components(docs.filter("doc_id is not null"), sampled_families(lanes, size, count, radius)[0], shingle, hot))
+    least = grouped.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = pinned(grouped.join(least, "root").filter(F.col("doc_id") != F.col("least")).select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -100,6 +100,52 @@ def test_keep_one_drops_near_copies_only(spark):
     assert set(range(60)) <= left and len(left - set(range(60))) <= 1
 
 
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def copies_at(rng, low, high, groups, length=300):
+    """Pairs of texts with a similarity in [low, high), by changed words."""
+    out = []
+    while len(out) < groups:
+        base = rng.integers(0, 100_000, length).astype(str).tolist()
+        copy = list(base)
+        for at in rng.permutation(length):
+            copy[at] = "changed"
+            s = jaccard(" ".join(base), " ".join(copy))
+            if s < high:
+                if s >= low:
+                    out.append((" ".join(base), " ".join(copy)))
+                break
+    return out
+
+
+@pytest.mark.parametrize("hot", [20000])
+def test_keep_one_goes_by_the_similarity_of_shingles(spark, hot):
+    rng = np.random.default_rng(5)
+    alike, unlike = copies_at(rng, 0.8, 0.82, 300), copies_at(rng, 0.76, 0.8, 300)
+    docs = [(2 * i + j, t) for i, pair in enumerate(alike + unlike) for j, t in enumerate(pair)]
+    left = {r["doc_id"] for r in simhash_pivots.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot).collect()}
+    assert set(range(600, 1200)) <= left and set(range(0, 600, 2)) <= left
+    assert len(left & set(range(1, 600, 2))) <= 3
+
+
+def test_a_link_that_does_not_hold_does_not_hide_others(spark):
+    a = [f"a{i}" for i in range(300)]
+    star, tail = list(a), [f"t{i}" for i in range(34)]
+    docs = [(i, " ".join(star + tail[:1] + [f"v{i}x{j}" for j in range(60)])) for i in range(30)]
+    docs += [(100 + i, t + " end") for i, t in docs]
+    left = {r["doc_id"] for r in simhash_pivots.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert left == set(range(30))
+
+
+def test_repeated_shingles_count_once(spark):
+    docs = [(1, "a b c d e " * 400), (2, "a b c d e " * 400 + " ".join(f"w{i}" for i in range(60))), (3, "a b c d e " * 300), (3, "other words under this id that is there twice")]
+    left = sorted(r["doc_id"] for r in simhash_pivots.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert left == [1, 2]
+
+
 def brute_mix(docs, max_epochs=3):
     size = defaultdict(int)
     for _, text, source in docs:
