@@ -12,7 +12,8 @@ pivots exceeds the radius are discarded, and the rest are verified by their Hamm
   in a share q of its bits with probability (1 - q) ** size.
 
 A key shared by more than ``HOT`` different fingerprints: with exact families it is dealt out again on the bits that it leaves open,
-by the same rule, until a bucket is small (after three levels it holds 256 fingerprints at most); no pair is lost. A bucket returns spanning links
+by the same rule, until a bucket is small (after three levels it holds 256 fingerprints at most); with sampled ones its members are
+dealt into blocks, and each pair of blocks is a key. No pair that shares a key is lost either way. A bucket returns spanning links
 of its linked members, not its pairs; ``verified_components`` asks for the pairs as well where a link does not hold.
 """
 
@@ -261,10 +262,23 @@ def _keyed(nodes: DataFrame, families: Families) -> DataFrame:
     return nodes.select(*nodes.columns, F.explode(keys("words")).alias("key"))
 
 
+def _in_blocks(keyed: DataFrame, hot: int) -> DataFrame:
+    """Keys of more than ``hot`` rows are replaced by one key for each pair of blocks of about hot / 2 rows, so that every pair of
+    rows of a key still meets under one."""
+    crowded = pinned(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key", F.ceil(F.col("count") * 2 / hot).cast("int").alias("blocks")))
+    if not crowded.limit(1).count():
+        return keyed
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))
+    pairs = F.transform(others, lambda j: F.xxhash64("key", F.least(j, "block"), F.greatest(j, "block")))
+    dealt = keyed.join(crowded, "key", "left").withColumn("block", block).withColumn("pairs", F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs))
+    return dealt.select(*[c for c in keyed.columns if c != "key"], F.explode("pairs").alias("key"))
+
+
 def links(nodes: DataFrame, levels: list[Families], hot: int = HOT) -> DataFrame:
     """(node long, words) with different nodes -> (u, v): spanning links within the radius; with a column root, all pairs of different
     roots within it. ``levels``: families by level; a bucket over ``hot`` goes to the next level, which has to find every pair that
-    it holds."""
+    it holds, and on the last level to pairs of blocks."""
     found = None
     columns = nodes.columns
     for level, families in enumerate(levels):
@@ -275,7 +289,7 @@ def links(nodes: DataFrame, levels: list[Families], hot: int = HOT) -> DataFrame
             again = crowded.limit(1).count() > 0
             small = keyed.join(crowded, "key", "left_anti") if again else keyed
         else:
-            again, small = False, keyed
+            again, small = False, _in_blocks(keyed, hot)
         n = parallelism(nodes.sparkSession)
         out = small.repartition(n, "key").sortWithinPartitions("key", "node").select("key", *columns).mapInPandas(_links_of_buckets(families), "u long, v long")
         found = out if found is None else found.unionAll(out)

@@ -121,7 +121,7 @@ def copies_at(rng, low, high, groups, length=300):
     return out
 
 
-@pytest.mark.parametrize("hot", [20000])
+@pytest.mark.parametrize("hot", [20000, 40])
 def test_keep_one_goes_by_the_similarity_of_shingles(spark, hot):
     rng = np.random.default_rng(5)
     alike, unlike = copies_at(rng, 0.8, 0.82, 300), copies_at(rng, 0.76, 0.8, 300)
@@ -131,6 +131,16 @@ def test_keep_one_goes_by_the_similarity_of_shingles(spark, hot):
     assert len(left & set(range(1, 600, 2))) <= 3
 
 
+def test_pairs_of_blocks_lose_no_pair_of_a_crowded_key(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 1 << 63, 4, np.uint64)
+    words = [centre ^ simhash_pivots._mask(rng.choice(256, rng.integers(0, 8), replace=False), 4) for _ in range(300)]
+    nodes = spark.createDataFrame([(i, w.view(np.int64).tolist(), i) for i, w in enumerate(words)], "node long, words array<bigint>, root long")
+    families = simhash_pivots.sampled_families(4, 20, 3, 39)
+    whole, split = ({tuple(sorted(r)) for r in simhash_pivots.links(nodes, families, hot).collect()} for hot in (20_000, 16))
+    assert whole == split and len(whole) > 300 * 299 / 4
+
+
 def test_a_link_that_does_not_hold_does_not_hide_others(spark):
     a = [f"a{i}" for i in range(300)]
     star, tail = list(a), [f"t{i}" for i in range(34)]
