@@ -237,11 +237,15 @@ def wrappers(streams: DataFrame, salts: int = 16) -> DataFrame:
 def main_slots(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """(host, article, main, other): slots of the host's wrapper inside article elements, inside other main containers, and those that
     hold the article where a page has neither: outside of menus and the like, mostly not links, and not the same few words on all
-    pages."""
+    pages. Pages count once however many copies of them there are, and so does a text in a slot of a page."""
     slot = F.udf(lambda w: slots(parsed(w or "")), "array<string>")
     listed = found.select("host", F.explode(slot("wrapper")).alias("path"))
-    each = blocks.select("host", F.explode("blocks").alias("b")).select("host", F.col("b.path").alias("path"), F.col("b.sort").alias("sort"), F.length("b.text").alias("n"), F.col("b.links").alias("links"), F.xxhash64("b.text").alias("h"))
-    facts = each.groupBy("host", "path").agg(F.min("sort").alias("sort"), F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("links").alias("links"), F.approx_count_distinct("h").alias("different"))
+    page = F.xxhash64(F.filter("blocks", lambda b: b["sort"] == "o"))
+    each = blocks.select("host", page.alias("page"), F.explode("blocks").alias("b"))
+    judged_by = [F.when(F.col("b.sort") == "o", c).alias(k) for k, c in (("page", F.col("page")), ("h", F.xxhash64("b.text")), ("n", F.length("b.text")), ("links", F.col("b.links")))]
+    each = each.select("host", F.col("b.path").alias("path"), F.col("b.sort").alias("sort"), *judged_by).distinct()
+    texts = each.groupBy("host", "path", "h").agg(F.min("sort").alias("sort"), F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("links").alias("links"))
+    facts = texts.groupBy("host", "path").agg(F.min("sort").alias("sort"), *[F.sum(c).alias(c) for c in ("c", "n", "links")], F.count("h").alias("different"))
     same = (F.col("c") >= 5) & (F.col("different") * 10 <= F.col("c")) & (F.col("n") < F.col("c") * 200)
     other = (F.col("sort") == "o") & (F.col("links") * 3 < F.col("n")) & ~same
     judged = listed.join(facts, ["host", "path"]).withColumn("kind", F.when(F.col("sort") == "a", "article").when(F.col("sort") == "m", "main").when(other, "other"))

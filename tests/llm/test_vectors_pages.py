@@ -123,6 +123,15 @@ def test_pages(spark):
     assert wrapper_html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_a_page_count_once(spark):
+    page = "<html><body><div>Head {i}</div><div><p>Short words of {i}.</p><p>More of {i}.</p></div><footer>Visit {c}</footer></body></html>"
+    rows = [(i * 1000 + c, f"http://five.example/{i}", page.replace("{i}", str(i)).replace("{c}", str(c))) for i in range(5) for c in range(60)]
+    rows += [(9000 + c, "http://one.example/", page.replace("{i}", "one").replace("{c}", str(c))) for c in range(12)]
+    text = {r["page_id"]: r["text"] for r in wrapper_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[i * 1000 + c] == f"Head {i}\nShort words of {i}.\nMore of {i}." for i in range(5) for c in range(60))
+    assert all(text[9000 + c] == "Head one\nShort words of one.\nMore of one." for c in range(12))
+
+
 def test_pages_of_the_table(spark, sf_dir):
     """The given pages hold their article in an element of that name."""
     import html
