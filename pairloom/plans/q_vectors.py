@@ -320,8 +320,14 @@ def g17_mean(t: Tables) -> DataFrame:
 
 @query("G18_denoised_mean")
 def g18(t: Tables) -> DataFrame:
-    projection, energy = decompose.denoised(pinned(t.delta.filter("subtype = 'cat'")), "pair_no", HEADS, DIM, 2)
-    return items(projection, *H).withColumn("energy", F.round(F.lit(sum(energy)), 6))
+    """Every subtype by itself; their number does not grow with the rows."""
+    delta = pinned(t.delta)
+    out = None
+    for (subtype,) in sorted(delta.select("subtype").distinct().collect(), key=str) or [(None,)]:
+        projection, energy = decompose.denoised(delta.filter(F.col("subtype").eqNullSafe(F.lit(subtype))), "pair_no", HEADS, DIM, 2)
+        part = items(projection.withColumn("subtype", F.lit(subtype).cast("string")), "subtype", *H).withColumn("energy", F.round(F.lit(sum(energy)), 6))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 COSINES = "SELECT x.name AS a, y.name AS b, round(sum(x.v * y.v) / sqrt(sum(x.v * x.v) * sum(y.v * y.v)), 6) AS cosine FROM {0} x JOIN {0} y USING (layer, head, d) {1} GROUP BY ALL"

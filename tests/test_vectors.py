@@ -143,3 +143,12 @@ def test_modes_keep_all_values(spark):
     df = spark.createDataFrame([("k", f"v{i}") for i in range(1500)] + [("k", "v7")], "given string, value string")
     rows = profile.conditional_modes(df, "given", "value").collect()
     assert len(rows) == 1500 and {r["value"]: r["rank"] for r in rows}["v7"] == 1
+
+
+def test_denoised_mean_of_every_subtype(spark, sf_dir):
+    from pairloom.plans.bind import Tables
+    from pairloom.plans.q_vectors import g18
+
+    t = Tables(spark, sf_dir)
+    got = {r["subtype"] for r in g18(t).select("subtype").distinct().collect()}
+    assert got == {r["subtype"] for r in t.delta.select("subtype").distinct().collect()} and len(got) == 4
