@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bilinear_lm, byte_bpe, kernel_quality, mixing, norm_topk, pii_bootstrap, pruned_graph, simhash_pivots, token_rollup, wrapper_html
+from pairloom.llm import bilinear_lm, byte_bpe, collocations, exact_copies, kernel_quality, mixing, norm_topk, periodic_runs, pii_bootstrap, pruned_graph, simhash_pivots, token_rollup, wrapper_html
 from pairloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -51,9 +51,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.find(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.query(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies.classes(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_norm_topk, op3_pruned_graph, op4_mixing, op5_token_rollup, op6_byte_bpe, op7_quality, op8_html, op9_bilinear_lm, op10_pii)
+    for f in (op1_simhash, op2_norm_topk, op3_pruned_graph, op4_mixing, op5_token_rollup, op6_byte_bpe, op7_quality, op8_html, op9_bilinear_lm, op10_pii, op11_runs, op12_exact_copies, op13_collocations)
 }
 
 TOP_K_SQL = """
@@ -66,4 +78,4 @@ pairs AS (
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
 """
-ORACLES: dict[str, str] = {"op2_norm_topk": TOP_K_SQL, "op4_mixing": mixing.SQL, "op5_token_rollup": token_rollup.SQL}
+ORACLES: dict[str, str] = {"op2_norm_topk": TOP_K_SQL, "op4_mixing": mixing.SQL, "op5_token_rollup": token_rollup.SQL, "op11_runs": periodic_runs.SQL, "op12_exact_copies": exact_copies.SQL, "op13_collocations": collocations.SQL}
