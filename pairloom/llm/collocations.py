@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import ascii_lower, parallelism
+from pairloom.llm.common import parallelism
 from pairloom.llm.words import coded, joined, spans
 from pairloom.operators.ordering import top_k
 from pairloom.session import pinned
@@ -31,27 +31,32 @@ ROUTE_WORDS, LEADS = 4_000_000, 1_000_000
 BATCH_CHARS = 8_000_000
 #: Counts with more than 1 / LARGE of all words (at most LARGE a length) are looked up by broadcast.
 LARGE = 4096
-_MARKS = ".,;:!?\n\x0b\x0c\r"
+#: Pointers that a partition is finished with by a plain sort.
+SMALL = 4096
+#: What a byte of a text becomes: A-Z lower case, marks that end a piece a line feed, a tab a space.
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[65:91] += 32
+_BYTES[list(b".,;:!?\x0b\x0c\r")] = 10
+_BYTES[9] = 32
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """(lang, text, ...) -> (lang, text): lower case, pieces end at a line feed, words at a space. Null languages are ``und``."""
-    text = F.translate(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), _MARKS + "\t", "\n" * len(_MARKS) + " ")
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
+    """(lang, text, ...) -> (lang, text) without nulls: unnamed languages are ``und``."""
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, pa.Array]]:
+def _batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
     """For each language of a batch: codes of its words, number of the piece of each word, the words by code."""
     held: dict[str, list[str]] = {}
     chars = 0
 
-    def done() -> Iterator[tuple[str, np.ndarray, np.ndarray, pa.Array]]:
+    def done() -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
         for lang, texts in held.items():
-            flat, _ = joined(texts, b"\n")
+            flat = _BYTES[joined(texts, b"\n")[0]]
             begins, ends = spans(flat, b" \n")
             if len(begins):
                 codes, vocabulary = coded(flat, begins, ends)
-                yield lang, codes, np.cumsum(flat == 10, dtype=np.int64)[begins], vocabulary
+                yield lang, codes, np.cumsum(flat == 10, dtype=np.int32)[begins], vocabulary.to_pylist()
 
     for frame in frames:
         for lang, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
@@ -96,10 +101,9 @@ def _weighed(columns: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np
     return [key, *reversed(out)], weight
 
 
-def _hashes(vocabulary: pa.Array) -> np.ndarray:
+def _hashes(vocabulary: list[bytes]) -> np.ndarray:
     """A hash of every word by code + 1, the same in every task."""
-    words = np.array(vocabulary.to_pylist(), dtype=object)
-    return np.concatenate([np.zeros(1, np.uint64), pd.util.hash_array(words, categorize=False)])
+    return np.concatenate([np.zeros(1, np.uint64), pd.util.hash_array(np.array(vocabulary, dtype=object), categorize=False)])
 
 
 def _mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -113,23 +117,21 @@ def leading_counts(texts: DataFrame, length: int, heavy: dict[str, set[tuple[byt
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, codes, piece, vocabulary in _batches(frames):
-            columns, weight = _weighed(_following(codes, piece, length), len(vocabulary) + 1)
-            take = columns[-1] > 0
+            columns = _following(codes, piece, length)
             if known.value is not None:
-                take &= _among(columns[:-1], known.value.get(lang, set()), vocabulary)
-            names = np.array([None, *(w.decode("utf-8", "surrogatepass") for w in vocabulary.to_pylist())], dtype=object)
-            phrase = names[columns[0][take]]
-            for column in columns[1:]:
-                phrase = phrase + " " + names[column[take]] if len(phrase) else phrase
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrase), pa.string()), "phrase": pa.array(phrase, pa.string()), "f": pa.array(weight[take], pa.int64())})
+                take = (columns[-1] > 0) & _among(columns[:-1], known.value.get(lang, set()), vocabulary)
+                columns = [c[take] for c in columns]
+            columns, weight = _weighed(columns, len(vocabulary) + 1)
+            phrase = [b" ".join([vocabulary[c - 1] for c in words]).decode("utf-8", "surrogatepass") for words in zip(*[c.tolist() for c in columns])]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrase), pa.string()), "phrase": pa.array(phrase, pa.string()), "f": pa.array(weight, pa.int64())})
 
     return texts.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _among(columns: list[np.ndarray], leads: set[tuple[bytes, ...]], vocabulary: pa.Array) -> np.ndarray:
+def _among(columns: list[np.ndarray], leads: set[tuple[bytes, ...]], vocabulary: list[bytes]) -> np.ndarray:
     """Which rows' words are one of the leads (all of as many words as there are columns)."""
     out = np.zeros(len(columns[0]), bool)
-    code = {w: i + 1 for i, w in enumerate(vocabulary.to_pylist())} if leads else {}
+    code = {w: i + 1 for i, w in enumerate(vocabulary)} if leads else {}
     wanted = np.array([w for lead in leads if 0 not in (w := [code.get(x, 0) for x in lead])], np.int64).reshape(-1, len(columns))
     if len(wanted):
         both = [np.concatenate([c, wanted[:, k]]) for k, c in enumerate(columns)]
@@ -162,13 +164,19 @@ def routed(texts: DataFrame, length: int, routes: int, heavy: list[dict[str, set
             route = np.where(last > 0, (route % np.uint64(routes)).astype(np.int64), -1)
             order = np.argsort(route, kind="stable")
             borders = np.searchsorted(route[order], np.arange(routes + 1))
+            here, place = np.zeros(len(vocabulary) + 1, bool), np.zeros(len(vocabulary) + 1, np.int32)
             for r in np.flatnonzero(np.diff(borders)):
                 rows = order[borders[r] : borders[r + 1]]
-                used, places = np.unique(np.concatenate([c[rows] for c in columns] + [np.zeros(1, np.int64)]), return_inverse=True)
-                text = b"\n".join(vocabulary.take(pa.array(used[1:] - 1)).to_pylist())
+                own = np.stack([c[rows] for c in columns])
+                here[own] = True
+                here[0] = False
+                used = np.flatnonzero(here)
+                here[used] = False
+                place[used] = np.arange(1, len(used) + 1)
+                text = b"\n".join([vocabulary[c] for c in (used - 1).tolist()])
                 yield pa.RecordBatch.from_pydict({
                     "route": pa.array([r], pa.int32()), "lang": pa.array([lang], pa.string()), "n": pa.array([len(rows)], pa.int32()), "words": pa.array([text], pa.binary()),
-                    "places": pa.array([places[:-1].astype(np.int32).tobytes()], pa.binary()), "weights": pa.array([weight[rows].astype(np.int64).tobytes()], pa.binary()),
+                    "places": pa.array([place[own].tobytes()], pa.binary()), "weights": pa.array([weight[rows].astype(np.int64).tobytes()], pa.binary()),
                     "depths": pa.array([depth[rows].astype(np.int8).tobytes()], pa.binary()),
                 })
 
@@ -180,26 +188,49 @@ def phrase_partitions(columns: list[np.ndarray], weight: np.ndarray, depth: np.n
 
     ``depth`` is the number of words by which a pointer was routed: shorter phrases are not whole. Word 0 is the end of a piece.
     """
-    todo: list[tuple[np.ndarray, tuple[int, ...]]] = [(np.arange(len(weight)), ())]
+    if not len(weight):
+        return
+    todo: list[tuple[np.ndarray, np.ndarray, tuple[int, ...]]] = [(np.arange(len(weight), dtype=np.int32), columns[0], ())]
     while todo:
-        pointers, lead = todo.pop()
-        word = columns[len(lead)][pointers]
-        pivot = int(word[len(word) // 2])
-        below, above = word < pivot, word > pivot
-        for side in (pointers[below], pointers[above]):
-            if len(side) and int(weight[side].sum()) >= least:
-                todo.append((side, lead))
-        same = pointers[~(below | above)]
-        if pivot == 0:
+        pointers, word, lead = todo.pop()
+        if len(pointers) <= SMALL:
+            yield from _small_partition(columns, weight, depth, least, pointers, lead)
             continue
+        pivot = int(word[len(word) // 2])
+        for side in (np.flatnonzero(word < pivot), np.flatnonzero(word > pivot)):
+            if int(weight[pointers[side]].sum()) >= least:
+                todo.append((pointers[side], word[side], lead))
+        same = pointers[word == pivot]
         count = int(weight[same].sum())
-        if count < least:
+        if pivot == 0 or count < least:
             continue
         phrase = (*lead, pivot)
         if depth[same[0]] <= len(phrase):
             yield phrase, count
         if len(phrase) < len(columns):
-            todo.append((same, phrase))
+            todo.append((same, columns[len(phrase)][same], phrase))
+
+
+def _small_partition(columns: list[np.ndarray], weight: np.ndarray, depth: np.ndarray, least: int, pointers: np.ndarray, lead: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
+    """The phrases of a partition, its pointers sorted word by word; pointers of infrequent parts go after each word."""
+    part = np.zeros(len(pointers), np.int64)
+    for k in range(len(lead), len(columns)):
+        word = columns[k][pointers]
+        key = part << 32 | word
+        order = np.argsort(key, kind="stable")
+        pointers, key, word = pointers[order], key[order], word[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(first):
+            return
+        count = np.add.reduceat(weight[pointers], first)
+        goes_on = (count >= least) & (word[first] > 0)
+        heads = pointers[first[goes_on]]
+        whole = depth[heads] <= k + 1
+        words = [columns[j][heads[whole]].tolist() for j in range(len(lead), k + 1)]
+        yield from zip([(*lead, *w) for w in zip(*words)], count[goes_on][whole].tolist())
+        sizes = np.diff(first, append=len(key))
+        pointers = pointers[np.repeat(goes_on, sizes)]
+        part = np.repeat(np.arange(int(goes_on.sum()), dtype=np.int64), sizes[goes_on])
 
 
 def _sorted_route(length: int, least: int):

@@ -179,3 +179,19 @@ def test_collocations_on_odd_rows(odd_docs, no_docs):
     rows = [(r["lang"], r["text"]) for r in odd_docs.collect()]
     assert sorted(tuple(r) for r in collocations.collocations(odd_docs, least=2).collect()) == brute_collocations(rows, 3, 2, 2000)
     assert collocations.collocations(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 1, 7, 4096])
+def test_partitions_count_every_phrase_whatever_is_left_to_the_plain_sort(monkeypatch, small):
+    monkeypatch.setattr(collocations, "SMALL", small)
+    rng = np.random.default_rng(small)
+    columns = [rng.integers(0 if k else 1, 6, 3000).astype(np.int32) for k in range(4)]
+    for k in range(1, 4):
+        columns[k][columns[k - 1] == 0] = 0
+    weight, depth = rng.integers(1, 4, 3000), np.where(columns[0] == 2, 2, 1)
+    want = Counter()
+    for *words, n in zip(*[c.tolist() for c in columns], weight.tolist()):
+        for k in range(1, 5):
+            if words[k - 1] and (words[0] != 2 or k > 1):
+                want[tuple(words[:k])] += n
+    assert dict(collocations.phrase_partitions(columns, weight, depth, 12)) == {p: n for p, n in want.items() if n >= 12}
