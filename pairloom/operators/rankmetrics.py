@@ -1,4 +1,4 @@
-"""AUROC, average precision, best threshold, exact quantiles and bootstrap intervals without one-task groups.
+"""AUROC, average precision, best threshold and exact quantiles without one-task groups.
 
 Every function first reduces rows to distinct scores with counts (combined before the shuffle) and then works
 on distributed running sums over them.
@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.metrics import ratio
-from pairloom.operators.ordering import running_sums, seeded_unit
+from pairloom.operators.ordering import running_sums
+from pairloom.operators.resampling import bootstrap_interval as bootstrap_interval  # the interval of a mean, beside the metrics it goes with
 from pairloom.session import pinned
 
 
@@ -107,36 +108,3 @@ def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
     plain = df.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
     return plain.join(exact_quantiles(df.withColumn("_q", v), keys, "_q", [0.5, 0.9]), list(keys), "left")
-
-
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw by inverting its distribution at ``u`` in [0, 1)."""
-    out, total, term, k = F.when(F.lit(False), 0), 0.0, 2.718281828459045**-1, 0
-    while 1 - total > 2.0**-32:  # what is left is finer than the draws
-        total += term
-        out = out.when(u < total, k)
-        k += 1
-        term /= k
-    return out.otherwise(k)
-
-
-def bootstrap_interval(df: DataFrame, keys: Sequence[str], value: Column, row_key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean with a 95% Poisson-bootstrap interval (order statistics ``int(q * (B - 1))``).
-
-    Each row draws its weight for every replicate from a hash of its key. The replicates only exist between the
-    scan and the partial aggregate of the same stage: what is shuffled is one sum per replicate and task.
-    """
-    rows = df.select(*keys, F.col(row_key).cast("string").alias("_key"), value.cast("double").alias("_value"))
-    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    w = poisson_weight(seeded_unit(seed, "_key", "_b"))
-    sums = drawn.groupBy(*keys, "_b").agg(F.sum(w * F.col("_value")).alias("s"), F.sum(w).alias("w"))
-    estimates = sums.filter("w > 0").select(*keys, (F.col("s") / F.col("w")).alias("estimate"), "_b")
-    order = Window.partitionBy(*keys).orderBy("estimate", "_b")
-    size = F.count("*").over(Window.partitionBy(*keys))
-    ranked = estimates.select(*keys, "estimate", F.row_number().over(order).alias("r"), size.alias("B"))
-
-    def pick(q: float) -> Column:
-        return F.max(F.when(F.col("r") == F.floor((F.col("B") - 1) * q) + 1, F.col("estimate")))
-
-    ends = ranked.groupBy(*keys).agg(pick(0.025).alias("lower_95"), pick(0.975).alias("upper_95"))
-    return rows.groupBy(*keys).agg(F.avg("_value").alias("mean")).join(ends, list(keys))

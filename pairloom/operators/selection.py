@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators import resampling
+
 
 def weighted_average(df: DataFrame, keys: Sequence[str], weight: str, values: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
     """Sample-weighted averages of ``values`` and plain sums of ``sums``."""
@@ -139,3 +141,51 @@ def coverage_rules(counts: DataFrame, targets: Mapping[str, int], must: Sequence
         rule("empty", 2, F.col("must") & (F.col("n") == 0)), rule("coverage_below_70", 2, F.col("core") & (cover < 0.70)),
         rule("coverage_below_50", 1, (F.col("n") > 0) & (cover < 0.50)), rule("yes_share", 1, (F.col("n") > 0) & ~share.between(0.45, 0.55)),
     )))
+
+
+def grid_summaries(
+    rows: DataFrame, keys: Sequence[str], base: Column, effects: Column, ks: Sequence[int], alphas: Sequence[float], signs: Sequence[int], digits: int = 9
+) -> DataFrame:
+    """Every configuration (k, alpha, sign) of a steering grid from one pass over the rows.
+
+    ``base`` is a row's margin without steering and ``effects`` an array with the margin's change for each k at alpha 1. The margins of all
+    configurations are one array a row, their counters one array a group in the partial aggregate; rows are not copied. Returns
+    (keys, k, alpha, sign, num_pairs, wins, ties, losses, pairwise_acc, mean_margin), and k 0 is the baseline.
+    """
+    steps = F.array(*[F.lit(float(a * s)) for a in alphas for s in signs])
+    steered = F.flatten(F.transform(effects, lambda e: F.transform(steps, lambda step: base + step * e)))
+    margins = rows.select(*keys, F.transform(F.concat(F.array(base), steered), lambda m: F.round(m.cast("double"), digits)).alias("_m"))
+    one, none = F.lit(1.0), F.lit(0.0)
+    sums = margins.groupBy(*keys).agg(
+        F.count("*").alias("num_pairs"),
+        resampling.array_total(F.transform("_m", lambda m: F.when(m > 0, one).otherwise(none))).alias("_wins"),
+        resampling.array_total(F.transform("_m", lambda m: F.when(m == 0, one).otherwise(none))).alias("_ties"),
+        resampling.array_sum(F.col("_m")).alias("_sums"),
+    )
+    configs = [(0, 0.0, 1), *[(k, a, s) for k in ks for a in alphas for s in signs]]
+    named = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.lit(float(a)).alias("alpha"), F.lit(int(s)).alias("sign")) for k, a, s in configs])
+    each = sums.select(*keys, "num_pairs", F.explode(F.arrays_zip(named.alias("config"), "_wins", "_ties", "_sums")).alias("c"))
+    wins, ties = F.col("c._wins").cast("long"), F.col("c._ties").cast("long")
+    return each.select(
+        *keys, "c.config.k", "c.config.alpha", "c.config.sign", "num_pairs", wins.alias("wins"), ties.alias("ties"), (F.col("num_pairs") - wins - ties).alias("losses"),
+        (wins / F.col("num_pairs")).alias("pairwise_acc"), (F.col("c._sums") / F.col("num_pairs")).alias("mean_margin"),
+    )
+
+
+def tuned_and_tested(table: DataFrame, keys: Sequence[str], split: str = "split", tune: str = "val", test: str = "test") -> DataFrame:
+    """The configuration that is best on ``tune``, reported on ``test`` beside the baseline there, for :func:`grid_summaries` by keys and split.
+
+    Best is the highest pairwise accuracy, then mean margin, smaller alpha, smaller k, smaller sign. Groups without rows in either split are left out.
+    """
+    keys = list(keys)
+    steered = table.filter("k > 0")
+    by = [F.round("pairwise_acc", 9), F.round("mean_margin", 9), -F.abs(F.col("alpha")), -F.col("k"), -F.col("sign")]
+    best = best_of(steered.filter(F.col(split) == tune).select(*keys, "k", "alpha", "sign", "pairwise_acc", "mean_margin"), keys, by)
+    best = best.select(*keys, "k", "alpha", "sign", F.col("pairwise_acc").alias("tuned_pairwise_acc"), F.col("mean_margin").alias("tuned_mean_margin"))
+    tested = table.filter(F.col(split) == test)
+    base = tested.filter("k = 0").select(*keys, F.col("pairwise_acc").alias("base_pairwise_acc"), F.col("mean_margin").alias("base_mean_margin"))
+    at = tested.select(*keys, "k", "alpha", "sign", "num_pairs", "wins", "ties", "losses", "pairwise_acc", "mean_margin")
+    joined = best.join(at, [*keys, "k", "alpha", "sign"]).join(base, keys)
+    return joined.withColumns({
+        "delta_pairwise_acc": F.col("pairwise_acc") - F.col("base_pairwise_acc"), "delta_mean_margin": F.col("mean_margin") - F.col("base_mean_margin"),
+    })

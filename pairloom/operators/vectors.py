@@ -155,6 +155,68 @@ def evaluation(scores: DataFrame, keys: Sequence[str], pair: str, thresholds: Da
     return sides.join(rankmetrics.auroc(steps, keys), keys).join(rankmetrics.average_precision(steps, keys), keys).join(at, keys)
 
 
+def prefix_scores(acts: DataFrame, protos: DataFrame, ranked: DataFrame, keys: Sequence[str], ks: Sequence[int], score: str = "axis") -> DataFrame:
+    """(keys, branch, scores): the mean similarity over the k best heads for every k of ``ks`` at once, as one array a row.
+
+    ``ranked(subtype, layer, head, rank)`` orders the heads. A head adds its share to every k from its rank on, so all k come from one
+    scan of the vectors. Where there are fewer than k heads, their number divides.
+    """
+    from pairloom.operators.resampling import array_sum
+
+    best = ranked.filter(F.col("rank") <= max(ks))
+    sizes = best.groupBy("subtype").agg(F.count("*").alias("_heads"))
+    chosen = pinned(protos.join(best.select("subtype", *HEAD, "rank"), ["subtype", *HEAD]).join(sizes, "subtype"))
+    joined = acts.withColumn("vec", v.normalize(F.col("vec"))).join(chosen, ["subtype", *HEAD])
+    z = F.col("vec")
+    part = v.dot(z, F.col("axis")) if score == "axis" else v.dot(z, F.col("mu_pos")) - v.dot(z, F.col("mu_neg"))
+    shares = [F.when(F.col("rank") <= k, F.col("_part") / F.least(F.lit(k), F.col("_heads"))).otherwise(0.0) for k in ks]
+    return joined.withColumn("_part", part).groupBy(*keys, "branch").agg(array_sum(F.array(*shares)).alias("scores"))
+
+
+def paired_prefixes(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Prefix scores of both branches side by side; pairs that miss one are left out."""
+
+    def side(name: str) -> Column:
+        return F.first(F.when(F.col("branch") == name, F.col("scores")), ignorenulls=True)
+
+    return scores.groupBy(*keys).agg(side("pos").alias("scores_pos"), side("neg").alias("scores_neg")).filter("scores_pos IS NOT NULL AND scores_neg IS NOT NULL")
+
+
+def best_prefix(scores: DataFrame, keys: Sequence[str], pair: str, ks: Sequence[int]) -> DataFrame:
+    """(keys, k, place, accuracies): the first k with the highest pairwise accuracy, and the accuracies of all."""
+    wins = F.zip_with("scores_pos", "scores_neg", lambda p, n: F.when(F.round(p, 9) > F.round(n, 9), 1.0).otherwise(0.0))
+    means = paired_prefixes(scores, [*keys, pair]).groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(wins))).alias("accuracies"))
+    rounded = F.transform("accuracies", lambda a: F.round(a, 9))
+    place = F.array_position(rounded, F.array_max(rounded)).cast("int")
+    return means.select(*keys, F.get(F.array(*map(F.lit, ks)), place - 1).alias("k"), place.alias("place"), "accuracies")
+
+
+def frozen_test(scores: DataFrame, keys: Sequence[str], pair: str, split: str, ks: Sequence[int], tune: str = "val", test: str = "test") -> DataFrame:
+    """k and threshold chosen on ``tune``, applied unchanged to ``test``: :func:`evaluation` there, with k and its accuracy on ``tune``.
+
+    ``scores`` are :func:`prefix_scores` with the split as a column. Groups that miss one of the splits are left out.
+    """
+    from pairloom.operators import rankmetrics
+
+    keys = list(keys)
+    tuning = scores.filter(F.col(split) == tune)
+    chosen = pinned(best_prefix(tuning, keys, pair, ks).select(*keys, "k", "place", F.get("accuracies", F.col("place") - 1).alias("tuned_acc")))
+
+    def at_k(rows: DataFrame) -> DataFrame:
+        return rows.join(chosen.select(*keys, "place"), keys).select(*keys, pair, "branch", F.get("scores", F.col("place") - 1).alias("score"))
+
+    steps = rankmetrics.score_steps(as_labels(at_k(tuning)), keys)
+    frozen = pinned(rankmetrics.best_threshold(steps, keys).select(*keys, "threshold"))
+    tested = pinned(at_k(scores.filter(F.col(split) == test)))
+    return evaluation(tested, keys, pair, frozen).join(chosen.drop("place"), keys)
+
+
+def macro_average(table: DataFrame, name: str, metrics: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """``table`` with one row more, ``macro`` in column ``name``: plain averages of the metrics and sums over its rows, other columns null."""
+    total = table.agg(*[F.avg(m).alias(m) for m in metrics], *[F.sum(s).alias(s) for s in sums])
+    return table.unionByName(total.withColumn(name, F.lit("macro")), allowMissingColumns=True)
+
+
 def directions(deltas: DataFrame, name: Column, cap: int = 0, pair: str = "pair_no", seed: int = 42, unit_heads: bool = False) -> DataFrame:
     """Mean difference vector per name; ``cap`` keeps that many pairs per name by seeded order."""
     named = deltas.withColumn("name", name).filter("name is not null")

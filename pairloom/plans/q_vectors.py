@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as v
-from pairloom.operators import decompose, ordering, rankmetrics, sets, validate
+from pairloom.operators import decompose, ordering, rankmetrics, resampling, selection, sets, validate
 from pairloom.operators import vectors as vec
 from pairloom.plans.bind import DIM, HEADS, Tables
-from pairloom.plans.q_metrics import BEST_THRESHOLD, rounded
+from pairloom.plans.q_metrics import BEST_THRESHOLD, poisson_sql, rounded
 from pairloom.plans.registry import query
 from pairloom.session import pinned
 
@@ -165,6 +165,53 @@ def g7(t: Tables) -> DataFrame:
     return rounded(vec.evaluation(scores, ["subtype"], "pair_no").drop("f1"))
 
 
+REPLICATES = 200
+INTERVAL_SQL = f"""
+    pw AS (SELECT subtype, pair_no, max(score) FILTER (WHERE branch = 'pos') AS p, max(score) FILTER (WHERE branch = 'neg') AS q FROM scores GROUP BY ALL),
+    draws AS (SELECT subtype, pair_no, b, p > q AS win, {poisson_sql("u")} AS w FROM
+      (SELECT *, CAST('0x' || substr(md5('42|' || pair_no || '|' || b), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM pw, range({REPLICATES}) x(b))),
+    copies AS (SELECT l.subtype, d.b, l.label, l.score, unnest(range(d.w)) FROM labeled l JOIN draws d USING (subtype, pair_no)),
+    ranks AS (SELECT subtype, b, label, rank() OVER (PARTITION BY subtype, b ORDER BY score) + (count(*) OVER (PARTITION BY subtype, b, score) - 1) / 2 AS rk FROM copies),
+    sizes AS (SELECT subtype, b, sum(rk) FILTER (WHERE label = 1) AS s, count(*) FILTER (WHERE label = 1) AS n FROM ranks GROUP BY ALL),
+    hit AS (SELECT subtype, b, label, row_number() OVER w AS rk, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM copies WINDOW w AS (PARTITION BY subtype, b ORDER BY score DESC, label DESC)),
+    est AS (
+      SELECT 'pairwise_acc' AS metric, subtype, sum(w) FILTER (WHERE win) / sum(w) AS e FROM (SELECT subtype, b, win, w FROM draws) GROUP BY subtype, b HAVING sum(w) > 0
+      UNION ALL SELECT 'auroc', subtype, (s - n * (n + 1) / 2) / (n * n) FROM sizes
+      UNION ALL SELECT 'average_precision', subtype, sum(hits / rk) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1) FROM hit GROUP BY subtype, b),
+    ends AS (SELECT subtype, metric, e, row_number() OVER (PARTITION BY subtype, metric ORDER BY e) AS r, count(*) OVER (PARTITION BY subtype, metric) AS n FROM est),
+    ci AS (SELECT subtype, """ + ", ".join(
+    f"round(max(e) FILTER (WHERE metric = '{m}' AND r = floor((n - 1) * {q}) + 1), 6) AS {m}_{end}_95" for m in ("pairwise_acc", "auroc", "average_precision") for end, q in (("lower", 0.025), ("upper", 0.975))
+) + " FROM ends GROUP BY subtype)"
+
+
+@query(
+    "G7_intervals",
+    "WITH " + G7_SQL + "," + INTERVAL_SQL + """
+    SELECT subtype, num_pairs, round(pairwise_acc, 6) AS pairwise_acc, round(auroc, 6) AS auroc, round(average_precision, 6) AS average_precision, ci.* EXCLUDE (subtype)
+    FROM pr JOIN auc USING (subtype) JOIN ap USING (subtype) JOIN ci USING (subtype)""",
+)
+def g7_intervals(t: Tables) -> DataFrame:
+    scores = pinned(vec.row_scores(t.acts, protos(t), ["pair_no", "subtype"]))
+    plain = vec.evaluation(scores, ["subtype"], "pair_no").select("subtype", "num_pairs", "pairwise_acc", "auroc", "average_precision")
+    return rounded(plain.join(resampling.pair_intervals(vec.paired_scores(scores, ["subtype", "pair_no"]), ["subtype"], "pair_no", replicates=REPLICATES), "subtype"))
+
+
+@query(
+    "G7_macro_average",
+    "WITH " + G7_SQL + ", s AS (SELECT subtype, label = 1 AS y, score FROM labeled), bt AS (WITH " + BEST_THRESHOLD.format(k="subtype").replace("round(arg_max(threshold, (gain, -threshold)), 6)", "arg_max(threshold, (gain, -threshold))") + """),
+    cut AS (SELECT subtype, avg(CASE WHEN hit = y THEN 1.0 ELSE 0 END) AS accuracy, 2 * count(*) FILTER (WHERE hit AND y) / nullif(count(*) FILTER (WHERE hit) + count(*) FILTER (WHERE y), 0) AS f1
+      FROM (SELECT subtype, y, score >= threshold AS hit FROM s JOIN bt USING (subtype)) GROUP BY subtype),
+    m AS (SELECT pr.subtype, num_pairs, pairwise_acc, auroc, average_precision, accuracy, coalesce(f1, 0) AS f1 FROM pr JOIN auc USING (subtype) JOIN ap USING (subtype) JOIN cut USING (subtype))
+    SELECT subtype, num_pairs, round(pairwise_acc, 6) AS pairwise_acc, round(auroc, 6) AS auroc, round(average_precision, 6) AS average_precision, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1 FROM m
+    UNION ALL SELECT 'macro', CAST(sum(num_pairs) AS BIGINT), round(avg(pairwise_acc), 6), round(avg(auroc), 6), round(avg(average_precision), 6), round(avg(accuracy), 6), round(avg(f1), 6) FROM m""",
+)
+def g7_macro(t: Tables) -> DataFrame:
+    scores = pinned(vec.row_scores(t.acts, protos(t), ["pair_no", "subtype"]))
+    metrics = ["pairwise_acc", "auroc", "average_precision", "accuracy", "f1"]
+    table = pinned(vec.evaluation(scores, ["subtype"], "pair_no").select("subtype", "num_pairs", *metrics))
+    return rounded(vec.macro_average(table, "subtype", metrics, ["num_pairs"]))
+
+
 @query(
     "G8_cross_matrix",
     """WITH x AS (SELECT a.subtype AS prototype, u.subtype, u.pair_no, u.branch, round(sum(u.v * a.v) / 8, 9) AS score FROM unit u JOIN axis a USING (layer, head, d) GROUP BY ALL),
@@ -211,6 +258,88 @@ def g9(t: Tables) -> DataFrame:
     return rounded(table.select("k", "subtype", "num_pairs", "pairwise_acc"))
 
 
+def part_of(t: Tables) -> DataFrame:
+    """Activations with a train, val or test split of their pairs."""
+    key = ordering.seeded_key(7, "pair_no")
+    return t.acts.withColumn("split", F.when(key < "8", "train").when(key < "c", "val").otherwise("test"))
+
+
+#: Prototypes, head ranks and scores for every k, learnt on the training pairs alone.
+PREFIX_SQL = """
+    us AS (SELECT *, CASE WHEN md5('7|' || pair_no) < '8' THEN 'train' WHEN md5('7|' || pair_no) < 'c' THEN 'val' ELSE 'test' END AS split FROM unit),
+    tm AS (SELECT subtype, branch, layer, head, d, CASE WHEN n > 1e-12 THEN m / n ELSE 0 END AS v FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY subtype, branch, layer, head)) AS n
+      FROM (SELECT subtype, branch, layer, head, d, avg(v) AS m FROM us WHERE split = 'train' GROUP BY ALL))),
+    ta AS (SELECT subtype, layer, head, d, CASE WHEN n > 1e-12 THEN m / n ELSE 0 END AS v FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY subtype, layer, head)) AS n
+      FROM (SELECT subtype, layer, head, d, max(v) FILTER (WHERE branch = 'pos') - max(v) FILTER (WHERE branch = 'neg') AS m FROM tm GROUP BY ALL))),
+    td AS (SELECT subtype, layer, head, branch, avg(1 - dot) AS disp FROM (SELECT u.subtype, u.layer, u.head, u.branch, u.pair_no, sum(u.v * m.v) AS dot FROM us u JOIN tm m USING (subtype, branch, layer, head, d) WHERE split = 'train' GROUP BY ALL) GROUP BY ALL),
+    ts AS (SELECT p.subtype, p.layer, p.head, 1 - sum(p.v * q.v) AS sep FROM tm p JOIN tm q USING (subtype, layer, head, d) WHERE p.branch = 'pos' AND q.branch = 'neg' GROUP BY ALL),
+    rk AS (SELECT subtype, layer, head, row_number() OVER (PARTITION BY subtype ORDER BY round(sep / (a.disp + b.disp + 1e-8), 9) DESC, round(sep, 9) DESC, layer, head) AS rank
+      FROM ts JOIN td a USING (subtype, layer, head) JOIN td b USING (subtype, layer, head) WHERE a.branch = 'pos' AND b.branch = 'neg'),
+    xk AS (SELECT kk.k, u.subtype, u.pair_no, u.branch, u.split, sum(u.v * a.v / kk.k) AS score FROM us u JOIN ta a USING (subtype, layer, head, d) JOIN rk USING (subtype, layer, head)
+      JOIN (VALUES (1), (2), (4), (8)) kk(k) ON rk.rank <= kk.k WHERE u.split <> 'train' GROUP BY ALL),
+    pk AS (SELECT k, subtype, split, pair_no, max(score) FILTER (WHERE branch = 'pos') AS p, max(score) FILTER (WHERE branch = 'neg') AS q FROM xk GROUP BY ALL)"""
+KS = (1, 2, 4, 8)
+
+
+def prefixes(t: Tables) -> DataFrame:
+    """Scores for every k of the pairs to tune and to test on, one row a pair and branch."""
+    acts = pinned(part_of(t))
+    train = acts.filter("split = 'train'")
+    p = protos_of(train)
+    ranked = vec.ranked_heads(vec.head_scores(train, p), ["subtype"], max(KS), ("score", "sep"))
+    return pinned(vec.prefix_scores(acts.filter("split <> 'train'"), p, ranked, ["split", "subtype", "pair_no"], KS))
+
+
+def protos_of(acts: DataFrame) -> DataFrame:
+    return pinned(vec.prototypes(acts))
+
+
+@query(
+    "G9_frozen_test",
+    "WITH " + PREFIX_SQL + """,
+    ch AS (SELECT subtype, k, acc FROM (SELECT subtype, k, avg(CASE WHEN round(p, 9) > round(q, 9) THEN 1.0 ELSE 0 END) AS acc FROM pk WHERE split = 'val' GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY subtype ORDER BY round(acc, 9) DESC, k) = 1),
+    s AS (SELECT subtype, branch = 'pos' AS y, round(score, 9) AS score FROM xk JOIN ch USING (subtype, k) WHERE split = 'val'),
+    bt AS (WITH """ + BEST_THRESHOLD.format(k="subtype").replace("round(arg_max(threshold, (gain, -threshold)), 6)", "arg_max(threshold, (gain, -threshold))") + """),
+    lt AS (SELECT subtype, pair_no, CASE WHEN branch = 'pos' THEN 1 ELSE 0 END AS label, round(score, 9) AS score FROM xk JOIN ch USING (subtype, k) WHERE split = 'test'),
+    r AS (SELECT subtype, label, rank() OVER (PARTITION BY subtype ORDER BY score) + (count(*) OVER (PARTITION BY subtype, score) - 1) / 2 AS rk FROM lt),
+    auc AS (SELECT subtype, (sum(rk) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)) AS auroc FROM r GROUP BY subtype),
+    hit AS (SELECT subtype, label = 1 AS y, score >= threshold AS h FROM lt JOIN bt USING (subtype)),
+    acc AS (SELECT subtype, avg(CASE WHEN h = y THEN 1.0 ELSE 0 END) AS accuracy, 2 * count(*) FILTER (WHERE h AND y) / nullif(count(*) FILTER (WHERE h) + count(*) FILTER (WHERE y), 0) AS f1 FROM hit GROUP BY subtype)
+    SELECT subtype, CAST(ch.k AS INTEGER) AS k, round(ch.acc, 6) AS tuned_acc, round(threshold, 6) AS threshold, count(*) AS num_pairs, round(avg(CASE WHEN p > q THEN 1.0 ELSE 0 END), 6) AS pairwise_acc,
+      round(any_value(auroc), 6) AS auroc, round(any_value(accuracy), 6) AS accuracy, round(coalesce(any_value(f1), 0), 6) AS f1
+    FROM pk JOIN ch USING (subtype, k) JOIN bt USING (subtype) JOIN auc USING (subtype) JOIN acc USING (subtype) WHERE split = 'test' GROUP BY subtype, ch.k, ch.acc, threshold""",
+)
+def g9_frozen(t: Tables) -> DataFrame:
+    table = vec.frozen_test(prefixes(t), ["subtype"], "pair_no", "split", KS)
+    return rounded(table.select("subtype", "k", "tuned_acc", "threshold", "num_pairs", "pairwise_acc", "auroc", "accuracy", "f1"))
+
+
+ALPHAS, SIGNS = (0.25, 0.5, 1.0, 2.0), (-1, 1)
+
+
+@query(
+    "D34_grid_search",
+    "WITH " + PREFIX_SQL + """,
+    grid AS (SELECT k, a, s FROM (VALUES (1), (2), (4)) x(k), (VALUES (0.25::DOUBLE), (0.5), (1.0), (2.0)) y(a), (VALUES (-1), (1)) z(s)),
+    m AS (SELECT e.split, e.subtype, g.k, g.a, g.s, round(b.p - b.q + g.a * g.s * (e.p - e.q), 9) AS m FROM pk e JOIN pk b ON b.k = 8 AND b.subtype = e.subtype AND b.pair_no = e.pair_no JOIN grid g ON g.k = e.k
+          UNION ALL SELECT split, subtype, 0, 0, 1, round(p - q, 9) FROM pk WHERE k = 8),
+    t AS (SELECT split, subtype, k, a, s, count(*) AS num_pairs, count(*) FILTER (WHERE m > 0) AS wins, count(*) FILTER (WHERE m = 0) AS ties, avg(m) AS mean_margin FROM m GROUP BY ALL),
+    best AS (SELECT * FROM t WHERE split = 'val' AND k > 0 QUALIFY row_number() OVER (PARTITION BY subtype ORDER BY round(wins / num_pairs, 9) DESC, round(mean_margin, 9) DESC, a, k, s) = 1)
+    SELECT t.subtype, t.k, t.a AS alpha, t.s AS sign, t.num_pairs, t.wins, t.ties, round(t.wins / t.num_pairs, 6) AS pairwise_acc, round(t.mean_margin, 6) AS mean_margin,
+      round(b.wins / b.num_pairs, 6) AS base_pairwise_acc, round(b.mean_margin, 6) AS base_mean_margin, round(best.wins / best.num_pairs, 6) AS tuned_pairwise_acc,
+      round(t.wins / t.num_pairs - b.wins / b.num_pairs, 6) AS delta_pairwise_acc, round(t.mean_margin - b.mean_margin, 6) AS delta_mean_margin
+    FROM best JOIN t ON t.split = 'test' AND t.subtype = best.subtype AND t.k = best.k AND t.a = best.a AND t.s = best.s JOIN t b ON b.split = 'test' AND b.k = 0 AND b.subtype = best.subtype""",
+)
+def d34_grid(t: Tables) -> DataFrame:
+    """Steering moves a pair's margin over all heads by alpha times sign times its margin over the k best."""
+    pairs = vec.paired_prefixes(prefixes(t), ["split", "subtype", "pair_no"])
+    margins = pairs.select("split", "subtype", F.zip_with("scores_pos", "scores_neg", lambda p, n: p - n).alias("m"))
+    table = selection.grid_summaries(margins, ["subtype", "split"], F.element_at("m", -1), F.slice("m", 1, 3), KS[:3], ALPHAS, SIGNS)
+    best = selection.tuned_and_tested(pinned(table), ["subtype"])
+    return rounded(best.drop("losses", "tuned_mean_margin"))
+
+
 @query(
     "G10_random_baseline",
     """WITH h AS (SELECT subtype, layer, head, r AS repeat, row_number() OVER (PARTITION BY subtype, r ORDER BY md5('5|' || subtype || '|' || r || '|' || layer || '|' || head), layer, head) AS rank
