@@ -216,6 +216,8 @@ def with_views(body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
     stripped = body.strip()
+    if stripped.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped.upper().startswith("WITH "):
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{stripped}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import fixed, text
-from pairloom.operators import facts, joins, ordering, profile, sampling, selection, sets, validate
+from pairloom.operators import facts, joins, ordering, profile, sampling, selection, sets, splitting, validate
 from pairloom.plans.bind import Tables
 from pairloom.plans.q_metrics import rounded
 from pairloom.plans.q_text import case, listed
@@ -70,6 +70,67 @@ def e8(t: Tables) -> DataFrame:
     return splits(t)
 
 
+#: The greedy as a recursion over the largest groups; a state is the rows, groups and rows a subtype of the three splits.
+PENALTY_SPLIT = """pc AS (SELECT image_id, category AS subtype, n FROM cnt),
+    pg AS (SELECT list(subtype ORDER BY subtype) AS names, list(g ORDER BY subtype) AS gs, CAST(sum(g) AS BIGINT) AS total, count(*) AS k FROM (SELECT subtype, sum(n) AS g FROM pc GROUP BY subtype)),
+    ps AS (SELECT image_id, CAST(sum(n) AS BIGINT) AS num_pairs, arg_max(subtype, (n, subtype)) AS stratum, map(list(subtype), list(n)) AS own FROM pc GROUP BY image_id),
+    ph AS (SELECT *, row_number() OVER (ORDER BY num_pairs DESC, md5('42|' || image_id), image_id) AS i FROM ps QUALIFY i <= 1000),
+    pv AS (SELECT ph.i, ph.num_pairs, list_transform(names, lambda x: coalesce(own[x], 0)) AS v, gs, total, k FROM ph, pg),
+    RATIO AS (SELECT [0.8::DOUBLE, 0.1, 0.1] AS r, ['train', 'val', 'test'] AS s),
+    st(i, pairs, groups, subs, chosen) AS (
+      SELECT CAST(0 AS BIGINT), [0::BIGINT, 0, 0], [0::BIGINT, 0, 0], list_transform([1, 2, 3], lambda z: list_transform(range(k), lambda y: 0::BIGINT)), 0 FROM pg
+      UNION ALL
+      SELECT i, list_transform([1, 2, 3], lambda z: pairs[z] + CASE WHEN z = c THEN num_pairs ELSE 0 END), list_transform([1, 2, 3], lambda z: groups[z] + CASE WHEN z = c THEN 1 ELSE 0 END),
+             list_transform([1, 2, 3], lambda z: CASE WHEN z = c THEN list_transform(list_zip(subs[z], v), lambda q: q[1] + q[2]) ELSE subs[z] END), c
+      FROM (SELECT pv.i, pairs, groups, subs, num_pairs, v,
+              list_sort(list_transform([1, 2, 3], lambda z: {'o': pairs[z] + num_pairs > total * r[z], 'p': round(
+                  abs(pairs[z] + num_pairs - greatest(total * r[z], 1.0)) / greatest(total * r[z], 1.0) + 2 * greatest(pairs[z] + num_pairs - greatest(total * r[z], 1.0), 0.0) / greatest(total * r[z], 1.0)
+                  + list_sum(list_transform(list_zip(subs[z], v, gs), lambda q: abs(q[1] + q[2] - greatest(q[3] * r[z], 1.0)) / greatest(q[3] * r[z], 1.0) + greatest(q[1] + q[2] - greatest(q[3] * r[z], 1.0), 0.0) / greatest(q[3] * r[z], 1.0))) / k, 9),
+                'g': groups[z], 'n': pairs[z], 's': s[z], 'z': z}))[1].z AS c
+            FROM st JOIN pv ON pv.i = st.i + 1, RATIO)),
+    pp AS (SELECT image_id, s[chosen] AS split, num_pairs FROM ph JOIN st USING (i), RATIO),
+    pd AS (SELECT subtype AS stratum, [greatest(g * 0.8::DOUBLE - coalesce(a, 0), 0.0), greatest(g * 0.1::DOUBLE - coalesce(b, 0), 0.0), greatest(g * 0.1::DOUBLE - coalesce(c, 0), 0.0)] AS gaps
+      FROM (SELECT subtype, sum(n) AS g, sum(n) FILTER (WHERE split = 'train') AS a, sum(n) FILTER (WHERE split = 'val') AS b, sum(n) FILTER (WHERE split = 'test') AS c FROM pc LEFT JOIN pp USING (image_id) GROUP BY subtype)),
+    rs AS (SELECT * FROM ps WHERE image_id NOT IN (SELECT image_id FROM pp)),
+    sz AS (SELECT stratum, sum(num_pairs) AS size, any_value(gaps) AS gaps FROM rs JOIN pd USING (stratum) GROUP BY stratum),
+    wt AS (SELECT list_transform([1, 2, 3], lambda z: greatest(total * r[z] - coalesce(h[s[z]], 0), 0.0)) AS want FROM pg, RATIO, (SELECT map(list(split), list(n)) AS h FROM (SELECT split, sum(num_pairs) AS n FROM pp GROUP BY split))),
+    fr(n, f) AS (
+      SELECT 0, [1.0::DOUBLE, 1.0, 1.0]
+      UNION ALL
+      SELECT n + 1, list_transform([1, 2, 3], lambda z: CASE WHEN got[z] > 0 THEN f[z] * want[z] / got[z] ELSE f[z] END)
+      FROM (SELECT n, f, [sum(size * x[1] / y), sum(size * x[2] / y), sum(size * x[3] / y)] AS got
+            FROM (SELECT n, f, size, [gaps[1] * f[1], gaps[2] * f[2], gaps[3] * f[3]] AS x, gaps[1] * f[1] + gaps[2] * f[2] + gaps[3] * f[3] AS y FROM fr, sz WHERE n < 10) GROUP BY n, f), wt),
+    bd AS (SELECT stratum, gaps[1] * f[1] / y AS a, gaps[1] * f[1] / y + gaps[2] * f[2] / y AS b FROM (SELECT stratum, gaps, f, gaps[1] * f[1] + gaps[2] * f[2] + gaps[3] * f[3] AS y FROM sz, fr WHERE n = 10)),
+    pr AS (SELECT image_id, num_pairs, stratum, round((sum(num_pairs) OVER (PARTITION BY stratum ORDER BY md5('42|' || image_id), image_id ROWS UNBOUNDED PRECEDING) - num_pairs / 2) / sum(num_pairs) OVER (PARTITION BY stratum), 9) AS place FROM rs),
+    pz AS (SELECT image_id, split, num_pairs, 'penalty' AS placed FROM pp
+      UNION ALL SELECT image_id, CASE WHEN place <= round(a, 9) THEN 'train' WHEN place <= round(b, 9) THEN 'val' ELSE 'test' END, num_pairs, 'stratum' FROM pr JOIN bd USING (stratum))"""
+
+
+def penalty_rows(t: Tables) -> DataFrame:
+    return t.objs_table.select("image_id", F.col("category").alias("subtype"))
+
+
+@query("E8_penalty_split", f"WITH RECURSIVE {PENALTY_SPLIT} SELECT * FROM pz")
+def e8_penalty(t: Tables) -> DataFrame:
+    return splitting.penalty_split(penalty_rows(t), RATIOS)
+
+
+@query(
+    "E8_penalty_balance",
+    f"""WITH RECURSIVE {PENALTY_SPLIT}, cells AS (SELECT split, subtype, sum(n) AS n FROM pc JOIN pz USING (image_id) GROUP BY ALL), g AS (SELECT subtype, sum(n) AS g FROM pc GROUP BY subtype),
+    sq AS (SELECT split, sum(num_pairs) AS num_pairs, count(*) AS num_groups FROM pz GROUP BY split), al AS (SELECT sum(g) AS a FROM g),
+    mix AS (SELECT split, sum(abs(coalesce(n, 0) / num_pairs - g / a)) / 2 AS d FROM sq CROSS JOIN g CROSS JOIN al LEFT JOIN cells USING (split, subtype) GROUP BY split)
+    SELECT split, num_groups, CAST(num_pairs AS BIGINT) AS num_pairs, round(num_pairs / a, 6) AS share, round(d, 6) AS mix_distance,
+      abs(num_pairs / a - CASE split WHEN 'train' THEN 0.8::DOUBLE ELSE 0.1 END) <= 0.02 AS share_ok, d <= 0.02 AS mix_ok,
+      (SELECT count(*) FROM pz x WHERE x.split = sq.split AND x.image_id IN (SELECT image_id FROM pz y WHERE y.split <> x.split)) AS crossing
+    FROM sq JOIN mix USING (split), al""",
+)
+def e8_penalty_balance(t: Tables) -> DataFrame:
+    rows = penalty_rows(t)
+    table = splitting.split_balance(rows, pinned(splitting.penalty_split(rows, RATIOS)), RATIOS, tolerance=0.02)
+    return table.withColumns({"share": F.round("share", 6), "mix_distance": F.round("mix_distance", 6)})
+
+
 @query(
     "D8_C9_split_statistics",
     f"WITH {GROUP_SPLIT} SELECT split, coalesce(category, '') AS subtype, count(*) AS n, count(DISTINCT image_id) AS distinct_n FROM objs JOIN sp USING (image_id) GROUP BY GROUPING SETS ((split, category), (split))",
