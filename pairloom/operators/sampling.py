@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import fixed
-from pairloom.operators.ordering import first_per_group, global_rank, running_sums, seeded_key, top_k
+from pairloom.operators.ordering import GROUP_LIMIT, first_per_group, global_rank, running_sums, seeded_key, top_k
 from pairloom.session import pinned
 
 SMALL_SAMPLE = 10_000
@@ -162,37 +164,52 @@ def shortfall(rows: DataFrame, answer: str, targets: Mapping[str, int]) -> DataF
 
 
 def capped_selection(candidates: DataFrame, within: Sequence[str], caps: Mapping[str, int], target: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """Rows that respect a cap on every listed column at once, at most ``target`` per ``within``.
+    """Rows that respect a cap on every listed column at once, at most ``target`` per ``within``: what one pass in seeded order takes.
 
-    Each round cuts column after column to what its cap still allows and keeps the survivors, so no cap is ever
-    exceeded; later rounds offer the rows left over to values with room, until a round adds nothing. Rows with a null in a column are not
-    capped by it. The caps hold exactly; which rows are taken can differ from a sequential pass.
+    A pass takes a row if none of its values has reached its cap and the group its target; nulls and empty texts are not capped. Here
+    each round offers every open group its next rows in order, a number bounded by the target and without those a full value rules
+    out already, and passes through them with the counts so far. What a round leaves out can never be taken, so the
+    rounds together are that pass; they end when every group is full or has no rows left. The candidates are written once.
     """
-    pool = pinned(candidates.withColumn("_s", seeded_key(seed, *key)))
-    order = ["_s", *key]
-    taken: DataFrame | None = None
-    size = -1
+    size = max(4 * target, GROUP_LIMIT)
+    pool = pinned(candidates.withColumns({"_g": F.to_json(F.struct(*within)), "_s": seeded_key(seed, *key), "_row": F.monotonically_increasing_id()}))
+    order = ["_s", *key, "_row"]
+    columns = list(caps)
+    narrow = pool.select("_g", *dict.fromkeys([*order, *columns]))
+    taken = pinned(narrow.limit(0))
+
+    def one_pass(group: tuple, offered: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        used = {c: Counter(v for v in before[c] if v) for c in columns}
+        room, rows = target - len(before), []
+        for row, *values in zip(offered["_row"], *[offered[c] for c in columns]):
+            if len(rows) >= room:
+                break
+            if all(not v or used[c][v] < caps[c] for c, v in zip(columns, values)):
+                rows.append(row)
+                for c, v in zip(columns, values):
+                    used[c][v] += 1
+        return pd.DataFrame({"_row": pd.Series(rows, dtype="int64")})
+
+    def values(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("_g", "_row", *more, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+
+    ends: DataFrame | None = None
     while True:
-        left = pool if taken is None else pool.join(taken.select(*key), list(key), "left_anti")
-        if taken is not None:  # what is left fits by itself, so the first row in order gets through and each round adds one at least
-            for column, cap in caps.items():
-                full = taken.groupBy(*within, column).agg(F.count("*").alias("_used")).filter(F.col("_used") >= cap)
-                left = left.join(full.drop("_used"), [*within, column], "left_anti").select(*pool.columns)
-            left = pinned(left)
-        for column, cap in caps.items():
-            open_rows, named = left.filter(F.col(column).isNull()), left.filter(F.col(column).isNotNull())
-            ranked = top_k(named, [*within, column], order, cap, "_r")
-            if taken is not None:
-                used = taken.groupBy(*within, column).agg(F.count("*").alias("_used"))
-                ranked = ranked.join(used, [*within, column], "left").filter(F.col("_r") + F.coalesce("_used", F.lit(0)) <= cap).drop("_used")
-            left = ranked.drop("_r").unionByName(open_rows)
-        more = left if taken is None else taken.unionByName(left)
-        taken = pinned(more)
-        now = taken.count()
-        if now == size:
+        left = narrow
+        if ends is not None:
+            left = left.join(ends, "_g").filter(F.struct(*order) > F.col("_end")).drop("_end")
+            left = left.join(taken.groupBy("_g").agg(F.count("*").alias("_n")).filter(F.col("_n") >= target), "_g", "left_anti")
+            for c in columns:
+                full = taken.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != "")).groupBy("_g", c).agg(F.count("*").alias("_n")).filter(F.col("_n") >= caps[c])
+                left = left.join(full.drop("_n"), ["_g", c], "left_anti")
+        offered = pinned(top_k(left.select(*narrow.columns), ["_g"], order, size, "_place"))
+        if offered.isEmpty():
             break
-        size = now
-    return top_k(taken, list(within), order, target, "_r").drop("_r", "_s")
+        chosen = values(offered, "_place").groupBy("_g").cogroup(values(taken).groupBy("_g")).applyInPandas(lambda g, new, old: one_pass(g, new.sort_values("_place"), old), "_row long")
+        taken = pinned(taken.unionByName(offered.join(chosen, "_row", "left_semi").select(*narrow.columns)))
+        # A group that had no rows this time has none later either.
+        ends = pinned(offered.groupBy("_g").agg(F.max(F.struct(*order)).alias("_end")))
+    return pool.join(taken.select("_row"), "_row", "left_semi").drop("_g", "_s", "_row")
 
 
 def share_caps(target: int, shares: Mapping[str, float] = fixed.SELECTION_SHARES) -> dict[str, int]:

@@ -309,6 +309,25 @@ def e3(t: Tables) -> DataFrame:
     return builders.selected_pairs(builders.clean_pairs(t.sg, t.edges), 400).select("pair_id", "subtype", "b_object", "b_subject", "b_value", "b_predicate")
 
 
+@query(
+    "E3_seeded_selection",
+    """WITH RECURSIVE so AS (SELECT object_id, substr(brand, 1, 7) AS subtype, category, brand, color,
+      row_number() OVER (PARTITION BY substr(brand, 1, 7) ORDER BY md5('9|' || object_id), object_id) AS i FROM objs),
+    pass(subtype, i, cats, brands, colors, n, hit) AS (
+      SELECT subtype, CAST(0 AS BIGINT), []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], 0, false FROM so GROUP BY subtype
+      UNION ALL
+      SELECT subtype, i, CASE WHEN ok THEN list_append(cats, category) ELSE cats END, CASE WHEN ok THEN list_append(brands, brand) ELSE brands END, CASE WHEN ok THEN list_append(colors, color) ELSE colors END, n + ok::INT, ok
+      FROM (SELECT so.subtype, so.i, cats, brands, colors, n, category, brand, color,
+              len(list_filter(cats, lambda x: x = category)) < 2 AND len(list_filter(brands, lambda x: x = brand)) < 60 AND (color IS NULL OR len(list_filter(colors, lambda x: x = color)) < 12) AS ok
+            FROM pass JOIN so ON so.subtype = pass.subtype AND so.i = pass.i + 1 WHERE n < 240))
+    SELECT object_id, so.subtype, category, brand, color FROM so JOIN pass USING (subtype, i) WHERE hit""",
+)
+def e3_seeded(t: Tables) -> DataFrame:
+    """Under three caps at once, the rows that one pass in seeded order takes."""
+    rows = t.objs.select("object_id", F.substring("brand", 1, 7).alias("subtype"), "category", "brand", "color")
+    return sampling.capped_selection(rows, ["subtype"], {"category": 2, "brand": 60, "color": 12}, 240, 9, ["object_id"])
+
+
 @query("B12_row_violations", "SELECT CAST(doc_id AS VARCHAR) AS row_id, 'enum:lang' AS rule FROM documents WHERE lang NOT IN ('en', 'fr') UNION ALL SELECT text, 'duplicate:text' FROM documents GROUP BY text HAVING count(*) > 1")
 def b12(t: Tables) -> DataFrame:
     return validate.violations(t.documents, "doc_id", ["doc_id", "text"], {"lang": ("en", "fr")}, ["text"])

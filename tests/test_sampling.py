@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -136,3 +137,20 @@ def test_capped_selection_ends_only_when_nothing_fits(spark):
     a, b = [r["a"] for r in taken.values()], [r["b"] for r in taken.values()]
     assert len(set(a)) == len(a) and len(set(b)) == len(b)
     assert not [i for i, x, y in rows if i not in taken and x not in a and y not in b]
+
+
+@pytest.mark.parametrize("target", [3, 25, 1000])
+def test_capped_selection_is_one_pass_in_seeded_order(spark, monkeypatch, target):
+    monkeypatch.setattr(sampling, "GROUP_LIMIT", 10)
+    rng = random.Random(target)
+    rows = [(i, rng.choice(["s", "t", None]), rng.choice(["hot", "hot", "x", "y", "", None]), f"b{rng.randrange(9)}", float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, subtype string, a string, b string, other double").repartition(5)
+    caps = {"a": 7, "b": 4}
+    want, used, n = set(), Counter(), Counter()
+    for i, s, a, b, _ in sorted(rows, key=lambda r: (hashlib.md5(f"5|{r[0]}".encode()).hexdigest(), r[0])):
+        if n[s] < target and all(not v or used[s, c, v] < caps[c] for c, v in (("a", a), ("b", b))):
+            want.add(i)
+            n[s] += 1
+            used.update([(s, "a", a), (s, "b", b)])
+    out = sampling.capped_selection(df, ["subtype"], caps, target, 5, ["id"])
+    assert out.columns == df.columns and {r["id"] for r in out.collect()} == want and out.count() == len(want)
