@@ -239,10 +239,30 @@ def i1(t: Tables) -> DataFrame:
         again = arriving.filter(part == 0) if i == 2 else arriving.limit(0)
         arriving.filter(part == i).unionByName(again).write.mode("append").parquet(f"{base}/in")
         stream = incremental.file_stream(spark, f"{base}/in", arriving.schema)
-        incremental.incremental_facts(stream, lambda b: facts.category_counts(b.dropDuplicates(["image_id", "annotation_id"])), f"{base}/out", f"{base}/seen", f"{base}/state")
+        incremental.incremental_facts(stream, lambda b: facts.category_counts(b.dropDuplicates(["image_id", "annotation_id"])), f"{base}/out", f"{base}/late", f"{base}/state")
     return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/epoch=*").select("image_id", "category", "n")
 
 
+@query(
+    "I1_late_rows",
+    """SELECT image_id, category, count(*) FILTER (WHERE l_linenumber < 3) AS n, count(*) FILTER (WHERE l_linenumber >= 3 AND first < 3) AS late
+       FROM (SELECT *, annotation_id // 1000000000000000 AS l_linenumber, min(annotation_id // 1000000000000000) OVER (PARTITION BY image_id) AS first FROM objs) WHERE first < 3 GROUP BY ALL""",
+)
+def i1_late(t: Tables) -> DataFrame:
+    """The first two lines of an image arrive in a first run, the others later: those of known images are late, the rest is new."""
+    spark, base = t.spark, fresh_path(t.spark, "i1")
+    arriving = pinned(t.objs.select("image_id", "annotation_id", "category"))
+    early = F.col("annotation_id") < 3000000000000000
+    for part in (early, ~early):
+        arriving.filter(part).write.mode("append").parquet(f"{base}/in")
+        stream = incremental.file_stream(spark, f"{base}/in", arriving.schema)
+        incremental.incremental_facts(stream, facts.category_counts, f"{base}/out", f"{base}/late", f"{base}/state")
+    made = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/epoch=*").filter("epoch = 0").select("image_id", "category", F.col("n").alias("_n"))
+    late = spark.read.option("basePath", f"{base}/late").parquet(f"{base}/late/epoch=*").groupBy("image_id", "category").agg(F.count("*").alias("_late"))
+    both = made.join(late, ["image_id", "category"], "full")
+    return both.select("image_id", "category", *[F.coalesce(f"_{c}", F.lit(0)).cast("long").alias(c) for c in ("n", "late")])
+
+
 @query(
     "I2_live_counters",
     """SELECT subtype, method, count(*) AS n, count(*) FILTER (WHERE label = 'yes' AND pred = 'yes') AS tp, count(*) FILTER (WHERE label = 'no' AND pred = 'no') AS tn, count(*) FILTER (WHERE label = 'no' AND pred <> 'no') AS fp,
@@ -251,7 +271,7 @@ def i1(t: Tables) -> DataFrame:
 def i2(t: Tables) -> DataFrame:
     spark, base = t.spark, fresh_path(t.spark, "i2")
     rows = t.preds.select("subtype", "method", "sample_id", "label", "pred")
-    rows.repartition(3, "sample_id").write.parquet(f"{base}/in")
-    stream = incremental.file_stream(spark, f"{base}/in", rows.schema, files_per_trigger=2)
-    incremental.live_counters(stream, ["subtype", "method"], f"{base}/out", f"{base}/state")
+    rows.repartition(6, "sample_id").write.parquet(f"{base}/in")
+    stream = incremental.file_stream(spark, f"{base}/in", rows.schema, files_per_trigger=1)
+    incremental.live_counters(stream, ["subtype", "method"], f"{base}/out", f"{base}/state", compact=2)
     return rounded(incremental.latest_counters(spark, f"{base}/out", ["subtype", "method"]))

@@ -5,14 +5,19 @@ Both run with ``availableNow``: they take what has arrived, keep their place in
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pairloom.sources.sinks import missing_rows
 
+#: Batches of changes that a keyed table holds before they are merged into its base.
+COMPACT = 10
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CONFUSION = ("n", "tp", "tn", "fp", "fn", "invalid")
 
 
@@ -20,27 +25,42 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def incremental_facts(stream: DataFrame, build: Callable[[DataFrame], DataFrame], out: str, seen: str, checkpoint: str, key: str = "image_id") -> None:
-    """Build facts of new images only.
+def arrivals(stream: DataFrame, key: str) -> DataFrame:
+    """The rows of a stream with a column ``late``: true where an earlier micro-batch has had rows of the same key.
 
-    Each micro-batch drops images already in ``seen`` with an anti join, writes the facts of the rest and then their
-    ids. A batch that is run again after a failure overwrites its own folder, so nothing is written twice.
+    The keys seen are keyed state, one flag each, kept by the state store: a batch looks up and adds its own keys, so its work does
+    not depend on how many there were before. Rows travel through the state operator packed as one text column, so that their types are kept.
+    """
+    schema, packed = stream.schema, F.to_json(F.struct(*stream.columns), _JSON)
+
+    def flag(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        late = state.exists
+        if not late:
+            state.update((True,))
+        for frame in frames:
+            yield frame[["row"]].assign(late=late)
+
+    keyed = stream.select(F.col(key).alias("key"), packed.alias("row")).groupBy("key")
+    flagged = keyed.applyInPandasWithState(flag, "row string, late boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return flagged.select(F.from_json("row", schema, _JSON).alias("row"), "late").select("row.*", "late")
+
+
+def incremental_facts(stream: DataFrame, build: Callable[[DataFrame], DataFrame], out: str, late: str, checkpoint: str, key: str = "image_id") -> None:
+    """Build facts of new images only: ``out/epoch=N`` holds the facts of the images that batch N was the first to bring.
+
+    Rows of an image that arrive after its first batch cannot change facts already given out. They are not lost: ``late/epoch=N`` holds
+    them. A batch that is run again after a failure sees the same state and overwrites its own folders.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        mine = f"{seen}/epoch={epoch}"
-        fresh = batch
-        if epoch:
-            # Partition pruning leaves out this epoch, should it be run again.
-            done = spark.read.parquet(seen).filter(F.col("epoch") < epoch).select(key)
-            fresh = batch.join(done, key, "left_anti")
-        fresh.select(key).distinct().write.mode("overwrite").parquet(mine)
-        # Read the ids back: the facts are of exactly the images this batch has recorded.
-        ids = spark.read.parquet(mine)
-        build(batch.join(ids, key, "left_semi")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.persist()
+        try:
+            build(batch.filter("NOT late").drop("late")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+            batch.filter("late").drop("late").write.mode("overwrite").parquet(f"{late}/epoch={epoch}")
+        finally:
+            batch.unpersist()
+
+    query = arrivals(stream, key).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -53,24 +73,77 @@ def confusion_stream(stream: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def live_counters(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """Keep the latest counters in ``out``: every batch replaces the rows of its own epoch folder.
+class KeyedTable:
+    """A folder that holds the newest row of every key: a base, and the changes of the batches after it.
 
-    The whole (small) counter table is written per batch; readers take the newest epoch.
+    A batch writes the rows it changed as ``changes/N``. Every ``COMPACT`` batches the base and the changes become a new base
+    ``base/N``; Spark writes its success mark last, and readers take the newest base that has one and only the changes after it, so the mark is the
+    pointer. Changes and bases that no reader needs any more, those before the last base but one, are removed. A reader thus opens one base and a
+    bounded number of changes, however many batches there were.
     """
 
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], compact: int = COMPACT):
+        self.spark, self.path, self.keys, self.compact = spark, path.rstrip("/"), list(keys), compact
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _done(self, kind: str) -> list[int]:
+        """Numbers of the complete folders of a kind, in order."""
+        root = self._path(kind)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        numbers = [int(s.getPath().getName()) for s in fs.listStatus(root)]
+        return sorted(n for n in numbers if fs.exists(self._path(f"{kind}/{n}/_SUCCESS")))
+
+    def put(self, batch: DataFrame, number: int) -> None:
+        """The rows that batch ``number`` changed; putting a number again replaces it, or changes nothing once it is in a base."""
+        bases = self._done("base")
+        if bases and number <= bases[-1]:
+            return
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.path}/changes/{number}")
+        if number - (bases[-1] if bases else -1) >= self.compact:
+            self._newest(bases, self._done("changes")).write.mode("overwrite").parquet(f"{self.path}/base/{number}")
+            self._forget(bases)
+
+    def _newest(self, bases: list[int], changes: list[int]) -> DataFrame:
+        since = bases[-1] if bases else -1
+        paths = [f"{self.path}/base/{since}"] * bool(bases) + [f"{self.path}/changes/{n}" for n in changes if n > since]
+        rows = self.spark.read.parquet(*paths)
+        others = [c for c in rows.columns if c not in self.keys]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), "_batch").alias("_newest"))
+        return newest.select(*self.keys, *[F.col(f"_newest.{c}").alias(c) for c in others])
+
+    def _forget(self, bases: list[int]) -> None:
+        """Readers of the base before the new one may still be at work; what it replaced is not needed."""
+        if not bases:
+            return
+        fs = self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for n in self._done("changes"):
+            if n <= bases[-1]:
+                fs.delete(self._path(f"changes/{n}"), True)
+        for n in bases[:-1]:
+            fs.delete(self._path(f"base/{n}"), True)
+
+    def rows(self) -> DataFrame:
+        """The newest row of every key. A table without any batch is an error, as it has no columns."""
+        return self._newest(self._done("base"), self._done("changes")).drop("_batch")
+
+
+def live_counters(stream: DataFrame, keys: list[str], out: str, checkpoint: str, compact: int = COMPACT) -> None:
+    """Keep the latest counters in the :class:`KeyedTable` at ``out``: every batch writes the counters it changed."""
+
     def step(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        KeyedTable(batch.sparkSession, out, keys, compact).put(batch, epoch)
 
-    query = confusion_stream(stream, keys).writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = confusion_stream(stream, keys).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def latest_counters(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Counters of the newest batch with ratios computed at read time."""
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    newest = rows.agg(F.max("epoch").alias("epoch"))
-    return rows.join(newest, "epoch", "left_semi").select(*keys, *CONFUSION, ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"))
+    """The newest counters with ratios computed at read time."""
+    return KeyedTable(spark, out, keys).rows().select(*keys, *CONFUSION, ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"))
 
 
-__all__ = ["CONFUSION", "confusion_stream", "file_stream", "incremental_facts", "latest_counters", "live_counters", "missing_rows"]
+__all__ = ["COMPACT", "CONFUSION", "KeyedTable", "arrivals", "confusion_stream", "file_stream", "incremental_facts", "latest_counters", "live_counters", "missing_rows"]
