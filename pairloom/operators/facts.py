@@ -212,3 +212,41 @@ def segment_colors(pixels: DataFrame, mask: DataFrame) -> DataFrame:
         .agg(*[F.avg(c).alias(c) for c in "rgb"]).join(same, "image_id", "left_semi")
     )
     return sums.withColumn("color", geo.color_of(F.col("r"), F.col("g"), F.col("b")))
+
+
+def raster_blocks(pixels: DataFrame, size: int = 4096) -> DataFrame:
+    """``pixels(image_id, pos, r, g, b)``, pos from 0 without gaps, as blocks ``(image_id, block, r, g, b)`` of ``size`` pixels in arrays."""
+    rows = pixels.withColumn("block", F.floor(F.col("pos") / size).cast("long"))
+    blocks = rows.groupBy("image_id", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "r", "g", "b"))).alias("_px"))
+    return blocks.select("image_id", "block", *[F.col(f"_px.{c}").alias(c) for c in "rgb"])
+
+
+def mask_runs(mask: DataFrame) -> DataFrame:
+    """``mask(image_id, pos, segment_id)`` as runs ``(image_id, segment_id, first, n)`` of consecutive pixels of one segment."""
+    of_segment = Window.partitionBy("image_id", "segment_id").orderBy("pos")
+    island = mask.withColumn("_i", F.col("pos") - F.row_number().over(of_segment))
+    return island.groupBy("image_id", "segment_id", "_i").agg(F.min("pos").alias("first"), F.count("*").alias("n")).drop("_i")
+
+
+def run_colors(blocks: DataFrame, runs: DataFrame, size: int = 4096) -> DataFrame:
+    """Mean colour, pixels and colour token of every segment, from raster blocks and run-length masks.
+
+    A run is cut at the borders of the blocks it covers and meets them by (image, block): rows are joined by runs and blocks, not by
+    pixels, and a run's part of a block is one slice of it. Images whose mask covers another number of pixels than the raster have no colours.
+    """
+    end = F.col("first") + F.col("n")
+    covered = F.sequence(F.floor(F.col("first") / size).cast("long"), F.floor((end - 1) / size).cast("long"))
+    cut = runs.filter("n > 0").select("image_id", "segment_id", "first", "n", F.explode(covered).alias("block"))
+    low = F.greatest(F.col("first") - F.col("block") * size, F.lit(0))
+    high = F.least(F.col("first") + F.col("n") - F.col("block") * size, F.lit(size))
+    joined = cut.select("image_id", "segment_id", "block", low.cast("int").alias("_low"), (high - low).cast("int").alias("_n")).join(blocks, ["image_id", "block"])
+
+    def total(c: str) -> Column:
+        return F.aggregate(F.slice(c, F.col("_low") + 1, F.col("_n")), F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    pixels = F.sum(F.size(F.slice("r", F.col("_low") + 1, F.col("_n"))))
+    sums = joined.groupBy("image_id", "segment_id").agg(pixels.cast("long").alias("pixels"), *[(F.sum(total(c)) / pixels).alias(c) for c in "rgb"])
+    raster = blocks.groupBy("image_id").agg(F.sum(F.size("r")).alias("_raster"))
+    masked = runs.groupBy("image_id").agg(F.sum("n").alias("_mask"))
+    same = raster.join(masked, "image_id").filter("_raster = _mask").select("image_id")
+    return sums.join(same, "image_id", "left_semi").withColumn("color", geo.color_of(F.col("r"), F.col("g"), F.col("b")))

@@ -118,3 +118,23 @@ def scene_sentence(counts: Column, limit: int = 8) -> Column:
         ),
     )
     return F.when(F.size(said) > 0, F.concat(F.array_join(said, ". "), F.lit("."))).otherwise("The image contains visible objects.")
+
+
+def word_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """How many texts of every group have how many words: ``(keys, words, n)``; null and blank texts have none."""
+    return df.groupBy(*keys, text.word_count(F.coalesce(F.col(value), F.lit(""))).alias("words")).agg(F.count("*").alias("n"))
+
+
+def image_counts(stages: Mapping[str, DataFrame], image: str = "image_id") -> DataFrame:
+    """Per stage, how many images have how many rows: ``(stage, rows, images)``."""
+    out = None
+    for name, df in stages.items():
+        own = df.groupBy(image).agg(F.count("*").alias("rows")).groupBy("rows").agg(F.count("*").alias("images")).select(F.lit(name).alias("stage"), "rows", "images")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def first_images(df: DataFrame, by: str, n: int = 5, image: str = "image_id") -> DataFrame:
+    """Rows per (image, ``by``) of the first ``n`` images by name."""
+    chosen = df.select(image).distinct().orderBy(image).limit(n)
+    return df.join(F.broadcast(chosen), image, "left_semi").groupBy(image, by).agg(F.count("*").alias("n"))

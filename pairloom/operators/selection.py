@@ -58,6 +58,14 @@ def score_matrix(best: DataFrame, row: str, column: str, columns: Sequence[str],
     return best.groupBy(row).pivot(column, list(columns)).agg(F.first(value))
 
 
+def f1_matrix(rows: DataFrame, baseline: DataFrame, vector: str, subset: str) -> DataFrame:
+    """(vector, subset, f1, f1_delta, suspicious): the weighted F1 of every vector on every subset, its change against ``baseline(subset, f1)``,
+    and whether its yes rate is out of range. ``rows`` have n, f1 and yes_rate; subsets without a baseline are left out."""
+    best = weighted_average(rows, [vector, subset], "n", ["f1", "yes_rate"])
+    joined = best.join(baseline.select(subset, F.col("f1").alias("_base")), subset)
+    return joined.select(vector, subset, "f1", (F.col("f1") - F.col("_base")).alias("f1_delta"), suspicious_yes_rate(F.col("yes_rate")).alias("suspicious"))
+
+
 def sweep_trend(df: DataFrame, keys: Sequence[str], order: str, value: str, eps: float = 1e-9) -> DataFrame:
     """Is ``value`` monotone along the sweep? One row per sweep point goes in, a label per group comes out."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.ordering import first_per_group
@@ -51,6 +51,30 @@ def triple_overlap(df: DataFrame, name: str, items: Sequence[str], names: Sequen
     return c.agg(every.alias("all_share"), total.alias("any_has"), F.when(total > 0, every / total).otherwise(0.0).alias("jaccard"))
 
 
+def prefix_overlaps(ranked: DataFrame, keys: Sequence[str], name: str, items: Sequence[str], ks: Sequence[int]) -> DataFrame:
+    """(keys, k, a, b, shared, jaccard): what every two names share among their first k items, for all ``ks`` from one join.
+
+    ``ranked`` holds items with their rank. Names meet over the items they share and, for those that share none, over their group: each name
+    is one row there, and every pair of names is a row of the result.
+    """
+    most = ranked.filter(F.col("rank") <= max(ks))
+    left = most.select(*keys, *items, F.col(name).alias("a"), F.col("rank").alias("_ra"))
+    right = most.select(*keys, *items, F.col(name).alias("b"), F.col("rank").alias("_rb"))
+    # A shared item belongs to every k from the worse of its two ranks on.
+    met = left.join(right, [*keys, *items]).filter("a < b").groupBy(*keys, "a", "b").agg(*[F.count_if(F.greatest("_ra", "_rb") <= k).alias(f"_s{k}") for k in ks])
+    sizes = most.groupBy(*keys, name).agg(*[F.count_if(F.col("rank") <= k).alias(f"_n{k}") for k in ks])
+    one = sizes.select(*keys, F.col(name).alias("a"), *[F.col(f"_n{k}").alias(f"_a{k}") for k in ks])
+    other = sizes.select(*keys, F.col(name).alias("b"), *[F.col(f"_n{k}").alias(f"_b{k}") for k in ks])
+    grid = one.join(other, list(keys)).filter("a < b").join(met, [*keys, "a", "b"], "left")
+
+    def at(k: int) -> Column:
+        shared = F.coalesce(F.col(f"_s{k}"), F.lit(0))
+        union = F.col(f"_a{k}") + F.col(f"_b{k}") - shared
+        return F.struct(F.lit(k).alias("k"), shared.alias("shared"), F.when(union > 0, shared / union).otherwise(0.0).alias("jaccard"))
+
+    return grid.select(*keys, "a", "b", F.inline(F.array(*[at(k) for k in ks])))
+
+
 def leakage(rows: DataFrame, assigned: DataFrame, group: str = "image_id", split: str = "split", row_id: str = "pair_id") -> DataFrame:
     """(check, n): groups in two splits, ids lost or repeated on the way from ``rows`` to ``assigned``."""
     straddling = member_sets(assigned, split, [group]).filter(F.size("owners") > 1)

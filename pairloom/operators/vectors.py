@@ -260,6 +260,15 @@ def relation_groups(relation: Column) -> Column:
     return F.array_compact(F.array(F.lit("rel_all"), single, axis))
 
 
+def bucket_groups(bucket: Column) -> Column:
+    """Group keys of a relation bucket: its own and the unions it belongs to."""
+    plane, place = bucket.isin("horizontal", "vertical"), bucket.isin("horizontal", "vertical", "depth")
+    return F.array_compact(F.array(
+        F.when(F.coalesce(bucket, F.lit("")) != "", F.concat(F.lit("rel_"), bucket)), F.when(plane, "rel_position_2d"), F.when(place, "rel_position"),
+        F.when(bucket.isin("contact", "interaction"), "rel_contact_interaction"),
+    ))
+
+
 def unit_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Scale every whole vector (all heads of the keys) to flat norm 1."""
     total = df.groupBy(*keys).agg(F.sqrt(F.sum(v.sq_norm(F.col("vec")))).alias("_n"))
