@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import fixed, text
 from pairloom.functions import geometry as geo
-from pairloom.operators import facts
+from pairloom.operators import absent, facts
 from pairloom.operators.ordering import first_per_group, seeded_flip, seeded_key, top_k
 from pairloom.operators.profile import conditional_modes, scene_sentence
-from pairloom.operators.sampling import capped_selection, deduplicated, hard_negatives, pick, share_caps, wrong_value, yes_no_balanced
+from pairloom.operators.sampling import capped_selection, deduplicated, pick, share_caps, yes_no_balanced
 from pairloom.session import pinned
 
 ROW = ("row_id", "image_id", "type", "subtype", "question", "answer", "trusted_text", "subject", "object", "attribute", "relation")
@@ -41,10 +41,12 @@ def unpack(df: DataFrame, *rows: Column, column: str = "r") -> DataFrame:
 
 # --- per-image questions -------------------------------------------------------------------------
 
-def existence_rows(images: DataFrame, seed: int = 42) -> DataFrame:
-    """One present and one absent category per image from ``images(image_id, present, absent)``."""
+def existence_rows(rows: DataFrame, vocabulary: DataFrame, seed: int = 42) -> DataFrame:
+    """One present and one absent category per image from ``rows(image_id, category)`` and what can be absent, ``vocabulary(category)``."""
     image = F.col("image_id")
-    chosen = images.select("image_id", pick(F.col("present"), seed, "image_id").alias("p"), pick(F.col("absent"), seed, "image_id").alias("q"))
+    index = absent.indexed(vocabulary, "category")
+    images = absent.with_random(pinned(absent.presence(rows, index)), index, seed, "q")
+    chosen = images.select("image_id", pick(F.col("present"), seed, "image_id").alias("p"), "q")
     p, q = F.col("p"), F.col("q")
     yes = row(
         row_id=say("cat_present_", image, "_", under(p)), image_id=image, type=F.lit("cat"), subtype=F.lit("cat_present"), answer=F.lit("yes"), subject=p,
@@ -205,29 +207,17 @@ def clean_scene(objects: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return objs, triples, skipped
 
 
-def vocabulary_arrays(values: Sequence[str], bucket: Mapping[str, str]) -> tuple[Column, Column]:
-    """(all values, MAP<bucket, values>) as literals of a bounded vocabulary."""
-    groups: dict[str, list[str]] = {}
-    for w in values:
-        groups.setdefault(bucket[w], []).append(w)
-    entries = [x for k, ws in groups.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))]
-    return F.array(*map(F.lit, values)), F.create_map(*entries)
+def bucketed_vocabulary(df: DataFrame, value: str, bucket: Column, least: int = 2) -> DataFrame:
+    """(word, bucket): values seen ``least`` times or more, with their bucket."""
+    return df.groupBy(value).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col(value).alias("word"), bucket.alias("bucket"))
 
 
-def bucketed_vocabulary(df: DataFrame, value: str, bucket: Column, least: int = 2, limit: int = 20_000) -> dict[str, str]:
-    """Values seen at least twice, with their bucket; refused when it is not a small vocabulary."""
-    rows = df.groupBy(value).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(value, bucket.alias("b")).orderBy(value).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} values in {value}")
-    return {r[0]: r["b"] for r in rows}
-
-
-def scene_existence(objs: DataFrame, vocabulary: Sequence[str], targets: Mapping[str, int], seed: int) -> DataFrame:
-    """Is there a ...? At most one yes and one no row per image."""
-    words = F.array(*map(F.lit, vocabulary))
-    images = objs.groupBy("image_id").agg(F.sort_array(F.collect_set("name")).alias("present"))
+def scene_existence(objs: DataFrame, vocabulary: DataFrame, targets: Mapping[str, int], seed: int) -> DataFrame:
+    """Is there a ...? At most one yes and one no row per image; ``vocabulary(word)`` is what can be absent."""
+    index = absent.indexed(vocabulary.select(F.col("word").alias("name")), "name")
+    images = absent.with_random(pinned(absent.presence(objs, index, value="name")), index, seed, "q", value="name")
     p, q, image = F.col("p"), F.col("q"), F.col("image_id")
-    chosen = images.select("image_id", pick(F.col("present"), seed, "image_id").alias("p"), pick(F.array_except(words, "present"), seed, "image_id").alias("q"))
+    chosen = images.select("image_id", pick(F.col("present"), seed, "image_id").alias("p"), "q")
 
     def one(name: Column, answer: str, subtype: str, trusted: Column) -> Column:
         return row(
@@ -242,12 +232,12 @@ def scene_existence(objs: DataFrame, vocabulary: Sequence[str], targets: Mapping
     return yes_no_balanced(rows, "image_id", "answer", targets, seed, "row_id")
 
 
-def scene_attributes(objs: DataFrame, vocabulary: Mapping[str, str], targets: Mapping[str, int], seed: int) -> DataFrame:
+def scene_attributes(objs: DataFrame, vocabulary: DataFrame, targets: Mapping[str, int], seed: int) -> DataFrame:
     """Is the ... red? One true and one false attribute per object, the first so many by seeded order."""
-    everything, by_bucket = vocabulary_arrays(sorted(vocabulary), vocabulary)
     image, name, p, q = F.col("image_id"), F.col("name"), F.col("p"), F.col("q")
     own = objs.filter(F.size("attributes") > 0).withColumn("p", pick(F.col("attributes"), seed, "image_id", "object_id"))
-    both = own.withColumn("q", wrong_value(F.col("attributes"), p, by_bucket, everything, text.attribute_bucket(p), seed, "image_id", "object_id"))
+    asked = own.select("image_id", "object_id", "name", "p", F.col("attributes").alias("own"), p.alias("value"), text.attribute_bucket(p).alias("bucket"))
+    both = absent.wrong_values(asked, vocabulary, seed, "image_id", "object_id").withColumnRenamed("wrong", "q")
 
     def one(value: Column, answer: str, trusted: Column) -> Column:
         return row(
@@ -278,15 +268,14 @@ def scene_counts(objs: DataFrame, targets: Mapping[str, int], seed: int) -> Data
     return _first_by_answer(unpack(both, one(n, "yes", say(truth, ".")), one(w, "no", say(truth, ", not ", w.cast("string"), "."))), targets, seed)
 
 
-def scene_relations(objs: DataFrame, triples: DataFrame, vocabulary: Mapping[str, str], targets: Mapping[str, int], seed: int) -> DataFrame:
+def scene_relations(triples: DataFrame, vocabulary: DataFrame, targets: Mapping[str, int], seed: int) -> DataFrame:
     """Is the ... on the ...? A true triple, and a wrong relation (same bucket first) that the image does not hold."""
-    everything, by_bucket = vocabulary_arrays(sorted(vocabulary), vocabulary)
     unique = triples.select("image_id", "subject", "relation", "object").distinct()
-    # Relations that hold for a (subject, object) are at most the vocabulary.
     held = unique.groupBy("image_id", "subject", "object").agg(F.collect_set("relation").alias("held"))
     image, s, r, o, q = (F.col(c) for c in ("image_id", "subject", "relation", "object", "q"))
     key = ("image_id", "subject", "relation", "object")
-    both = unique.join(held, ["image_id", "subject", "object"]).withColumn("q", wrong_value(F.col("held"), r, by_bucket, everything, text.scene_relation_bucket(r), seed, *key))
+    asked = unique.join(held, ["image_id", "subject", "object"]).select(*key, F.col("held").alias("own"), r.alias("value"), text.scene_relation_bucket(r).alias("bucket"))
+    both = absent.wrong_values(asked, vocabulary, seed, *key).withColumnRenamed("wrong", "q")
 
     def one(rel: Column, answer: str, verb: str) -> Column:
         shown = text.scene_display(rel)
@@ -309,14 +298,10 @@ def scene_questions(objects: DataFrame, edges: DataFrame, targets: Mapping[str,
     """All three types of scene-graph questions, balanced and deduplicated."""
     objs, triples, _ = clean_scene(objects, edges)
     objs, triples = pinned(objs), pinned(triples)
-    names = sorted(bucketed_vocabulary(objs, "name", F.lit("")))
+    names = bucketed_vocabulary(objs, "name", F.lit(""))
     attrs = bucketed_vocabulary(objs.select(F.explode("attributes").alias("a")), "a", text.attribute_bucket(F.col("a")))
     rels = bucketed_vocabulary(triples, "relation", text.scene_relation_bucket(F.col("relation")))
-    parts = [scene_existence(objs, names, targets, seed), scene_counts(objs, targets, seed)]
-    if attrs:
-        parts.append(scene_attributes(objs, attrs, targets, seed))
-    if rels:
-        parts.append(scene_relations(objs, triples, rels, targets, seed))
+    parts = [scene_existence(objs, names, targets, seed), scene_counts(objs, targets, seed), scene_attributes(objs, attrs, targets, seed), scene_relations(triples, rels, targets, seed)]
     rows = parts[0].select(*ROW)
     for p in parts[1:]:
         rows = rows.unionByName(p.select(*ROW))
@@ -475,10 +460,11 @@ def selected_pairs(pairs: DataFrame, target_rows: int, seed: int = 42) -> DataFr
 
 # --- subtype minimal pairs --------------------------------------------------------------------------
 
-def strategy_pairs(images: DataFrame, counts: DataFrame, popular: DataFrame, seed: int = 42) -> DataFrame:
-    """Existence pairs with a random, a popular and a hard negative: ``images(image_id, present, absent)``, ``counts(image_id, counts)``,
+def strategy_pairs(rows: DataFrame, vocabulary: DataFrame, counts: DataFrame, popular: DataFrame, seed: int = 42) -> DataFrame:
+    """Existence pairs with a random, a popular and a hard negative: ``rows(image_id, category)``, ``vocabulary(category)``, ``counts(image_id, counts)``,
     ``popular(category, n)``."""
-    chosen = hard_negatives(images, popular, seed).join(images.select("image_id", "present"), "image_id").join(counts, "image_id")
+    present = rows.groupBy("image_id").agg(F.sort_array(F.collect_set("category")).alias("present"))
+    chosen = absent.hard_negatives(rows, vocabulary, popular, seed).join(present, "image_id").join(counts, "image_id")
     p = F.col("p")
     ready = chosen.withColumn("p", pick(F.col("present"), seed, "image_id"))
 

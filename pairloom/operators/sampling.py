@@ -260,14 +260,6 @@ def hard_negatives(images: DataFrame, popular: DataFrame, seed: int) -> DataFram
     )
 
 
-def wrong_value(own: Column, value: Column, by_bucket: Column, everything: Column, bucket: Column, seed: int, *key: Column | str) -> Column:
-    """A value of the vocabulary the object does not have: of the same bucket if there is one, else any."""
-    same = F.array_except(F.coalesce(by_bucket[bucket], F.array().cast("array<string>")), own)
-    same = F.array_remove(same, value)
-    other = F.array_remove(F.array_except(everything, own), value)
-    return F.coalesce(pick(same, seed, *key), pick(other, seed, *key))
-
-
 def negative_hardness(negatives: DataFrame, present: DataFrame) -> DataFrame:
     """Rank of each negative among the absent candidates of its image, by highest co-occurrence with a present value.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import fixed
 from pairloom.operators import builders, facts, joins, profile, validate
 from pairloom.plans.bind import Tables
-from pairloom.plans.q_sampling import NUM, PRESENCE, presence
+from pairloom.plans.q_sampling import NUM, PRESENCE, types
 from pairloom.plans.q_text import listed
 from pairloom.plans.registry import query
 from pairloom.session import pinned
@@ -24,7 +24,7 @@ ARTICLE = "CASE WHEN lower(substr({0}, 1, 1)) IN ('a', 'e', 'i', 'o', 'u') THEN
     UNION ALL SELECT 'cat_absent_' || image_id || '_' || q, image_id, 'cat_absent', 'Is there ' || {ARTICLE.format("q")} || ' ' || q || ' in the image?', 'no', 'There is no ' || q || ' in the image.' FROM c WHERE q IS NOT NULL""",
 )
 def p3(t: Tables) -> DataFrame:
-    return builders.existence_rows(presence(t)).select("row_id", "image_id", "subtype", "question", "answer", "trusted_text")
+    return builders.existence_rows(t.objs, types(t)).select("row_id", "image_id", "subtype", "question", "answer", "trusted_text")
 
 
 @query(
@@ -134,7 +134,7 @@ def p7(t: Tables) -> DataFrame:
     """Existence, count and spatial rows of an image under one cap, with prompts."""
     clean = t.ann.join(t.images.select("image_id", "width", "height"), "image_id")
     counts = builders.count_rows(t.cnt).withColumnRenamed("factual", "trusted_text")
-    parts = [builders.existence_rows(presence(t)), counts, builders.spatial_rows(clean.filter(facts.hygiene_reason("strict").isNull()))]
+    parts = [builders.existence_rows(t.objs, types(t)), counts, builders.spatial_rows(clean.filter(facts.hygiene_reason("strict").isNull()))]
     return builders.prompted(builders.bundle(parts, 4)).select("row_id", "image_id", "type", "question", "visual_prompt", "trusted_prompt")
 
 
@@ -159,13 +159,14 @@ def p8(t: Tables) -> DataFrame:
 )
 def p8_existence(t: Tables) -> DataFrame:
     objs, _, _ = builders.clean_scene(t.sg, t.edges)
-    names = sorted(builders.bucketed_vocabulary(objs, "name", F.lit("")))
+    objs = pinned(objs)
+    names = builders.bucketed_vocabulary(objs, "name", F.lit(""))
     return builders.scene_existence(objs, names, {"yes": 1200, "no": 900}, 42).select("image_id", "answer", "question")
 
 
 @query("P9_strategy_pairs")
 def p9(t: Tables) -> DataFrame:
-    return builders.strategy_pairs(presence(t), facts.count_maps(t.cnt), t.cnt.groupBy("category").agg(F.sum("n").alias("n")))
+    return builders.strategy_pairs(t.objs, types(t), facts.count_maps(t.cnt), t.cnt.groupBy("category").agg(F.sum("n").alias("n")))
 
 
 @query(

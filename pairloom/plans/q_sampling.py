@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import fixed, text
-from pairloom.operators import facts, joins, ordering, profile, sampling, selection, sets, splitting, validate
+from pairloom.operators import absent, facts, joins, ordering, profile, sampling, selection, sets, splitting, validate
 from pairloom.plans.bind import Tables
 from pairloom.plans.q_metrics import rounded
 from pairloom.plans.q_text import case, listed
@@ -24,6 +24,16 @@ def presence(t: Tables) -> DataFrame:
     return joins.absent_values(t.objs.select("image_id", "category"), types_of(t))
 
 
+def types(t: Tables) -> DataFrame:
+    """The vocabulary of categories as a table."""
+    return t.part.select(F.col("p_type").alias("category"))
+
+
+def has_types(t: Tables) -> DataFrame:
+    """The categories of every image, sorted."""
+    return t.objs.groupBy("image_id").agg(F.sort_array(F.collect_set("category")).alias("present"))
+
+
 PRESENCE = """pr AS (SELECT image_id, list_sort(list(DISTINCT category)) AS present FROM objs GROUP BY image_id), vv AS (SELECT list_sort(list(DISTINCT p_type)) AS every FROM part),
     ab AS (SELECT image_id, present, list_filter(every, lambda x: NOT list_contains(present, x)) AS absent FROM pr, vv)"""
 
@@ -254,7 +264,7 @@ COOC = """co AS (SELECT a.category AS a, b.category AS b, count(*) AS n FROM (SE
 
 @query("D4_cooccurrence", f"WITH {COOC} SELECT a, b, n FROM co")
 def d4(t: Tables) -> DataFrame:
-    return sampling.cooccurrence(presence(t))
+    return sampling.cooccurrence(has_types(t))
 
 
 @query(
@@ -269,7 +279,8 @@ def d4(t: Tables) -> DataFrame:
     FROM rn LEFT JOIN pp USING (image_id) LEFT JOIN hd USING (image_id)""",
 )
 def e17(t: Tables) -> DataFrame:
-    return sampling.hard_negatives(presence(t), t.cnt.groupBy("category").agg(F.sum("n").alias("n")), 6)
+    popular = t.cnt.groupBy("category").agg(F.sum("n").alias("n"))
+    return absent.hard_negatives(t.objs.select("image_id", "category"), types(t), popular, 6)
 
 
 @query(
@@ -279,9 +290,10 @@ def e17(t: Tables) -> DataFrame:
     SELECT image_id AS row_id, negative, rank, n AS count FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, c DESC) AS rank FROM sc) WHERE c = negative""",
 )
 def d6(t: Tables) -> DataFrame:
-    images = pinned(presence(t))
-    chosen = images.filter(F.size("absent") > 0).select("image_id", F.col("image_id").alias("row_id"), sampling.pick(F.col("absent"), 6, "image_id").alias("negative"))
-    return sampling.negative_hardness(chosen, images.select("image_id", "present"))
+    index = absent.indexed(types(t), "category")
+    images = pinned(absent.presence(t.objs, index))
+    chosen = absent.with_random(images, index, 6, "negative").filter("negative IS NOT NULL").select("image_id", F.col("image_id").alias("row_id"), "negative")
+    return absent.negative_hardness(chosen, images, index)
 
 
 @query(
@@ -292,13 +304,10 @@ def d6(t: Tables) -> DataFrame:
     SELECT image_id, value, CASE WHEN same IS NULL THEN anyw[CAST({NUM.format("'2|' || image_id")} % len(anyw) + 1 AS INTEGER)] ELSE same[CAST({NUM.format("'2|' || image_id")} % len(same) + 1 AS INTEGER)] END AS wrong FROM s""",
 )
 def e19(t: Tables) -> DataFrame:
-    from pairloom.operators.builders import vocabulary_arrays
-
-    words = joins.vocabulary_of(t.part, "p_name")
-    everything, by_bucket = vocabulary_arrays(words, {w: w.split(" ")[0] for w in words})
+    words = t.part.select(F.col("p_name").alias("word"), F.substring_index("p_name", " ", 1).alias("bucket"))
     own = t.ann.groupBy("image_id").agg(F.collect_set("name").alias("own"), F.min_by("name", "annotation_id").alias("value"))
-    wrong = sampling.wrong_value(F.col("own"), F.col("value"), by_bucket, everything, F.substring_index("value", " ", 1), 2, "image_id")
-    return own.select("image_id", "value", wrong.alias("wrong"))
+    rows = own.withColumn("bucket", F.substring_index("value", " ", 1))
+    return absent.wrong_values(rows, words, 2, "image_id").select("image_id", "value", "wrong")
 
 
 @query("E3_capped_selection")

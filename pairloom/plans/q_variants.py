@@ -22,7 +22,7 @@ from pairloom.sources import readers
 
 @query(
     "A3_segments",
-    """SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY annotation_id) - 1 AS INTEGER) AS pos, annotation_id AS segment_id, annotation_id // 1000000 % 1000000000 % 97 AS category_id,
+    """SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY annotation_id, w * h, x, y) - 1 AS INTEGER) AS pos, annotation_id AS segment_id, annotation_id // 1000000 % 1000000000 % 97 AS category_id,
        round(w * h, 6) AS area, x, round(h, 6) AS h FROM ann""",
 )
 def a3_segments(t: Tables) -> DataFrame:
