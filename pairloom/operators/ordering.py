@@ -64,6 +64,8 @@ def top_k(
 
 #: Rows of a range: what one task sorts. The number of ranges follows from it, so a task's share does not grow with the data.
 RANGE_ROWS = 2_000_000
+#: Up to so many ranges their ends and offsets are broadcast.
+FEW_RANGES = 20_000
 
 
 def range_count(rows: int, least: int) -> int:
@@ -77,8 +79,10 @@ def running_sums(
     order: Sequence[str],
     sums: Mapping[str, Column],
     parts: int | None = None,
+    previous: str | None = None,
 ) -> DataFrame:
-    """Add for each ``name: value`` the sum of value over the rows of the group up to and with this row.
+    """Add for each ``name: value`` the sum of value over the rows of the group up to and with this row, and with ``previous`` a column
+    of that name: the value of ``order[0]`` in the row before, null in a group's first row.
 
     ``(keys, order)`` must be a total order of ``df`` (columns, ascending, not null). The rows are dealt to ranges of the
     total order once and written; sums run inside the ranges, and groups that continue in a later range get what the
@@ -86,29 +90,36 @@ def running_sums(
     """
     n = parts or range_count(df.count(), max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     values = {f"_v_{name}": value for name, value in sums.items()}
+    # Ends and offsets have a few rows a range: broadcast while there are few ranges, left to Spark beyond.
+    small = F.broadcast if n <= FEW_RANGES else (lambda side: side)
     ranged = pinned(df.withColumns(values).repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()))
     crossed = ranged
     if keys:
         # The groups at the two ends of a range, two rows a range, are the only ones that can cross a border.
         ends = ranged.groupBy("_range").agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"))
         crossing = ends.select(F.explode(F.array("low", "high")).alias("k")).select("k.*").distinct()
-        crossed = ranged.join(F.broadcast(crossing), list(keys), "left_semi")
-    per_range = crossed.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{s}").alias(f"_o_{s}") for s in sums])
+        crossed = ranged.join(small(crossing), list(keys), "left_semi")
+    per_range = crossed.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{s}").alias(f"_o_{s}") for s in sums], F.max(order[0]).alias("_o_last"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_range").alias("_k_range"),
         *[F.sum(f"_o_{s}").over(before).alias(f"_p_{s}") for s in sums],
+        F.max("_o_last").over(before).alias("_p_last"),
     )
     on = F.col("_range") == F.col("_k_range")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_k_{k}"))
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({name: F.sum(f"_v_{name}").over(within) for name in sums})
+    if previous is not None:
+        local = local.withColumn(previous, F.lag(order[0]).over(Window.partitionBy(*keys, "_range").orderBy(*order)))
     # At most three rows a range: the two groups at its ends, and one more for each group that spans it.
-    joined = local.join(F.broadcast(offsets), on, "left")
+    joined = local.join(small(offsets), on, "left")
     out = joined.withColumns({s: F.col(s) + F.coalesce(F.col(f"_p_{s}"), F.lit(0)) for s in sums})
-    return out.select(*df.columns, *sums)
+    if previous is not None:
+        out = out.withColumn(previous, F.coalesce(previous, "_p_last"))
+    return out.select(*df.columns, *sums, *([previous] if previous is not None else []))
 
 
 def global_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "rank", parts: int | None = None) -> DataFrame:

@@ -18,12 +18,13 @@ from pairloom.session import pinned
 
 
 def score_steps(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "score") -> DataFrame:
-    """Per distinct score: positives and negatives at it (``p``, ``m``), at or below it (``cp``, ``cm``) and in all (``tp``, ``tm``)."""
+    """Per distinct score: positives and negatives at it (``p``, ``m``), at or below it (``cp``, ``cm``) and in all (``tp``, ``tm``), and the
+    next lower score (``previous``)."""
     y = F.col(label) == 1
     distinct = pinned(df.groupBy(*keys, score).agg(F.count_if(y).alias("p"), F.count_if(~y).alias("m")))
     if not keys:
         raise ValueError("keys must not be empty; use a constant column for one group")
-    summed = running_sums(distinct, keys, [score], {"cp": F.col("p"), "cm": F.col("m")})
+    summed = running_sums(distinct, keys, [score], {"cp": F.col("p"), "cm": F.col("m")}, previous="previous")
     totals = distinct.groupBy(*keys).agg(F.sum("p").alias("tp"), F.sum("m").alias("tm"))
     return summed.join(totals, list(keys))
 
@@ -65,23 +66,15 @@ def best_threshold(steps: DataFrame, keys: Sequence[str], score: str = "score")
     def gain(lost_p: Column, lost_m: Column) -> Column:
         return (ratio(F.col("tp") - lost_p, F.col("tp")) + ratio(lost_m, F.col("tm"))) / 2.0
 
+    middle = F.when(F.col("previous").isNull(), s - 1e-6).otherwise((F.col("previous") + s) / 2.0)
+    best = gain(below_p, below_m)
     cuts = steps.groupBy(*keys).agg(
-        F.max_by(F.struct(s.alias("at"), gain(below_p, below_m).alias("gain")), F.struct(gain(below_p, below_m), -s)).alias("cut"),
-        F.max(s).alias("top"), F.min(s).alias("low"),
+        F.max_by(F.struct(middle.alias("at"), best.alias("gain")), F.struct(best, -s)).alias("cut"), F.max(s).alias("top"),
         # Cutting above every score: no positive found, every negative right.
         F.first(gain(F.col("tp"), F.col("tm"))).alias("none"),
     )
-    on = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in keys]
-    # One row a group meets its steps: an inner join may build the groups' side and split a group that owns most steps.
-    cuts = pinned(cuts)
-    below = steps.alias("s").join(cuts.alias("c"), [*on, F.col(f"s.{score}") < F.col("c.cut.at")])
-    found = below.groupBy(*[F.col(f"c.{k}").alias(f"_{k}") for k in keys]).agg(F.max(f"s.{score}").alias("previous"))
-    previous = cuts.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
-    middle = F.when(F.col("previous").isNull(), F.col("low") - 1e-6).otherwise((F.col("previous") + F.col("cut.at")) / 2.0)
     high = F.col("none") > F.col("cut.gain")
-    return previous.select(
-        *keys, F.when(high, F.col("top") + 1e-6).otherwise(middle).alias("threshold"), F.greatest("none", "cut.gain").alias("balanced_accuracy")
-    )
+    return cuts.select(*keys, F.when(high, F.col("top") + 1e-6).otherwise(F.col("cut.at")).alias("threshold"), F.greatest("none", "cut.gain").alias("balanced_accuracy"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:

@@ -76,3 +76,14 @@ def test_ranges_follow_the_rows():
     assert range_count(10, 8) == 8
     assert range_count(1000 * RANGE_ROWS, 8) == 1000
     assert range_count(10**10, 8) == 5000
+
+
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_previous_value_is_carried_across_ranges(spark, parts):
+    rows = [("hot", k) for k in range(60)] + [("b", 5), ("c", 1), ("c", 4)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(4)
+    got = {(r["g"], r["v"]): (r["n"], r["before"]) for r in running_sums(df, ["g"], ["v"], {"n": F.lit(1).cast("long")}, parts, "before").collect()}
+    for g in ("hot", "b", "c"):
+        own = sorted(v for x, v in rows if x == g)
+        for i, v in enumerate(own):
+            assert got[g, v] == (i + 1, own[i - 1] if i else None)
