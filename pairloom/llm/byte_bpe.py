@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a worker keeps, with their ids, in each of two generations: those used lately and those used before.
-KEPT = 120_000
+KEPT = 250_000
 #: Bytes of new pieces that one recursive query takes.
 QUERY_BYTES = 500_000
 #: A row is token t of piece w at byte position p, with the position and the token that follow it (-1: none), so that a round needs
