@@ -27,7 +27,7 @@ _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Kinds of a span, in the order in which spans of one start are listed.
 FOUND = "context"
 #: A pattern needs so many different known identifiers and this share of its documents.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.6, 3
+SUPPORT, CONFIDENCE = 5, 0.6
 #: Characters before a span in which its two words are looked for; a longer pair of words is no lexical pattern.
 REACH = 64
 _BLOCK = 256
@@ -106,9 +106,12 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def _left(text: Column, start: Column) -> Column:
-    """The two words before ``start``, in lower case and separated by a space; empty if there are not two within reach."""
-    reach = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    return F.regexp_replace(F.regexp_extract(ascii_lower(reach), r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1), r"[\x20\x09-\x0D]+", " ")
+    """The two words before ``start``, in lower case and separated by a space; empty if there are not two whole ones within reach."""
+    reach = ascii_lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
+    words = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
+    # Where the reach begins inside the text, a first word at its beginning may be cut: a separator has to stand before it.
+    found = F.when(start > REACH, F.regexp_extract(reach, r"(?<=[\x20\x09-\x0D])" + words, 1)).otherwise(F.regexp_extract(reach, r"(?<![^\x20\x09-\x0D])" + words, 1))
+    return F.regexp_replace(found, r"[\x20\x09-\x0D]+", " ")
 
 
 def _norm(value: Column) -> Column:
@@ -137,9 +140,9 @@ def _places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return rows.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("places"))
 
 
-def discover(docs: DataFrame, spans: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame | None:
+def discover(docs: DataFrame, spans: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
     """``spans`` of :func:`marked` (pinned) -> (doc_id, _th, start, end) of identifiers that patterns add, or None where no pattern
-    has the support and the confidence."""
+    has the support and the confidence. Rounds go on until one adds nothing."""
     seeds = spans.select("doc_id", "_th", F.explode("_seeds").alias("s")).select("doc_id", "_th", F.col("s.left").alias("pattern"), F.lower("s.value").alias("instance")).filter("pattern <> ''")
     near = spans.select("doc_id", "_th", F.explode("_near").alias("n")).select("doc_id", "_th", F.col("n.start").alias("start"), F.col("n.end").alias("end"), F.col("n.left").alias("pattern"), F.lower("n.value").alias("instance")).filter("pattern <> ''")
     near = pinned(near)
@@ -150,7 +153,7 @@ def discover(docs: DataFrame, spans: DataFrame, support: int = SUPPORT, confiden
         counted = patterns.join(_places(rows, patterns.select("pattern")), "pattern")
         return pinned(counted.filter(F.col("hits") >= F.lit(confidence) * F.col("places")).select("pattern", "hits"))
 
-    for _ in range(rounds):
+    while True:  # what is added only grows, so this ends
         supported = known.groupBy("pattern").agg(F.countDistinct("instance").alias("different"), F.countDistinct(F.struct("doc_id", "_th")).alias("hits"))
         # identifiers stand in texts with a digit or @, so these alone bound the confidence from above: who fails there fails everywhere
         sure = confident(pinned(supported.filter(F.col("different") >= support)), bearing)

@@ -81,8 +81,11 @@ class Ledger:
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens, chars); combinations without documents are left out."""
-        base = self._base()
-        paths = [f"{self.path}/deltas/{b}" for b in self.batches() if not self._folded(b, base)] + ([f"{self.path}/base/{base}/sums"] if base else [])
+        return self._sums(self._base(), self.batches())
+
+    def _sums(self, base: str | None, names: list[str]) -> DataFrame:
+        """Totals of a base and exactly the named deltas; a batch committed meanwhile is not in them."""
+        paths = [f"{self.path}/deltas/{b}" for b in names if not self._folded(b, base)] + ([f"{self.path}/base/{base}/sums"] if base else [])
         rows = self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
         return rows.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS]).filter(F.col("documents") != 0)
 
@@ -90,10 +93,11 @@ class Ledger:
         return base is not None and self._fs().exists(self._path(f"base/{base}/names/{batch}"))
 
     def fold(self) -> None:
-        """Write the sum of all deltas as a new base. Its names and sums count from the moment its success mark stands."""
+        """Write the sum of the deltas so far as a new base. Its names and sums count from the moment its success mark stands; a batch
+        that is committed meanwhile is in neither and stays a delta."""
         base, names = self._base(), self.batches()
         new = str(int(base or 0) + 1)
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/base/{new}/sums")
+        self._sums(base, names).write.mode("overwrite").parquet(f"{self.path}/base/{new}/sums")
         for name in names:
             self._fs().create(self._path(f"base/{new}/names/{name}"), True).close()
         self._fs().create(self._path(f"base/{new}/_SUCCESS"), True).close()

@@ -327,3 +327,26 @@ def test_mixing_agrees_with_sql(spark, sf_dir, odd_docs):
             con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
         want = Counter(con.execute(mixing.SQL).fetchall())
         assert Counter(map(tuple, mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect())) == want
+
+
+def test_a_chain_of_contexts_is_followed_to_its_end(spark):
+    """Each context is confident only through the identifiers that the one before it added."""
+    docs, links = [], 7
+    for i in range(15):
+        docs.append(f"call pa0 pb0 user{i}@example.org now")
+    for k in range(links):
+        for i in range(10):
+            docs.append(f"call pa{k} pb{k} ID{k}{i:04d} now")
+            docs += [f"else pa{k + 1} pb{k + 1} ID{k}{i:04d} there {j}" for j in range(2)]
+    rows = pii_bootstrap.find(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    missed = [docs[r["doc_id"]] for r in rows if r["spans"] == ""]
+    assert not missed
+
+
+def test_a_word_cut_by_the_reach_is_no_pattern(spark):
+    """The two words before these identifiers are longer than the reach, and their ends are alike."""
+    long = "x" * 70
+    docs = [(i, f"{long} word user{i}@example.org") for i in range(10)] + [(100 + i, f"z{long} word ID1234{i} end") for i in range(3)]
+    docs += [(200 + i, f"{'y' * 30} {'v' * 20} user{i}@example.org") for i in range(10)] + [(300, f"a b {'y' * 30} {'v' * 20} ID123456")]
+    got = {r["doc_id"]: r["spans"] for r in pii_bootstrap.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == "" for i in range(3)) and got[300] == "context:56:64"

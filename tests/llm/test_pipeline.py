@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from test_documents import WORD, brute_mix, brute_spans
 
 import corpus_pipeline
@@ -94,3 +95,17 @@ def test_stages_on_odd_rows(spark, sf_dir, odd_docs, no_docs):
     out = corpus_pipeline.near_copies(spark, odd_docs, sf_dir)
     ids = Counter(r["doc_id"] for r in out.collect())
     assert ids[1] == 1 and ids[5] == ids[9] == 0 and ids[None] == 1 and ids[8] == ids[6] == 1
+
+
+@pytest.mark.parametrize("name", ["quality", "near_copies", "personal_data", "mixture"])
+def test_stages_stand_columns_with_their_own_names(spark, sf_dir, name):
+    """Columns named as a stage names its own come back as they went in."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = ["_stats", "_score", "_s", "_whole", "_size", "_c1", "_copies", "_s_email", "_th", "_base", "_all", "node", "words", "root", "key.x"]
+    more = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in own])
+    out = STAGES[name](spark, more, sf_dir)
+    assert out.columns == more.columns
+    got = rows(out)
+    assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in own)
+    plain = rows(STAGES[name](spark, docs, sf_dir))
+    assert sorted(str([r[c] for c in docs.columns]) for r in got) == sorted(str([r[c] for c in docs.columns]) for r in plain)

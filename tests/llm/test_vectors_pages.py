@@ -192,3 +192,28 @@ def test_probabilities_add_up(spark):
     last, before, norm = model.tables()
     total = np.exp(last[:, None, :] + before[None, :, :] - norm[:, :, None]).sum(axis=2)
     assert np.allclose(total, 1) and facts["rest_n"] == 0 and len(model.words) == 5
+
+
+def test_a_batch_committed_beside_a_fold_counts_once(spark, tmp_path):
+    counts = spark.createDataFrame([("s", "en", "words-1", 3, 9)], "source string, lang string, tokenizer string, tokens long, chars long")
+
+    class Beside(token_rollup.Ledger):
+        """Another driver commits as soon as the fold has listed its batches."""
+
+        late = False
+
+        def batches(self):
+            names = super().batches()
+            if not self.late:
+                self.late = True
+                token_rollup.Ledger(self.spark, self.path).commit("late", token_rollup.inserts(counts))
+            return names
+
+    ledger = Beside(spark, f"file://{tmp_path}/ledger")
+    ledger.late = True
+    ledger.commit("first", token_rollup.inserts(counts))
+    ledger.late = False
+    ledger.fold()
+    for _ in range(2):
+        assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "words-1", 2, 6, 18)]
+        ledger.fold()
