@@ -1,4 +1,4 @@
-"""Further modes and parts of operators whose main form is registered elsewhere."""
+"""Further modes and parts of operators whose main form is registered elsewhere."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pairloom.functions import fixed, text
 from pairloom.functions import vectors as v
 from pairloom.operators import banks, facts, metrics, profile, selection, sets
 from pairloom.operators import vectors as vec
-from pairloom.plans.bind import DIM, Tables
+from pairloom.plans.bind import DIM, HEADS, LAYERS, Tables
 from pairloom.plans.q_metrics import metrics_sql, rounded
 from pairloom.plans.q_pairs import stages
 from pairloom.plans.q_sources import documents_needed, documents_of
@@ -52,6 +52,32 @@ def a10_padded(t: Tables) -> DataFrame:
     return got.select("doc_id", "resolved")
 
 
+@query("A16_unfold_nested_all", f"SELECT pair_no, subtype, branch, layer, head, d, {R6} FROM acts")
+def a16_all(t: Tables) -> DataFrame:
+    """Every payload in the nested layout [layer][head][dim]."""
+    layers = F.transform(F.sequence(F.lit(0), F.lit(LAYERS - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(HEADS - 1)), lambda j: F.slice("embedding", (i * HEADS + j) * DIM + 1, DIM)))
+    pair, even = F.floor(F.col("vec_id") / 2), F.col("vec_id") % 2 == 0
+    kind = t.embeddings.filter(even).select(pair.alias("pair_no"), F.get(F.array(*map(F.lit, ("cat", "cnt", "col", "rel"))), F.col("label") % 4).alias("subtype"))
+    rows = t.embeddings.select(pair.alias("pair_no"), F.when(even, "pos").otherwise("neg").alias("branch"), layers.alias("payload")).join(kind, "pair_no")
+    return items(vec.unfold_nested(rows, "payload"), "pair_no", "subtype", "branch", *H)
+
+
+@query(
+    "F3_crossing_groups",
+    """WITH a AS (SELECT image_id, object_id, CASE WHEN annotation_id % 10 < 8 THEN 'train' WHEN annotation_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, annotation_id % 11 = 0 AS twice FROM objs),
+    h AS (SELECT image_id, bool_or(split = 'train') AS tr, bool_or(split = 'val') AS va, bool_or(split = 'test') AS te FROM a GROUP BY image_id),
+    n AS (SELECT object_id, count(*) AS before, sum(CASE WHEN twice THEN 2 ELSE 1 END) AS after FROM a GROUP BY object_id)
+    SELECT unnest(['overlap_test_train', 'overlap_test_val', 'overlap_train_val', 'missing_ids', 'duplicate_ids']) AS check,
+      unnest([(SELECT count(*) FILTER (WHERE te AND tr) FROM h), (SELECT count(*) FILTER (WHERE te AND va) FROM h), (SELECT count(*) FILTER (WHERE tr AND va) FROM h), 0, (SELECT CAST(sum(greatest(after - 1, 0)) AS BIGINT) FROM n)]) AS n""",
+)
+def f3_crossing(t: Tables) -> DataFrame:
+    """A split by annotation instead of by image, with some rows twice: what the check has to find, over all rows."""
+    k = F.col("annotation_id") % 10
+    rows = t.objs.select("image_id", F.col("object_id").alias("pair_id"), "annotation_id", F.when(k < 8, "train").when(k == 8, "val").otherwise("test").alias("split"))
+    assigned = rows.unionByName(rows.filter("annotation_id % 11 = 0"))
+    return sets.leakage(rows.drop("split"), assigned)
+
+
 @query("A10_listed_files", "SELECT lang, 1 AS readable FROM documents GROUP BY lang")
 def a10_files(t: Tables) -> DataFrame:
     """Files that were written by language, listed without reading them."""
