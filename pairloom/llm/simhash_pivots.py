@@ -14,7 +14,8 @@ pivots exceeds the radius are discarded, and the rest are verified by their Hamm
 A key shared by more than ``HOT`` different fingerprints: with exact families it is dealt out again on the bits that it leaves open,
 by the same rule, until a bucket is small (after three levels it holds 256 fingerprints at most); with sampled ones its members are
 dealt into blocks, and each pair of blocks is a key. No pair that shares a key is lost either way. A bucket returns spanning links
-of its linked members, not its pairs; ``verified_components`` asks for the pairs as well where a link does not hold.
+of its linked members, not its pairs. Where the shingles decide (``verified_components``), such links only say which documents have
+to be compared: the sets of shingles go once to the group that holds them, and no pair of sets is ever a row.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ from pairloom.session import pinned
 
 #: Fingerprints of one bucket that a task compares; a larger bucket is dealt out again.
 HOT = 20_000
+#: Shingles that a task compares with each other; a larger group of candidates is dealt to pairs of blocks.
+HOT_SHINGLES = 1 << 18
+#: Buckets up to this size are compared all at once, a distance of rows at a time.
+SMALL = 64
 PIVOTS_A_BLOCK = 12
 FREE_PIVOTS = 16
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -206,19 +211,48 @@ def _across(fps: np.ndarray, root: np.ndarray, families: Families) -> Iterator[t
             yield i, near + i + 1
 
 
+def _close(fps: np.ndarray, at: np.ndarray, left: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all pairs of rows within the radius; row ``at`` is compared with the ``left`` rows that follow it."""
+    for d in range(1, SMALL):
+        at, left = at[left >= d], left[left >= d]
+        if not len(at):
+            return
+        near = at[np.bitwise_count(fps[at] ^ fps[at + d]).sum(axis=1) <= radius]
+        if len(near):
+            yield near, near + d
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of the links (u, v) join what the links before them do not."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    joins = np.zeros(len(u), bool)
+    for k, (i, j) in enumerate(zip(u.tolist(), v.tolist())):
+        i, j = top(i), top(j)
+        if i != j:
+            above[j] = i
+            joins[k] = True
+    return joins
+
+
 def _links_of_buckets(families: Families) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows sorted by key -> spanning links, or all pairs of different roots if the rows have roots. Buckets of two are compared all
+    """Rows sorted by key -> spanning links, or all pairs of different roots if the rows have roots. Small buckets are compared all
     at once, larger ones one by one."""
 
     def linked(key: np.ndarray, node: np.ndarray, fps: np.ndarray, root: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(cut, len(key)))
-        two = cut[size == 2]
-        near = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= families.radius
-        if root is not None:
-            near &= root[two] != root[two + 1]
-        u, v, held = [node[two[near]]], [node[two[near] + 1]], 0
-        for at, n in zip(cut[size > 2], size[size > 2]):
+        left = np.repeat(cut + size, size) - np.arange(len(key)) - 1
+        found = list(_close(fps, *(x[np.repeat(size <= SMALL, size)] for x in (np.arange(len(key)), left)), families.radius))
+        i, j = (np.concatenate([np.empty(0, int), *x]) for x in (zip(*found) if found else ((), ())))
+        good = _forest(i, j) if root is None else root[i] != root[j]
+        u, v, held = [node[i[good]]], [node[j[good]]], 0
+        for at, n in zip(cut[size > SMALL], size[size > SMALL]):
             if root is None:
                 pairs = _spanning(fps[at : at + n], families)
                 if pairs:
@@ -238,7 +272,7 @@ def _links_of_buckets(families: Families) -> Callable[[Iterator[pd.DataFrame]],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
-            fps = np.stack(pdf["words"].to_numpy()).view(np.uint64) if len(pdf) else np.empty((0, families.lanes), np.uint64)
+            fps = np.ascontiguousarray(pdf[[f"w{i}" for i in range(families.lanes)]].to_numpy(np.int64)).view(np.uint64)
             rows = [pdf["key"].to_numpy(), pdf["node"].to_numpy(), fps] + ([pdf["root"].to_numpy()] if "root" in pdf else [])
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows)]
@@ -262,10 +296,11 @@ def _keyed(nodes: DataFrame, families: Families) -> DataFrame:
     return nodes.select(*nodes.columns, F.explode(keys("words")).alias("key"))
 
 
-def _in_blocks(keyed: DataFrame, hot: int) -> DataFrame:
-    """Keys of more than ``hot`` rows are replaced by one key for each pair of blocks of about hot / 2 rows, so that every pair of
-    rows of a key still meets under one."""
-    crowded = pinned(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key", F.ceil(F.col("count") * 2 / hot).cast("int").alias("blocks")))
+def _in_blocks(keyed: DataFrame, hot: int, weight: Column | None = None) -> DataFrame:
+    """Keys of more than ``hot`` rows (or weight) are replaced by one key for each pair of blocks of about half as much, so that every
+    pair of rows of a key still meets under one."""
+    total = keyed.groupBy("key").agg((F.count("*") if weight is None else F.sum(weight)).alias("total"))
+    crowded = pinned(total.filter(F.col("total") > hot).select("key", F.ceil(F.col("total") * 2 / hot).cast("int").alias("blocks")))
     if not crowded.limit(1).count():
         return keyed
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -291,7 +326,8 @@ def links(nodes: DataFrame, levels: list[Families], hot: int = HOT) -> DataFrame
         else:
             again, small = False, _in_blocks(keyed, hot)
         n = parallelism(nodes.sparkSession)
-        out = small.repartition(n, "key").sortWithinPartitions("key", "node").select("key", *columns).mapInPandas(_links_of_buckets(families), "u long, v long")
+        narrow = small.select("key", *[c for c in columns if c != "words"], *[F.col("words")[i].alias(f"w{i}") for i in range(families.lanes)])
+        out = narrow.repartition(n, "key").sortWithinPartitions("key", "node").mapInPandas(_links_of_buckets(families), "u long, v long")
         found = out if found is None else found.unionAll(out)
         if not again:
             break
@@ -342,15 +378,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 WIDE = {"shingle": 5, "lanes": 4, "size": 14, "count": 96, "radius": 60}
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) -> (u, v, similar): whether the Jaccard similarity of the shingles is 0.8 or more, in whole numbers."""
-    a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv")
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", (both * 9 >= (F.size("set_u") + F.size("set_v")) * 4).alias("similar"))
+def widened(nodes: int, size: int, count: int) -> tuple[int, int]:
+    """(bits of a set, sets) for so many different fingerprints: beyond 256 to a key on average every doubling adds a bit, and a
+    quarter more sets, which make up for the pairs that a further bit parts (those that differ in a fifth of their bits)."""
+    more = max(0, nodes.bit_length() - 8 - size)
+    return size + more, -int(-count * 1.25**more // 1)
 
 
 def _sets(docs: DataFrame, least: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text), (doc_id, node) -> (node, set of shingle hashes). A repeated id may have several texts; each goes by its node."""
+    """(doc_id, text), (doc_id, node, key) -> (node, key, set of shingle hashes). A repeated id may have several texts; each goes by
+    its node."""
 
     @F.pandas_udf("array<bigint>")
     def set_of(texts: pd.Series) -> pd.Series:
@@ -359,38 +396,61 @@ def _sets(docs: DataFrame, least: DataFrame, shingle: int) -> DataFrame:
 
     found = docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", set_of(F.col("text")).alias("found"))
     sets = found.select("doc_id", F.col("found")[0].alias("node"), F.slice("found", 2, F.size("found")).alias("set"))
-    return sets.join(least, ["doc_id", "node"], "left_semi").select("node", "set").dropDuplicates(["node"])
-
-
-def verified_components(docs: DataFrame, families: Families, shingle: int, hot: int = HOT) -> DataFrame:
+    return sets.join(least, ["doc_id", "node"]).select("node", "key", "set").dropDuplicates(["node"])
+
+
+def _alike(group: pd.DataFrame) -> pd.DataFrame:
+    """(node, set) of a group -> spanning links of a Jaccard similarity of 0.8 or more, in whole numbers. All pairs are compared: the
+    members that hold a shingle are listed, and the lists of the shingles of a member count what it shares with every other."""
+    node, sets = group["node"].to_numpy(), group["set"].to_numpy()
+    n, size = len(node), np.fromiter((len(s) for s in sets), np.int64, len(sets))
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[code] > 1
+    code, member = code[shared], np.repeat(np.arange(n), size)[shared]
+    holders, first = member[np.argsort(code, kind="stable")], np.cumsum(np.where(often > 1, often, 0)) - often
+    ends = np.searchsorted(member, np.arange(n + 1))
+    owner, links = np.arange(n), []
+    for i in range(n - 1):
+        own = code[ends[i] : ends[i + 1]]
+        many = often[own]
+        at = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(holders[at], minlength=n)[i + 1 :]
+        for j in np.flatnonzero(both * 9 >= (size[i] + size[i + 1 :]) * 4) + i + 1:
+            if owner[j] != owner[i]:
+                links.append((i, j))
+                owner[owner == owner[j]] = owner[i]
+    u, v = np.array(links, int).reshape(-1, 2).T
+    return pd.DataFrame({"u": node[u], "v": node[v]})
+
+
+def verified_components(docs: DataFrame, shingle: int, lanes: int, size: int, count: int, radius: int, hot: int = HOT, hot_shingles: int = HOT_SHINGLES) -> DataFrame:
     """(doc_id, text) -> (doc_id, node, root): documents linked, directly or over others, by a similarity of 0.8 or more.
 
-    Documents of equal sets of shingles are one node. Spanning links of the candidates are verified first. As one that fails may
-    have stood for others that hold, all candidates between what is then still apart are verified after that.
+    Documents of equal sets of shingles are one node. Fingerprints within the radius that share a key put nodes into a group of
+    candidates; inside a group every pair is compared by its shingles, so no link that fails hides another. A group of more than
+    ``hot_shingles`` shingles goes to pairs of blocks.
     """
-    prints = pinned(set_fingerprints(docs.select("doc_id", "text"), shingle, families.lanes))
-    nodes = pinned(prints.groupBy("node").agg(F.first("words").alias("words")))
-    first = pinned(links(nodes, [families], hot).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    ends = pinned(first.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    one = pinned(prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = pinned(_sets(docs.select("doc_id", "text"), one, shingle))
-    judged = pinned(_similar(first, sets))
-    held = judged.filter("similar").select("u", "v")
+    prints = pinned(set_fingerprints(docs.select("doc_id", "text"), shingle, lanes))
+    nodes = pinned(prints.groupBy("node").agg(F.first("words").alias("words"), F.min("doc_id").alias("doc_id")))
+    bits, sets_of_bits = widened(nodes.count(), size, count)
+    families = sampled_families(lanes, bits, sets_of_bits, radius)
+    groups = components(links(nodes.select("node", "words"), families, hot)).withColumnRenamed("root", "key")
+    members = pinned(nodes.select("node", "doc_id").join(groups, "node"))
+    sets = pinned(_sets(docs.select("doc_id", "text"), members, shingle))
+    held = _in_blocks(sets, hot_shingles, F.size("set")).groupBy("key").applyInPandas(_alike, "u long, v long")
     roots = pinned(components(held))
-    if judged.filter("not similar").limit(1).count():
-        apart = nodes.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = links(pinned(apart), [families], hot).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        more = pinned(_similar(more.join(judged, ["u", "v"], "left_anti"), sets)).filter("similar").select("u", "v")
-        if more.limit(1).count():
-            roots = pinned(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more)))
     return prints.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, shingle: int = WIDE["shingle"], lanes: int = WIDE["lanes"], size: int = WIDE["size"], count: int = WIDE["count"], radius: int = WIDE["radius"], hot: int = HOT) -> DataFrame:
+def keep_one(
+    docs: DataFrame, shingle: int = WIDE["shingle"], lanes: int = WIDE["lanes"], size: int = WIDE["size"], count: int = WIDE["count"], radius: int = WIDE["radius"], hot: int = HOT, hot_shingles: int = HOT_SHINGLES
+) -> DataFrame:
     """Rows of ``docs`` less all but the first document (by id) of each group of near copies (Jaccard similarity of the sets of 5-word
     shingles of 0.8 or more, directly or over others; wordless texts are alike). Rows that repeat an id stay or go together; rows
     without an id form no group and stay."""
-    grouped = pinned(verified_components(docs.filter("doc_id is not null"), sampled_families(lanes, size, count, radius)[0], shingle, hot))
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = pinned(grouped.join(least, "root").filter(F.col("doc_id") != F.col("least")).select("doc_id").distinct())
+    grouped = verified_components(docs.filter("doc_id is not null"), shingle, lanes, size, count, radius, hot, hot_shingles)
+    grouped = pinned(grouped.select("doc_id", "root").distinct())
+    least = grouped.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(-1).alias("open"))
+    # an id goes if it is not the least in each group it is in; counted by id, as a group may hold a third of all rows
+    gone = pinned(grouped.select("doc_id", F.lit(1).alias("open")).unionAll(least).groupBy("doc_id").agg(F.sum("open").alias("open")).filter("open > 0").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

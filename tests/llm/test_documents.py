@@ -150,6 +150,37 @@ def test_a_link_that_does_not_hold_does_not_hide_others(spark):
     assert left == set(range(30))
 
 
+def test_a_group_dealt_to_blocks_has_the_same_links(spark):
+    """Sets around one centre, some at 0.8 of each other and some not: brute force, a group in one task, and one in blocks agree."""
+    rng = np.random.default_rng(13)
+    centre = rng.integers(0, 1 << 40, 120)
+    sets = [np.unique(np.concatenate([rng.permutation(centre)[rng.integers(0, 24) :], rng.integers(1 << 41, 1 << 42, rng.integers(0, 9))])) for _ in range(120)]
+    sets += [np.empty(0, np.int64), sets[0][:1], np.array([5], np.int64)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if (both := len(np.intersect1d(sets[a], sets[b]))) * 10 >= 8 * (len(sets[a]) + len(sets[b]) - both)]
+    joined = lambda links: {frozenset(v) for v in _groups(range(len(sets)), links)}
+    whole = simhash_pivots._alike(simhash_pivots.pd.DataFrame({"node": range(len(sets)), "set": sets}))
+    assert joined(zip(whole["u"], whole["v"])) == joined(pairs) and 1 < len(joined(pairs)) < len(sets)
+    rows = spark.createDataFrame([(i, 7, s.tolist()) for i, s in enumerate(sets)], "node long, key long, set array<long>")
+    dealt = simhash_pivots._in_blocks(rows, 2000, F.size("set"))
+    assert dealt.select("key").distinct().count() > 10
+    assert joined((r["u"], r["v"]) for r in dealt.groupBy("key").applyInPandas(simhash_pivots._alike, "u long, v long").collect()) == joined(pairs)
+
+
+def _groups(nodes, links):
+    group = {n: {n} for n in nodes}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for n in group[b]:
+                group[n] = group[a]
+    return {id(g): g for g in group.values()}.values()
+
+
+def test_more_fingerprints_get_longer_keys_and_more_of_them():
+    assert simhash_pivots.widened(1000, 14, 96) == simhash_pivots.widened(1 << 21, 14, 96) == (14, 96)
+    assert simhash_pivots.widened(1 << 23, 14, 96) == (16, 150) and simhash_pivots.widened(1 << 35, 14, 96)[0] == 28
+
+
 def test_repeated_shingles_count_once(spark):
     docs = [(1, "a b c d e " * 400), (2, "a b c d e " * 400 + " ".join(f"w{i}" for i in range(60))), (3, "a b c d e " * 300), (3, "other words under this id that is there twice")]
     left = sorted(r["doc_id"] for r in simhash_pivots.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect())
