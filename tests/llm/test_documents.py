@@ -7,10 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from pairloom.llm import byte_bpe, kernel_quality, mixing, pii_bootstrap, queries, simhash_pivots
 from pairloom.llm.components import components
@@ -158,7 +160,7 @@ def test_a_group_dealt_to_blocks_has_the_same_links(spark):
     sets += [np.empty(0, np.int64), sets[0][:1], np.array([5], np.int64)]
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if (both := len(np.intersect1d(sets[a], sets[b]))) * 10 >= 8 * (len(sets[a]) + len(sets[b]) - both)]
     joined = lambda links: {frozenset(v) for v in _groups(range(len(sets)), links)}
-    whole = simhash_pivots._alike(simhash_pivots.pd.DataFrame({"node": range(len(sets)), "set": sets}))
+    whole = simhash_pivots._alike(pd.DataFrame({"node": range(len(sets)), "set": sets}))
     assert joined(zip(whole["u"], whole["v"])) == joined(pairs) and 1 < len(joined(pairs)) < len(sets)
     rows = spark.createDataFrame([(i, 7, s.tolist()) for i, s in enumerate(sets)], "node long, key long, set array<long>")
     dealt = simhash_pivots._in_blocks(rows, 2000, F.size("set"))
