@@ -394,6 +394,7 @@ def _sets(docs: DataFrame, least: DataFrame, shingle: int) -> DataFrame:
         sets = (shingle_set(t, shingle) for t in texts)
         return pd.Series([np.append(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)), s).view(np.int64) for s in sets])
 
+    set_of = set_of.asNondeterministic()  # else the join's filter on the node pulls it in front of the semi join, to all texts
     found = docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", set_of(F.col("text")).alias("found"))
     sets = found.select("doc_id", F.col("found")[0].alias("node"), F.slice("found", 2, F.size("found")).alias("set"))
     return sets.join(least, ["doc_id", "node"]).select("node", "key", "set").dropDuplicates(["node"])
