@@ -5,19 +5,16 @@ Both run with ``availableNow``: they take what has arrived, keep their place in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pairloom.sources.sinks import missing_rows
 
 #: Batches of changes that a keyed table holds before they are merged into its base.
 COMPACT = 10
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CONFUSION = ("n", "tp", "tn", "fp", "fn", "invalid")
 
 
@@ -26,23 +23,13 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 
 def arrivals(stream: DataFrame, key: str) -> DataFrame:
-    """The rows of a stream with a column ``late``: true where an earlier micro-batch has had rows of the same key.
+    """The rows of a stream and, with ``_first`` true and nothing but the key, one mark for each key that no earlier micro-batch has had.
 
-    The keys seen are keyed state, one flag each, kept by the state store: a batch looks up and adds its own keys, so its work does
-    not depend on how many there were before. Rows travel through the state operator packed as one text column, so that their types are kept.
+    The keys seen are Spark's own deduplication state: a batch looks up and adds its own keys, so its work does not depend on how many
+    there were before, and no key is a call of its own.
     """
-    schema, packed = stream.schema, F.to_json(F.struct(*stream.columns), _JSON)
-
-    def flag(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        late = state.exists
-        if not late:
-            state.update((True,))
-        for frame in frames:
-            yield frame[["row"]].assign(late=late)
-
-    keyed = stream.select(F.col(key).alias("key"), packed.alias("row")).groupBy("key")
-    flagged = keyed.applyInPandasWithState(flag, "row string, late boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    return flagged.select(F.from_json("row", schema, _JSON).alias("row"), "late").select("row.*", "late")
+    marks = stream.select(key).dropDuplicates([key]).withColumn("_first", F.lit(True))
+    return stream.withColumn("_first", F.lit(False)).unionByName(marks, allowMissingColumns=True)
 
 
 def incremental_facts(stream: DataFrame, build: Callable[[DataFrame], DataFrame], out: str, late: str, checkpoint: str, key: str = "image_id") -> None:
@@ -55,8 +42,11 @@ def incremental_facts(stream: DataFrame, build: Callable[[DataFrame], DataFrame]
     def step(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            build(batch.filter("NOT late").drop("late")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-            batch.filter("late").drop("late").write.mode("overwrite").parquet(f"{late}/epoch={epoch}")
+            marks = batch.filter("_first").select(F.col(key).alias("_key"))
+            rows = batch.filter("NOT _first").drop("_first")
+            known = F.col(key).eqNullSafe(F.col("_key"))
+            build(rows.join(marks, known, "left_semi")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+            rows.join(marks, known, "left_anti").write.mode("overwrite").parquet(f"{late}/epoch={epoch}")
         finally:
             batch.unpersist()
 

@@ -51,3 +51,12 @@ def test_an_unfinished_base_is_not_read(spark):
         table.put(spark.range(2).select(F.col("id").alias("k"), F.lit(n).alias("v")), n)
     os.makedirs(f"{path.removeprefix('file:')}/base/99")
     assert {tuple(r) for r in table.rows().collect()} == {(0, 2), (1, 2)}
+
+
+def test_no_python_call_for_a_key_of_the_stream(spark):
+    """Keys are looked up in Spark's own state: the plan holds no grouped Python step, whose calls grow with the images."""
+    path = fresh_path(spark, "t")
+    spark.range(5).select(F.col("id").cast("string").alias("image_id")).write.parquet(path)
+    stream = incremental.arrivals(incremental.file_stream(spark, path, spark.read.parquet(path).schema), "image_id")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "InPandas" not in plan
