@@ -8,16 +8,20 @@ a range is added to its running sums, and the replicates are the columns of thos
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairloom.operators.ordering import range_count, seeded_unit
+from pairloom.operators.ordering import range_count
 from pairloom.session import pinned
 
 #: Distinct scores of a range; each carries two arrays of a weight a replicate.
@@ -25,21 +29,82 @@ RANGE_SCORES = 20_000
 _EULER = 0.5772156649015329
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw by inverting its distribution at ``u`` in [0, 1)."""
-    out, total, term, k = F.when(F.lit(False), 0), 0.0, 2.718281828459045**-1, 0
-    while 1 - total > 2.0**-32:  # what is left is finer than the draws
-        total += term
-        out = out.when(u < total, k)
-        k += 1
-        term /= k
-    return out.otherwise(k)
+#: Chance of at most k = 0, 1, ... events under Poisson(1), in steps of the 32-bit draws; what is left is finer than the draws.
+_CHANCES: list[int] = []
+_term, _total = math.exp(-1), 0.0
+while 1 - _total > 2.0**-32:
+    _total += _term
+    _CHANCES.append(math.ceil(_total * 2**32))
+    _term /= len(_CHANCES)
+# MD5 in columns of 32-bit words: shifts and constants of its 64 steps.
+_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+#: Messages hashed at once: their words stay in the processor's cache.
+LANES = 16384
+
+
+def _first_words(blocks: np.ndarray) -> np.ndarray:
+    """First 8 hex digits, as a number, of the MD5 of each message, given as its one padded block of 64 bytes."""
+    m = np.ascontiguousarray(blocks.view("<u4").T)
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(m.shape[1], x, np.uint32) for x in start)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += m[g]
+        f += _SINES[i]
+        turned = f << np.uint32(_SHIFTS[i])
+        f >>= np.uint32(32 - _SHIFTS[i])
+        turned |= f
+        turned += b
+        a, d, c, b = d, c, b, turned
+    return (a + start[0]).byteswap()
+
+
+def unit_weights(keys: Sequence[str | None], replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights (keys, replicates): by inversion at the first 8 hex digits of the MD5 of ``seed|key|replicate``."""
+    tails = [f"|{b}".encode() for b in range(replicates)]
+    width = max(map(len, tails), default=0) + 1
+    tail, size = np.zeros((replicates, width), np.uint8), np.array([len(t) for t in tails], np.int64)
+    for b, t in enumerate(tails):
+        tail[b, : len(t) + 1] = np.frombuffer(t + b"\x80", np.uint8)
+    heads = [f"{seed}|{k or ''}".encode() for k in keys]
+    out = np.empty((len(heads), replicates), np.uint8)
+    step = max(1, LANES // max(replicates, 1))
+    for at in range(0, len(heads), step):
+        part = heads[at : at + step]
+        blocks = np.zeros((len(part), replicates, 64), np.uint8)
+        for block, head in zip(blocks, part):
+            n = len(head)
+            if n + width > 56:
+                continue
+            block[:, :n] = np.frombuffer(head, np.uint8)
+            block[:, n : n + width] = tail
+            bits = (n + size) * 8
+            block[:, 56], block[:, 57] = bits & 255, bits >> 8
+        drawn = _first_words(blocks.reshape(-1, 64)).reshape(len(part), replicates)
+        for i, head in enumerate(part):
+            if len(head) + width > 56:  # more than one block
+                drawn[i] = [int(hashlib.md5(head + t).hexdigest()[:8], 16) for t in tails]
+        out[at : at + step] = sum((drawn >= np.uint32(c)).view(np.uint8) for c in _CHANCES if c < 2**32)
+    return out
 
 
 def replicate_weights(key: Column, replicates: int, seed: int) -> Column:
     """Array of Poisson(1) weights of the unit ``key``, the same under any partitioning and retry."""
-    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: seeded_unit(seed, key, b))
-    return F.transform(draws, lambda u: poisson_weight(u).cast("double"))
+
+    @F.pandas_udf("array<double>")
+    def draw(keys: pd.Series) -> pd.Series:
+        return pd.Series(list(unit_weights(keys.where(keys.notna(), None).tolist(), replicates, seed).astype(float)), index=keys.index, dtype=object)
+
+    return draw(key.cast("string"))
 
 
 def array_total(col: Column) -> Column:
@@ -73,13 +138,61 @@ def _quotients(above: Column, below: Column) -> Column:
     return F.zip_with(above, below, lambda a, b: F.when(b > 0, a / b))
 
 
+#: Groups whose sums a task holds before it gives them out.
+HELD_GROUPS = 1000
+
+
+def _weighted_sums(keys: Sequence[str], replicates: int, seed: int):
+    """Sums of the weights and of weight times value for each group of a task's rows ``(keys, _unit, _value)``."""
+
+    def given(held: dict) -> pa.RecordBatch:
+        rows = pa.Table.from_batches([h[0] for h in held.values()]).combine_chunks()
+        arrays = [rows.column(k).combine_chunks() for k in keys]
+        arrays += [pa.array([h[1] for h in held.values()], pa.int64()), pa.array([h[2] for h in held.values()], pa.float64())]
+        arrays += [pa.array([h[i].tolist() for h in held.values()], pa.list_(pa.float64())) for i in (3, 4)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*keys, "_n", "_total", "_s", "_w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            codes, units = pd.factorize(np.array(batch.column("_unit").to_pylist(), object), use_na_sentinel=False)
+            drawn = unit_weights(units.tolist(), replicates, seed)
+            values = batch.column("_value")
+            there = np.asarray(values.is_valid())
+            value = np.where(there, values.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0)
+            members: dict = {}
+            for i, group in enumerate(zip(*[batch.column(k).to_pylist() for k in keys]) if keys else [()] * batch.num_rows):
+                members.setdefault(repr(group), []).append(i)
+            for group, rows in members.items():
+                if group not in held:
+                    held[group] = [batch.select(list(keys)).slice(rows[0], 1), 0, 0.0, np.zeros(replicates), np.zeros(replicates)]
+                sums = held[group]
+                for at in range(0, len(rows), LANES):
+                    own = np.array(rows[at : at + LANES])
+                    w = drawn[codes[own]].astype(float)
+                    sums[1] += int(there[own].sum())
+                    sums[2] += float(value[own].sum())
+                    sums[3] += value[own] @ w
+                    sums[4] += there[own].astype(float) @ w
+                if len(held) >= HELD_GROUPS:
+                    yield given(held)
+                    held = {}
+        if held:
+            yield given(held)
+
+    return run
+
+
 def bootstrap_interval(df: DataFrame, keys: Sequence[str], value: Column, row_key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Mean with a 95% Poisson-bootstrap interval: (keys, mean, lower_95, upper_95). Groups without any weight have none."""
-    rows = df.select(*keys, replicate_weights(F.col(row_key).cast("string"), replicates, seed).alias("_w"), value.cast("double").alias("_value"))
-    sums = rows.groupBy(*keys).agg(
-        F.avg("_value").alias("mean"), array_sum(F.transform("_w", lambda w: w * F.coalesce(F.col("_value"), F.lit(0.0)))).alias("s"),
-        array_total(F.when(F.col("_value").isNotNull(), F.col("_w")).otherwise(_zeros(replicates))).alias("w"),
-    )
+    keys = list(keys)
+    rows = df.select(*keys, F.col(row_key).cast("string").alias("_unit"), value.cast("double").alias("_value"))
+    shape = T.StructType([*[rows.schema[k] for k in keys], *T.StructType.fromDDL("_n long, _total double, _s array<double>, _w array<double>").fields])
+    # Few bytes mean much work here: as many tasks as a shuffle has, and the rows of a unit, which share their weights, together.
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_unit")
+    parts = dealt.mapInArrow(_weighted_sums(keys, replicates, seed), shape)
+    n = F.sum("_n")
+    sums = parts.groupBy(*keys).agg(F.when(n > 0, F.sum("_total") / n).alias("mean"), array_sum(F.col("_s")).alias("s"), array_total(F.col("_w")).alias("w"))
     return sums.select(*keys, "mean", *_ends(_quotients(F.col("s"), F.col("w")), "")).filter("lower_95 IS NOT NULL")
 
 

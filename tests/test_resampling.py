@@ -119,3 +119,33 @@ def test_grid_of_configurations(spark):
         best = min(configs[1:], key=lambda c: (-np.mean([x > 0 for x in margins(r["subtype"], "val", *c)]), -round(np.mean(margins(r["subtype"], "val", *c)), 9), c[1], c[0], c[2]))
         assert (r["k"], r["alpha"], r["sign"]) == best
         assert r["delta_pairwise_acc"] == pytest.approx(r["pairwise_acc"] - np.mean([x > 0 for x in margins(r["subtype"], "test", 0, 0, 1)]))
+
+
+def test_unit_weights_are_those_of_the_hash_for_keys_of_any_length():
+    keys = ["a", "", None, "x" * 49, "y" * 60, "é1-2", "a"]
+    got = resampling.unit_weights(keys, 12, 42)
+    assert got.tolist() == [[weight(k or "", b) for b in range(12)] for k in keys]
+
+
+def test_interval_of_a_mean_does_not_draw_weights_row_by_row_in_expressions(spark, monkeypatch):
+    """Weights come from one call a batch of rows; groups with null keys and values, and more groups than a task holds, are whole."""
+    monkeypatch.setattr(resampling, "HELD_GROUPS", 2)
+    rng = random.Random(3)
+    rows = [(g, f"{i}", None if i % 9 == 8 else rng.random() - 0.5) for g in ("a", "b", None, "c") for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, k string, v double").repartition(3)
+    interval = resampling.bootstrap_interval(df, ["g"], F.col("v"), "k", B)
+    plan = interval._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "md5" not in plan
+    got = {r["g"]: r for r in interval.collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in got:
+        own = [(k, v) for h, k, v in rows if h == g and v is not None]
+        found = []
+        for b in range(B):
+            w = [weight(k, b) for k, _ in own]
+            if sum(w):
+                found.append(sum(n * v for n, (_, v) in zip(w, own)) / sum(w))
+        e = sorted(found)
+        assert got[g]["mean"] == pytest.approx(np.mean([v for _, v in own]))
+        assert got[g]["lower_95"] == pytest.approx(e[int(0.025 * (len(e) - 1))])
+        assert got[g]["upper_95"] == pytest.approx(e[int(0.975 * (len(e) - 1))])
