@@ -17,9 +17,9 @@ CHUNK = 500
 
 
 def documents_of(df: DataFrame, chunk, payload, path: str) -> str:
-    """Write one JSON document per chunk, each in its own file."""
+    """Write one JSON document per chunk, each in its own compressed file; one folder holds them all."""
     docs = df.groupBy(chunk.alias("chunk")).agg(payload.alias("value"))
-    docs.repartition("chunk").write.partitionBy("chunk").text(path)
+    docs.select("value").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     return path
 
 
@@ -80,11 +80,12 @@ def a3(t: Tables) -> DataFrame:
 def a4(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "a4")
     rel = F.array(F.struct(F.col("relation").alias("name"), F.col("target_id").alias("object")))
-    own = t.edges.select("image_id", F.col("subject_id").alias("object_id"), rel.alias("relations"))
     node = F.struct("object_id", F.struct("name", "attributes", "relations", "box.x", "box.y", "box.w", "box.h"))
     # An image with very many objects is spread over documents, each with a part of them.
     chunk = F.pmod(F.xxhash64("object_id"), F.lit(documents_needed(t.lineitem)))
-    parts = t.sg.join(own, ["image_id", "object_id"], "left").groupBy(chunk.alias("part"), "image_id").agg(
+    # Dealt by document once: its images and then the document itself are put together where the rows are.
+    dealt = t.scenes.withColumns({"relations": rel, "part": chunk}).repartition("part")
+    parts = dealt.groupBy("part", "image_id").agg(
         F.struct(F.first("width").alias("width"), F.first("height").alias("height"), F.map_from_entries(F.collect_list(node)).alias("objects")).alias("scene")
     )
     documents_of(parts, F.col("part"), F.to_json(F.map_from_entries(F.collect_list(F.struct("image_id", "scene")))), path)

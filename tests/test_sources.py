@@ -96,3 +96,32 @@ def test_streams_equal_the_batch_and_do_not_repeat(spark):
     run()
     got = sorted((r["image_id"], r["s"]) for r in spark.read.parquet(f"{base}/out").collect())
     assert got == sorted((r["image_id"], r["s"]) for r in rows.groupBy("image_id").agg(F.sum("v").alias("s")).collect())
+
+
+def test_documents_lie_compressed_in_one_folder(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from pairloom.plans.q_sources import documents_of
+    from pairloom.session import fresh_path
+
+    path = fresh_path(spark, "docs")
+    documents_of(spark.range(40).repartition(3), F.col("id") % 7, F.to_json(F.collect_list("id")), path)
+    files = [f for f in os.listdir(path.removeprefix("file:")) if not f.startswith((".", "_"))]
+    assert len(files) == 7 and all(f.endswith(".gz") for f in files)
+    read = spark.read.option("wholetext", True).text(path)
+    assert sorted(i for r in read.collect() for i in __import__("json").loads(r["value"])) == list(range(40))
+
+
+def test_edges_of_a_scene_need_no_join_with_themselves(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from pairloom.plans.bind import Tables
+
+    t = Tables(spark, sf_dir)
+    first = t.sg.groupBy("image_id").agg(F.min("annotation_id").cast("string").alias("first_id"))
+    want = t.sg.join(first, "image_id").select("image_id", "object_id", F.when(F.col("object_id") == F.col("first_id"), "nowhere").otherwise(F.col("first_id")))
+    got = t.scenes.select("image_id", "object_id", "target_id")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert t.scenes._jdf.queryExecution().executedPlan().toString().count("lineitem") <= t.sg._jdf.queryExecution().executedPlan().toString().count("lineitem")
