@@ -14,8 +14,8 @@ from pairloom.plans.registry import query
 from pairloom.session import pinned
 
 
-def stages(t: Tables) -> dict[str, DataFrame]:
-    return pairs.pair_stages(t.facts, t.counts, banks.bank_arrays(t.bank), banks.template_bank(t.spark))
+def stages(t: Tables, written: bool = False) -> dict[str, DataFrame]:
+    return pairs.pair_stages(t.facts, t.counts, banks.bank_arrays(t.bank), banks.template_bank(t.spark), written=written)
 
 
 @query(
@@ -32,7 +32,7 @@ def stages(t: Tables) -> dict[str, DataFrame]:
     """,
 )
 def pair_report(t: Tables) -> DataFrame:
-    s = stages(t)
+    s = stages(t, written=True)
     return pairs.pair_report(s["judged"], s["kept"], s["unbalanced"], s["balanced"])
 
 
@@ -65,7 +65,7 @@ def image_caps(t: Tables) -> DataFrame:
 @query("E4_template_index", "SELECT fact_id, subtype, fact_rank, template_id FROM pairs")
 def template_index(t: Tables) -> DataFrame:
     judged = pairs.judged_facts(t.facts, t.counts, banks.bank_arrays(t.bank))
-    kept = pinned(pairs.capped(judged.filter("drop_reason is null")))
+    kept = pinned(pairs.capped(judged.filter("drop_reason is null").select(*pairs.FACT, "negative")))
     return pairs.rendered(kept, banks.template_bank(t.spark)).select("fact_id", "subtype", "fact_rank", "template_id")
 
 

@@ -91,3 +91,18 @@ def test_candidate_pool_order(spark):
     far = spark.createDataFrame([("g1", "g3", 0)], "semantic_group string, other_group string, pos int")
     rows = banks.candidate_pool(vocab, 10, seeds, far).filter("category = 'a'").orderBy("pos").collect()
     assert [r["candidate"] for r in rows] == ["e", "c", "b", "d"]
+
+
+def test_stages_write_once_what_the_caps_leave(spark, sf_dir, monkeypatch):
+    """Judged and rendered facts are not written for who reads them once, and what is written has the columns of a pair."""
+    from pairloom.plans.q_pairs import stages
+
+    wrote = []
+    own = pairs.pinned
+    monkeypatch.setattr(pairs, "pinned", lambda df: wrote.append(df.columns) or own(df))
+    s = stages(Tables(spark, sf_dir))
+    facts_written = [c for c in wrote if "fact_id" in c]
+    assert facts_written == [[*pairs.FACT, "negative"]]
+    whole = stages(Tables(spark, sf_dir), written=True)
+    for name in ("judged", "unbalanced"):
+        assert s[name].exceptAll(whole[name]).count() == 0 and whole[name].exceptAll(s[name]).count() == 0
