@@ -332,7 +332,7 @@ def h13(t: Tables) -> DataFrame:
 def h14(t: Tables) -> DataFrame:
     kind = F.when(F.col("subtype").isin("cat", "rel"), F.col("subtype")).otherwise("attr")
     said = F.concat(F.lit("The image has "), "subject_category", F.coalesce(F.concat(F.lit(" "), "positive_value"), F.lit("")))
-    return profile.captions(t.facts.select("image_id", kind.alias("type"), "fact_id", said.alias("fact")), "fact_id", 6)
+    return profile.captions(t.facts.select("image_id", kind.alias("type"), "fact_id", said.alias("fact")), "fact_id", 6, expected=t.line_count)
 
 
 @query("H15_stable_unit", "SELECT doc_id, round((CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT) % 1000) / 1000, 6) AS u FROM documents")
