@@ -315,7 +315,9 @@ def e3(t: Tables) -> DataFrame:
     """Selection under four caps at once; the tests check that every cap holds."""
     from pairloom.operators import builders
 
-    return builders.selected_pairs(builders.clean_pairs(t.sg, t.edges), 400).select("pair_id", "subtype", "b_object", "b_subject", "b_value", "b_predicate")
+    # The caps read six columns; the texts of a pair are not put together for the candidates.
+    pairs = builders.clean_pairs(t.scenes_table, t.edges_table).select("pair_id", "subtype", "b_object", "b_subject", "b_value", "b_predicate")
+    return builders.selected_pairs(pairs, 400)
 
 
 @query(
