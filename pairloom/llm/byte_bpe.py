@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that a worker keeps, with their ids, in each of two generations: those used lately and those used before.
+#: Chunks that a task keeps, with their ids, in each of two generations: those used lately and those used before.
 KEPT = 250_000
 #: Bytes of new pieces that one recursive query takes.
 QUERY_BYTES = 500_000
@@ -49,7 +49,7 @@ _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[^\W_])(?=[.,])")
 
 
 class Encoder:
-    """Encoder and decoder over one in-process database; made once in every Python worker."""
+    """Encoder and decoder over one in-process database; made once in every task."""
 
     _made: dict[tuple[str, str], "Encoder"] = {}
 
@@ -80,6 +80,15 @@ class Encoder:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
+    @classmethod
+    def release(cls) -> None:
+        """Give up all encoders with their databases and chunks. A worker outlives its task, and what it holds counts beside the
+        memory of any later stage."""
+        for encoder in cls._made.values():
+            encoder.db.close()
+        cls._made.clear()
+        pa.default_memory_pool().release_unused()
+
     def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
         """(ids joined by commas, their number, bytes decoded from the ids) of every different piece."""
         import numpy as np
@@ -168,17 +177,20 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, decoded:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids, texts, chars = [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                doc_ids += part.column(0).to_pylist()
-                new = part.column(1).to_pylist()
-                texts += new
-                chars += sum(len(t) for t in new if t)
-                if chars >= GROUP_CHARS:
-                    yield rows(doc_ids, texts)
-                    doc_ids, texts, chars = [], [], 0
-        if doc_ids:
-            yield rows(doc_ids, texts)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    doc_ids += part.column(0).to_pylist()
+                    new = part.column(1).to_pylist()
+                    texts += new
+                    chars += sum(len(t) for t in new if t)
+                    if chars >= GROUP_CHARS:
+                        yield rows(doc_ids, texts)
+                        doc_ids, texts, chars = [], [], 0
+            if doc_ids:
+                yield rows(doc_ids, texts)
+        finally:
+            Encoder.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

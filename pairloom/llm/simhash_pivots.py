@@ -296,10 +296,20 @@ def _keyed(nodes: DataFrame, families: Families) -> DataFrame:
     return nodes.select(*nodes.columns, F.explode(keys("words")).alias("key"))
 
 
-def _in_blocks(keyed: DataFrame, hot: int, weight: Column | None = None) -> DataFrame:
+def _in_blocks(keyed: DataFrame, hot: int, weight: Column | None = None, rows: int | None = None) -> DataFrame:
     """Keys of more than ``hot`` rows (or weight) are replaced by one key for each pair of blocks of about half as much, so that every
-    pair of rows of a key still meets under one."""
-    total = keyed.groupBy("key").agg((F.count("*") if weight is None else F.sum(weight)).alias("total"))
+    pair of rows of a key still meets under one. ``rows``: how many rows there are, none of which weighs more than another; then only
+    keys are counted whose remainder has more than ``hot`` rows, as no other can."""
+    counted = keyed
+    if rows is not None:
+        if rows <= hot:
+            return keyed
+        rest = F.pmod("key", F.lit(4 * rows // hot))
+        heavy = pinned(keyed.groupBy(rest.alias("rest")).count().filter(F.col("count") > hot).select("rest"))
+        if not heavy.limit(1).count():
+            return keyed
+        counted = keyed.withColumn("rest", rest).join(heavy, "rest", "left_semi")
+    total = counted.groupBy("key").agg((F.count("*") if weight is None else F.sum(weight)).alias("total"))
     crowded = pinned(total.filter(F.col("total") > hot).select("key", F.ceil(F.col("total") * 2 / hot).cast("int").alias("blocks")))
     if not crowded.limit(1).count():
         return keyed
@@ -316,22 +326,23 @@ def links(nodes: DataFrame, levels: list[Families], hot: int = HOT) -> DataFrame
     it holds, and on the last level to pairs of blocks."""
     found = None
     columns = nodes.columns
+    n = parallelism(nodes.sparkSession)
     for level, families in enumerate(levels):
-        keyed = _keyed(nodes, families)
+        # a table of nodes is a few files, and its keys many times as much
+        keyed = _keyed(nodes.repartition(n, "node"), families)
         if level + 1 < len(levels):
             keyed = pinned(keyed)
             crowded = pinned(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key"))
             again = crowded.limit(1).count() > 0
             small = keyed.join(crowded, "key", "left_anti") if again else keyed
         else:
-            again, small = False, _in_blocks(keyed, hot)
-        n = parallelism(nodes.sparkSession)
+            again, small = False, _in_blocks(keyed, hot, rows=nodes.count() * len(families.sets))
         narrow = small.select("key", *[c for c in columns if c != "words"], *[F.col("words")[i].alias(f"w{i}") for i in range(families.lanes)])
         out = narrow.repartition(n, "key").sortWithinPartitions("key", "node").mapInPandas(_links_of_buckets(families), "u long, v long")
         found = out if found is None else found.unionAll(out)
         if not again:
             break
-        nodes = keyed.join(crowded, "key", "left_semi").select(*columns).distinct()
+        nodes = pinned(keyed.join(crowded, "key", "left_semi").select(*columns).distinct())
     return found
 
 
@@ -396,8 +407,8 @@ def _sets(docs: DataFrame, least: DataFrame, shingle: int) -> DataFrame:
 
     set_of = set_of.asNondeterministic()  # else the join's filter on the node pulls it in front of the semi join, to all texts
     found = docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", set_of(F.col("text")).alias("found"))
-    sets = found.select("doc_id", F.col("found")[0].alias("node"), F.slice("found", 2, F.size("found")).alias("set"))
-    return sets.join(least, ["doc_id", "node"]).select("node", "key", "set").dropDuplicates(["node"])
+    sets = found.select(F.col("found")[0].alias("node"), F.slice("found", 2, F.size("found")).alias("set")).dropDuplicates(["node"])
+    return sets.join(least, "node").select("node", "key", "set")  # by node as well, so the sets are not shuffled again
 
 
 def _alike(group: pd.DataFrame) -> pd.DataFrame:

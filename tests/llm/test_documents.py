@@ -183,6 +183,39 @@ def test_more_fingerprints_get_longer_keys_and_more_of_them():
     assert simhash_pivots.widened(1 << 23, 14, 96) == (16, 150) and simhash_pivots.widened(1 << 35, 14, 96)[0] == 28
 
 
+def test_links_deal_out_a_small_table_and_count_only_heavy_keys(spark, monkeypatch):
+    """A table of one partition has many times as many keys; they are made in more tasks, and none is counted alone where no key is crowded."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, (400, 4), np.uint64)
+    words[200:] = words[:200] ^ np.uint64(5)
+    nodes = spark.createDataFrame([(i, w.view(np.int64).tolist()) for i, w in enumerate(words)], "node long, words array<bigint>").coalesce(1)
+    parts, written, keyed, pinned = [], [], simhash_pivots._keyed, simhash_pivots.pinned
+    monkeypatch.setattr(simhash_pivots, "_keyed", lambda df, families: parts.append(df.rdd.getNumPartitions()) or keyed(df, families))
+    monkeypatch.setattr(simhash_pivots, "pinned", lambda df: written.append(df.columns) or pinned(df))
+    families = simhash_pivots.sampled_families(4, 14, 20, 60)[0]
+    for hot, counted in ((20_000, False), (6000, False), (2, True)):
+        written.clear()
+        pairs = {tuple(sorted(r)) for r in simhash_pivots.links(nodes, [families], hot).collect()}
+        assert pairs == {(i, i + 200) for i in range(200)} and (["key", "blocks"] in written) == counted
+    assert min(parts) >= 4
+
+
+def test_sets_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "A B C D E F"), (3, "m n o p q r"), (4, "s t")], "doc_id long, text string")
+    node = lambda t: int(np.uint64(xxhash.xxh64_intdigest(simhash_pivots.shingle_set(t, 5).tobytes(), 42)).view(np.int64))
+    members = spark.createDataFrame([(1, node("a b c d e f"), 7), (3, node("m n o p q r"), 7), (4, node("s t"), 8)], "doc_id long, node long, key long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = simhash_pivots._sets(docs, members, 5)
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        got = {(r["node"], r["key"], tuple(r["set"])) for r in sets.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {(node(t), k, tuple(simhash_pivots.shingle_set(t, 5).view(np.int64).tolist())) for t, k in (("a b c d e f", 7), ("m n o p q r", 7), ("s t", 8))} and sets.count() == 3
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, node", plan)
+
+
 def test_repeated_shingles_count_once(spark):
     docs = [(1, "a b c d e " * 400), (2, "a b c d e " * 400 + " ".join(f"w{i}" for i in range(60))), (3, "a b c d e " * 300), (3, "other words under this id that is there twice")]
     left = sorted(r["doc_id"] for r in simhash_pivots.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect())
@@ -255,6 +288,17 @@ def test_bpe_on_odd_rows(odd_docs, no_docs, bpe):
     assert byte_bpe.encode(no_docs, queries.VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_leaves_nothing_in_the_workers(spark, odd_docs):
+    """Spark keeps a worker for the tasks of other stages; encoders of tasks that are over would count beside their memory."""
+    assert byte_bpe.encode(odd_docs, queries.VOCABULARY, public_tokenizers.PATTERN).agg(F.sum("n_tokens")).first()[0] > 0
+
+    def held(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(byte_bpe.Encoder._made)] * len(pdf)})
+
+    assert {r["n"] for r in spark.range(64, numPartitions=8).mapInPandas(held, "n int").collect()} == {0}
+
+
 def test_bpe_pieces(bpe):
     odd = ["  a  b \n\n c\t\td   ", "don't  it's 'S", "\x1c x\x1dy \x85z  q", "ab" * 300, "12 34  5.6,7", "😀 é 漢字. ☃", "x\n y \n\n  z", " .,", "a.'s b,'t", "²., x². y"]
     encoder = byte_bpe.Encoder.of(queries.VOCABULARY, public_tokenizers.PATTERN)
