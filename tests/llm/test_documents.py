@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -307,6 +309,39 @@ def test_bpe_pieces(bpe):
         assert (ids, n, back) == (",".join(map(str, want)), len(want), text.encode())
 
 
+def test_bpe_on_random_texts(bpe, monkeypatch):
+    """Texts are cut before their pieces are sought: never inside a piece, whatever stands beside the cut, and with few chunks kept."""
+    monkeypatch.setattr(byte_bpe, "KEPT", 50)
+    draw = random.Random(6)
+    signs = list("abXY  \n\n\t\r\x0b\x1c\x7f.,,'’s0129²½éÉ×÷—\u00a0\u0085\u1680\u2009\u2028\u3000\ufeff漢😀कЖ҂Աʰʹ") + ["'re", "'s", " the", " don't", "\n\n", " \n", "tion"]
+    odd = ["".join(draw.choices(signs, k=draw.randint(0, 14))) for _ in range(9000)]
+    encoder = byte_bpe.Encoder(queries.VOCABULARY, public_tokenizers.PATTERN)
+    for at in range(0, len(odd), 3000):
+        part = odd[at : at + 3000]
+        for text, (ids, n, back) in zip(part, encoder.texts(part), strict=True):
+            want = bpe.encode_ordinary(text)
+            assert (ids, n, back) == (",".join(map(str, want)), len(want), text.encode()), text
+
+
+def test_bpe_repeated_words_cost_little():
+    """A word that is known already takes little more than the pattern alone takes to find it, or less."""
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefgh", k=4)) for _ in range(2000)]
+    text = " ".join(draw.choices(words, k=400_000))
+    encoder = byte_bpe.Encoder(queries.VOCABULARY, public_tokenizers.PATTERN)
+    assert next(encoder.texts([text]))[2] == text.encode()
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: list(encoder.texts([text]))) < 1.5 * seconds(lambda: encoder.pieces.findall(text))
+
+
 def test_quality(spark, sf_dir):
     rows = queries.op7_quality(spark, "/root/testdata/sf0.01").collect()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
