@@ -194,6 +194,65 @@ def test_probabilities_add_up(spark):
     assert np.allclose(total, 1) and facts["rest_n"] == 0 and len(model.words) == 5
 
 
+def test_words_without_a_class_are_told_from_their_contexts_and_tell_what_follows(spark, monkeypatch):
+    """Both texts have the same words and classes; only the own vectors of the words without a class set them apart."""
+    monkeypatch.setattr(bilinear_lm, "CLASSES", 5)
+    rng, rows = np.random.default_rng(4), []
+    for i in range(400):
+        odd = rng.integers(0, 2, 20)
+        rows.append((i, " ".join(f"{'ab'[o]} r{2 * rng.integers(0, 20) + o} {'cd'[o]}" for o in odd)))
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    told, turned = "a r0 c b r1 d", "a r1 c b r0 d"
+    docs = spark.createDataFrame([*rows, (held[0], told), (held[1], turned)], "doc_id long, text string")
+    scores = {r["doc_id"]: r for r in bilinear_lm.score(docs).collect()}
+    assert scores[held[0]]["base_score"] == pytest.approx(scores[held[1]]["base_score"])
+    assert scores[held[0]]["score"] > scores[held[1]]["score"] + 1
+
+
+def made_group(words=500, classes=7, seed=8):
+    """A model of some classes and the places of the words of a group, which come in different contexts."""
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(50, 500, classes - 1).astype(float)
+    model = bilinear_lm.Model.fresh([f"c{i}" for i in range(classes - 1)], counts, 900)
+    model.target = rng.normal(0, 0.5, model.target.shape)
+    frame = bilinear_lm.Frame.of(model, {"top": list(counts), "rest_n": 900})
+    word = np.repeat(np.arange(words), rng.geometric(0.2, words) - 1)
+    before, after = (word + rng.integers(0, 3, len(word))) % (classes + 1), (word // 3 + rng.integers(0, 2, len(word))) % (classes + 1)
+    return model, frame, (word, before, after, words)
+
+
+def test_words_of_a_group_add_up_and_so_do_the_classes_after_them():
+    model, frame, group = made_group()
+    c, context, context_unit, target, target_unit, norm = bilinear_lm.own_vectors(*group, frame)
+    assert c.tolist() == np.bincount(group[0], minlength=group[3]).tolist() and target.any() and not target[c == 0].any()
+    share = np.where(c > 0, c + bilinear_lm.ALPHA, 0)
+    assert np.allclose(share / share.sum() @ np.exp(target * target_unit @ frame.seen.T), np.exp(norm))
+    rest = len(model.words)
+    kind, own = np.array([*range(rest), *[rest] * group[3], rest + 1]), np.zeros((rest + group[3] + 1, bilinear_lm.OWN))
+    own[rest:-1] = context * context_unit
+    rng = np.random.default_rng(0)
+    one, two = rng.integers(0, len(kind), (2, 300))
+    for scale in (1, 40):  # the second one leaves the range of single precision
+        total = sum(np.exp(bilinear_lm._class_scores(model, frame, model.tables(), kind, own * scale, one, two, np.full(300, k))) for k in range(rest + 1))
+        assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_words_in_the_same_places_share_a_fit_and_nothing_else_does(monkeypatch):
+    _, frame, group = made_group()
+    shared = bilinear_lm.own_vectors(*group, frame)
+    monkeypatch.setattr(bilinear_lm, "FEW", 0)
+    for a, b in zip(shared, bilinear_lm.own_vectors(*group, frame)):
+        assert np.allclose(a, b, atol=1)  # vectors in units of 8 bits
+
+
+def test_blocks_of_few_tokens_hold_every_word(spark, odd_docs, monkeypatch):
+    want = sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in bilinear_lm.score(odd_docs).collect())
+    monkeypatch.setattr(bilinear_lm, "BLOCK_TOKENS", 5)
+    monkeypatch.setattr(bilinear_lm, "PIECE_BYTES", 20)
+    monkeypatch.setattr(bilinear_lm, "GROUP_ROWS", 3)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in bilinear_lm.score(odd_docs).collect()) == want
+
+
 def test_a_batch_committed_beside_a_fold_counts_once(spark, tmp_path):
     counts = spark.createDataFrame([("s", "en", "words-1", 3, 9)], "source string, lang string, tokenizer string, tokens long, chars long")
 
