@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.operators import builders, facts, ordering
+from pairloom.operators import builders, facts, ordering, sampling
 from pairloom.plans import bind
 from pairloom.plans.bind import Tables
 from pairloom.plans.catalog import QUERIES
@@ -93,3 +93,33 @@ def test_representatives_keep_one_of_equal_rows_and_no_null_keys(spark):
     df = spark.createDataFrame(rows, "image_id string, annotation_id long, category string, box struct<x:double,y:double,w:double,h:double>")
     got = {(r["image_id"], r["annotation_id"], r["n"]) for r in facts.representatives(df).collect()}
     assert got == {("1", 1, 2), ("1", 2, 1), ("2", 5, 2)}
+
+
+def test_the_selection_writes_no_more_of_equal_candidates_than_it_can_take(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(sampling, "pinned", lambda df: written.append(df.localCheckpoint()) or written[-1])
+    rows = [(i, "s", "hot" if i % 3 else None, f"b{i % 2}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, subtype string, a string, b string")
+    out = sampling.capped_selection(df, ["subtype"], {"a": 7, "b": 11}, 40, 5, ["id"])
+    assert 0 < out.count() <= 22
+    assert written[0].count() == 2 * 7 + 2 * 11
+
+
+def test_boxes_meet_once_for_both_axes(spark, sf_dir, monkeypatch):
+    sg = bind.Tables(spark, sf_dir).sg
+    apart = builders.clean_box_pairs(sg, "horizontal").unionByName(builders.clean_box_pairs(sg, "vertical"))
+    met = []
+    paired = facts.paired
+    monkeypatch.setattr(facts, "paired", lambda *a, **k: met.append(1) or paired(*a, **k))
+    assert rows_of(builders.clean_box_pairs(sg, *builders.BOX_SUBTYPES)) == rows_of(apart)
+    builders.clean_pairs(sg, bind.Tables(spark, sf_dir).edges)
+    assert len(met) == 2
+
+
+def test_contacts_are_found_among_all_edges(spark):
+    rows = [("1", "a", "man"), ("1", "b", "bag"), ("1", "c", "dog"), ("1", "d", "chair"), ("1", "e", "cup"), ("2", "a", "man"), ("2", "a", "man")]
+    objs = spark.createDataFrame(rows, "image_id string, object_id string, name string")
+    edges = [("1", "a", "holding", "b"), ("1", "c", "sitting on", "d"), ("1", "a", "near", "b"), ("1", "e", "holding", "b"), ("1", "a", "holding", "zz"), ("2", "a", "holding", "a"), ("1", "a", None, "b")]
+    pairs, dangling = builders.clean_contact_pairs(objs, spark.createDataFrame(edges, "image_id string, subject_id string, relation string, target_id string"))
+    assert sorted(r["pair_id"] for r in pairs.collect()) == ["rel_holding_wearing_clean_1_a_b_holding", "rel_sitting_riding_clean_1_c_d_sitting_on"]
+    assert dangling.first()[0] == 1
