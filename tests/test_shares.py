@@ -123,3 +123,23 @@ def test_contacts_are_found_among_all_edges(spark):
     pairs, dangling = builders.clean_contact_pairs(objs, spark.createDataFrame(edges, "image_id string, subject_id string, relation string, target_id string"))
     assert sorted(r["pair_id"] for r in pairs.collect()) == ["rel_holding_wearing_clean_1_a_b_holding", "rel_sitting_riding_clean_1_c_d_sitting_on"]
     assert dangling.first()[0] == 1
+
+
+def test_phrases_are_cleaned_texts_whether_clean_already_or_not(spark):
+    texts = ["", " ", "a", "a b", "a  b", " a b", "a b ", "a b\n", "a\tb", "A b", "a_b", "a-b c", "-", "a.b", "é a", "a b", "red metal 42", "\n", None, "a\x0bb", "ab "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.phrase(F.col("t")).alias("a"), text.clean(F.col("t"), "phrase").alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+
+
+@pytest.mark.parametrize("name", ["P8_scene_questions", "P11_caption_rows"])
+def test_questions_deal_and_write_no_boxes_and_find_a_bucket_once_a_relation(spark, sf_dir, monkeypatch, name):
+    from pairloom.plans import q_builders
+
+    written, judged = [], []
+    pinned = q_builders.pinned
+    monkeypatch.setattr(q_builders, "pinned", lambda df: written.append(df.columns) or pinned(df))
+    once = facts.once
+    monkeypatch.setattr(facts, "once", lambda df, value, name: judged.append((name, df.columns)) or once(df, value, name))
+    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert written[0] == ["image_id", "object_id", "name", "attributes", "relation", "target_id"]
+    assert ("bucket", ["relation"]) in judged
